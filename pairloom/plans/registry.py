@@ -1,15 +1,457 @@
-"""The queries of the library and their SQL."""
+"""The queries of the library and their SQL. Floats are rounded to six places on both sides."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pairloom.functions import vectors
+from pairloom.functions.pairs import look_up
+from pairloom.operators import clean, fuzzy, graph, iterative, stacking, tfidf, topics, vocabulary, walks
+from pairloom.plans.fixtures import GRAPH_SQL, TEXT_SQL, VECTOR_SQL, graph_pairs, label_rows, text_pairs, vector_pairs
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places (never a negative zero), counts to long."""
+
+    def one(name: str, kind: str):
+        if kind in ("double", "float"):
+            return (F.round(F.col(name).cast("double"), 6) + F.lit(0.0)).alias(name)
+        return F.col(name).cast("long").alias(name) if kind in ("int", "smallint", "tinyint") else F.col(name)
+
+    return df.select(*(one(n, k) for n, k in df.dtypes))
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
+        if sql is not None:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def _r(*expressions: str) -> str:
+    """round(x, 6) + 0.0 as name, for 'x as name'."""
+    out = []
+    for e in expressions:
+        x, name = e.rsplit(" as ", 1)
+        out.append(f"round(cast({x} as double), 6) + 0.0 as {name}")
+    return ", ".join(out)
+
+
+def _pair_stats(m: str, prefix: str, ratio: str | None = None, u: str = "mu", v: str = "mv") -> str:
+    a, b = f"{u}.{m}", f"{v}.{m}"
+    out = [f"least({a}, {b}) as {prefix}_min", f"greatest({a}, {b}) as {prefix}_max", f"({a} + {b}) / 2.0 as {prefix}_mean", f"abs({a} - {b}) as {prefix}_diff"]
+    if ratio:
+        out.append(f"greatest({a}, {b}) / greatest(least({a}, {b}), {ratio}) as {prefix}_ratio")
+    return _r(*out)
+
+
+# cleaning, hashing and tokens
+
+
+@_query(f"with {TEXT_SQL} select id, question1, question2, is_duplicate from (select id, question1, question2, cast(is_duplicate as bigint) as is_duplicate, row_number() over (partition by id order by question1, question2) as rn from text_pairs where question1 is not null and question2 is not null) where rn = 1")
+def clean_pairs(spark, sf_dir):
+    return clean.clean_pairs(text_pairs(spark, sf_dir))
+
+
+_NORM = r"trim(regexp_replace(lower(coalesce({}, '')), '\s+', ' ', 'g'))"
+
+
+@_query(f"with {TEXT_SQL} select id, md5({_NORM.format('question1')}) as h1, md5({_NORM.format('question2')}) as h2, cast(is_duplicate as bigint) as is_duplicate from text_pairs")
+def pair_hash(spark, sf_dir):
+    return clean.hash_pairs(text_pairs(spark, sf_dir), "is_duplicate")
+
+
+_TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
+_AB = f"select id, list_distinct({_TOKENS.format('question1')}) as a, list_distinct({_TOKENS.format('question2')}) as b from text_pairs"
+
+
+@_query(f"with {TEXT_SQL}, t as ({_AB}), s as (select id, len(list_intersect(a, b)) as i, len(a) as na, len(b) as nb from t) select id, " + _r("1 - i / (na + nb - i + 1e-9) as jaccard_distance", "2 * i / (na + nb + 1e-9) as dice") + " from s")
+def token_similarity(spark, sf_dir):
+    return clean.token_similarity(text_pairs(spark, sf_dir))
+
+
+@_query(f"with {TEXT_SQL}, t as ({_AB}) select id, coalesce(array_to_string(list_sort(list_intersect(a, b)), ' '), '') as common_words, coalesce(array_to_string(list_sort(list_concat(list_filter(a, lambda x: not list_contains(b, x)), list_filter(b, lambda x: not list_contains(a, x)))), ' '), '') as diff_words from t")
+def common_diff_words(spark, sf_dir):
+    return clean.word_differences(text_pairs(spark, sf_dir))
+
+
+@_query()
+def fuzzy_ratios(spark, sf_dir):
+    return fuzzy.fuzzy_ratios(text_pairs(spark, sf_dir))
+
+
+# vocabularies and encoded sentences, with the ASCII token rule that both engines share
+
+_WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+|[^a-z0-9 \t\r\n\f\x0b]')"
+_PLACES = f"""places as (select 0 as block, id, unnest({_WORDS.format('question1')}) as token, generate_subscripts({_WORDS.format('question1')}, 1) as place from text_pairs
+  union all select 1, id, unnest({_WORDS.format('question2')}), generate_subscripts({_WORDS.format('question2')}, 1) from text_pairs),
+  firsts as (select token, min((block, id, place)) as spot from places group by token),
+  vocab as (select token, row_number() over (order by spot) + 1 as idx from firsts)"""
+
+
+@_query(f"with {TEXT_SQL}, {_PLACES} select token, cast(idx as bigint) as idx from vocab")
+def vocab_index(spark, sf_dir):
+    return vocabulary.vocabulary(text_pairs(spark, sf_dir), pattern=vocabulary.ASCII_TOKEN)
+
+
+@_query(
+    f"""with {TEXT_SQL}, {_PLACES}, p as (select p.id, p.place, v.idx from places p join vocab v on p.token = v.token where p.block = 0 and p.place <= 40),
+    g as (select id, array_to_string(list(idx order by place), ' ') as ids, count(*) as n from p group by id)
+    select t.id, coalesce(g.ids, '') || repeat(' 0', 40 - cast(coalesce(g.n, 0) as integer)) as ids, coalesce(g.n, 0) as len from text_pairs t left join g on t.id = g.id"""
+)
+def sent_encode(spark, sf_dir):
+    pairs = text_pairs(spark, sf_dir)
+    vocab = vocabulary.vocabulary(pairs, pattern=vocabulary.ASCII_TOKEN)
+    made = vocabulary.sentences(pairs, "question1", vocab, pattern=vocabulary.ASCII_TOKEN)
+    text = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    return made.select("id", F.when(F.col("len") > 0, text).otherwise(F.concat(F.lit(" "), text)).alias("ids"), "len")
+
+
+_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789.,!?;:''\"-()[]{}@#$%^&*_+=/\\"
+
+
+@_query(
+    f"""with {TEXT_SQL}, w as (select id, unnest({_WORDS.format('question1')}) as token, generate_subscripts({_WORDS.format('question1')}, 1) as place from text_pairs),
+    c as (select id, place, token, unnest(range(1, 21)) as k from w where place <= 40),
+    n as (select id, place, k, case when k > length(token) then 0 when instr('{_CHARS}', substr(token, k, 1)) > 0 then instr('{_CHARS}', substr(token, k, 1)) + 1 else 1 end as code from c)
+    select t.id, coalesce(sum((n.place * 31 + n.k) * n.code), 0)::bigint as checksum, coalesce(sum(n.code), 0)::bigint as total from text_pairs t left join n on t.id = n.id group by t.id"""
+)
+def char_encode(spark, sf_dir):
+    """The codes of each sentence's characters, as sums that fix the place of every code."""
+    made = vocabulary.characters(text_pairs(spark, sf_dir), "question1", pattern=vocabulary.ASCII_TOKEN)
+    rows = made.select("id", F.posexplode("chars").alias("i", "row")).select("id", "i", F.posexplode("row").alias("k", "code"))
+    return rows.groupBy("id").agg(F.sum(((F.col("i") + 1) * 31 + F.col("k") + 1) * F.col("code")).alias("checksum"), F.sum("code").alias("total"))
+
+
+# edges and link prediction
+
+
+@_query(f"with {GRAPH_SQL} select u, v from graph_pairs")
+def edges_distinct(spark, sf_dir):
+    return graph.edges_of(graph_pairs(spark, sf_dir))
+
+
+@_query(f"with {GRAPH_SQL} select u, v from graph_pairs where u <> v")
+def edges_no_loops(spark, sf_dir):
+    return graph.edges_of(graph_pairs(spark, sf_dir), self_loops=False)
+
+
+@_query("with w as (select least(l_partkey, l_suppkey) as u, greatest(l_partkey, l_suppkey) as v, least(greatest(cast(l_discount as double), 1e-6), 1 - 1e-6) as w from lineitem where l_partkey <> l_suppkey) select u, v, " + _r("max(w) as weight") + " from w group by u, v")
+def edges_weighted_max(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v"), F.col("l_discount").cast("double").alias("weight"))
+    return graph.weighted_edges(lines)
+
+
+@_query(f"with {GRAPH_SQL} select node, cast(d_nb as bigint) as d_nb, cast(d as bigint) as d from nb")
+def degree(spark, sf_dir):
+    return graph.degrees(graph.adjacency(graph_pairs(spark, sf_dir)))
+
+
+@_query(
+    f"""with {GRAPH_SQL}, cn as (select p.u, p.v, count(*) as cn, sum(case when z.d > 1 then 1 / ln(z.d) else 0 end) as aa, sum(1.0 / z.d) as ra
+      from graph_pairs p join adj a on a.src = p.u join adj b on b.src = p.v and b.dst = a.dst join nb z on z.node = a.dst group by p.u, p.v)
+    select p.u, p.v, cast(x.d as bigint) as deg_u, cast(y.d as bigint) as deg_v, cast(least(x.d, y.d) as bigint) as deg_min, cast(greatest(x.d, y.d) as bigint) as deg_max, cast(abs(x.d - y.d) as bigint) as deg_diff,
+      {_r('x.d / (y.d + 1e-9) as deg_ratio')}, cast(coalesce(cn, 0) as bigint) as cn, {_r('coalesce(cn, 0) / (x.d_nb + y.d_nb - coalesce(cn, 0) + 1e-9) as jaccard', 'coalesce(aa, 0) as adamic_adar', 'coalesce(ra, 0) as resource_allocation')}, cast(x.d * y.d as bigint) as preferential_attachment
+    from graph_pairs p join nb x on x.node = p.u join nb y on y.node = p.v left join cn on cn.u = p.u and cn.v = p.v"""
+)
+def link_features(spark, sf_dir):
+    pairs = graph_pairs(spark, sf_dir)
+    return graph.link_features(pairs, graph.edges_of(pairs))
+
+
+# components, cores, ranks
+
+_COMPONENTS = """reach as (select src as node, src as other from adj union select reach.node, adj.dst from reach join adj on adj.src = reach.other),
+  comp as (select node, min(other) as component from reach group by node)"""
+_TRIANGLES = """e as (select u, v from graph_pairs where u <> v),
+  t as (select a.u as x, a.v as y, b.v as z from e a join e b on a.v = b.u join e c on c.u = a.u and c.v = b.v),
+  corner as (select x as node from t union all select y from t union all select z from t),
+  k as (select node, d - 2 * (select count(*) from graph_pairs g where g.u = nb.node and g.v = nb.node) as k from nb),
+  tri as (select nb.node, (select count(*) from corner c where c.node = nb.node) as t from nb),
+  clu as (select tri.node, tri.t, case when k.k >= 2 then 2.0 * tri.t / (k.k * (k.k - 1)) else 0.0 end as c from tri join k on tri.node = k.node)"""
+
+
+@_query(f"with recursive {GRAPH_SQL}, {_COMPONENTS} select node, component from comp")
+def components(spark, sf_dir):
+    return graph.component_table(graph_pairs(spark, sf_dir))
+
+
+_COMP_STATS = ("size", "density", "mean_deg", "max_deg", "avg_clust")
+
+
+@_query(
+    f"""with recursive {GRAPH_SQL}, {_COMPONENTS}, {_TRIANGLES},
+    m as (select component, count(*) as m from graph_pairs join comp on comp.node = graph_pairs.u group by component),
+    per as (select comp.component, count(*) as n, max(nb.d) as max_deg, avg(clu.c) as avg_clust from comp join nb on nb.node = comp.node join clu on clu.node = comp.node group by comp.component),
+    f as (select comp.node, cast(n as double) as size, case when n > 1 then 2.0 * m / (n * (n - 1) / 2.0) else 0.0 end as density, 2.0 * m / n as mean_deg, cast(max_deg as double) as max_deg, avg_clust
+      from comp join per on per.component = comp.component join m on m.component = comp.component)
+    select p.u, p.v, {', '.join(_pair_stats(x, x, '1e-12') for x in _COMP_STATS)} from graph_pairs p join f mu on mu.node = p.u join f mv on mv.node = p.v"""
+)
+def component_pair_features(spark, sf_dir):
+    pairs = graph_pairs(spark, sf_dir)
+    return graph.pair_features(pairs, graph.component_features(pairs), {x: 1.0 if x == "size" else 0.0 for x in _COMP_STATS}, 1e-12)
+
+
+@_query(
+    f"""with recursive {GRAPH_SQL}, n as (select count(*) as n from nb),
+    pr as (select node, 1.0::double / n.n as r, 0 as it from nb, n union all
+      select a.dst, 0.15 / n.n + 0.85 * sum(pr.r / nb.d_nb), pr.it + 1 from pr join nb on nb.node = pr.node join adj a on a.src = pr.node, n where pr.it < 20 group by a.dst, pr.it, n.n),
+    m as (select node, r from pr where it = 20)
+    select p.u, p.v, {_r('1000 * least(mu.r, mv.r) as pagerank_min', '1000 * greatest(mu.r, mv.r) as pagerank_max', '1000 * abs(mu.r - mv.r) as pagerank_diff', 'mu.r / (mv.r + 1e-9) as pagerank_ratio')}
+    from graph_pairs p join m mu on mu.node = p.u join m mv on mv.node = p.v"""
+)
+def pagerank_pairs(spark, sf_dir):
+    """Ranks count a thousandfold, so that six places say something."""
+    pairs = graph_pairs(spark, sf_dir)
+    wide = look_up(pairs, iterative.pagerank(pairs), {"rank": 0.0})
+    a, b = F.col("rank_u"), F.col("rank_v")
+    return wide.select("u", "v", (1000 * F.least(a, b)).alias("pagerank_min"), (1000 * F.greatest(a, b)).alias("pagerank_max"), (1000 * F.abs(a - b)).alias("pagerank_diff"), (a / (b + F.lit(1e-9))).alias("pagerank_ratio"))
+
+
+@_query(
+    f"""with recursive {GRAPH_SQL}, {_COMPONENTS},
+    big as (select component from comp group by component order by count(*) desc, component limit 1),
+    inside as (select node from comp where component = (select component from big)),
+    ladj as (select src, dst from adj where src in (select node from inside)),
+    al as (select 0.9 / max(d) as alpha from nb where node in (select node from inside)),
+    kz as (select node, 0.0::double as x, 0 as it from inside union all
+      select a.src, al.alpha * sum(kz.x) + 1.0, kz.it + 1 from kz join ladj a on a.dst = kz.node, al where kz.it < 20 group by a.src, kz.it, al.alpha),
+    l as (select sqrt(sum(x * x)) as l from kz where it = 20),
+    m as (select nb.node, coalesce(kz.x / l.l, 0.0) as k from nb cross join l left join kz on kz.node = nb.node and kz.it = 20)
+    select p.u, p.v, {_pair_stats('k', 'katz', '1e-9')} from graph_pairs p join m mu on mu.node = p.u join m mv on mv.node = p.v"""
+)
+def katz_pairs(spark, sf_dir):
+    pairs = graph_pairs(spark, sf_dir)
+    return graph.pair_features(pairs, iterative.katz(pairs), {"katz": 0.0}, 1e-9)
+
+
+@_query()
+def kcore_pairs(spark, sf_dir):
+    pairs = graph_pairs(spark, sf_dir)
+    return graph.pair_features(pairs, iterative.core_numbers(pairs), {"core": 0})
+
+
+@_query(f"with {GRAPH_SQL}, m as (select a.src as node, sum(z.d) * 1.0 / max(x.d) as a from adj a join nb z on z.node = a.dst join nb x on x.node = a.src group by a.src) select p.u, p.v, {_pair_stats('a', 'and')} from graph_pairs p join m mu on mu.node = p.u join m mv on mv.node = p.v")
+def avg_neighbor_degree_pairs(spark, sf_dir):
+    pairs = graph_pairs(spark, sf_dir)
+    return graph.pair_features(pairs, graph.average_neighbour_degree(pairs), {"and": 0.0})
+
+
+@_query(
+    f"""with {GRAPH_SQL}, {_TRIANGLES} select p.u, p.v, least(mu.t, mv.t) as tri_min, greatest(mu.t, mv.t) as tri_max, abs(mu.t - mv.t) as tri_diff, {_r('(mu.t + mv.t) / 2.0 as tri_mean', 'ln(1 + mu.t) as tri_log_u', 'ln(1 + mv.t) as tri_log_v')}, {_pair_stats('c', 'clu')}
+    from graph_pairs p join clu mu on mu.node = p.u join clu mv on mv.node = p.v"""
+)
+def triangle_clustering_pairs(spark, sf_dir):
+    pairs = graph_pairs(spark, sf_dir)
+    return graph.triangle_features(pairs, graph.edges_of(pairs))
+
+
+@_query(
+    f"""with {GRAPH_SQL}, far as (select distinct a.src as node, b.dst as x from adj a join adj b on b.src = a.dst where a.src <> b.dst and not exists (select 1 from adj c where c.src = a.src and c.dst = b.dst)),
+    size as (select node, count(*) as n from far group by node),
+    s as (select p.u, p.v, count(*) as i, sum(case when z.d_nb > 1 then 1.0 / z.d_nb else 0 end) as ra, sum(case when z.d_nb > 1 then 1 / ln(z.d_nb) else 0 end) as aa
+      from graph_pairs p join far a on a.node = p.u join far b on b.node = p.v and b.x = a.x join nb z on z.node = a.x group by p.u, p.v),
+    w as (select p.u, p.v, coalesce(s.i, 0) as i, coalesce(x.n, 0) as su, coalesce(y.n, 0) as sv, coalesce(ra, 0) as ra, coalesce(aa, 0) as aa from graph_pairs p left join s on s.u = p.u and s.v = p.v left join size x on x.node = p.u left join size y on y.node = p.v)
+    select u, v, i as inter, {_r('case when su + sv - i > 0 then i / (su + sv - i) else 0.0 end as jacc')}, su as size_u, sv as size_v, {_r('ra as ra', 'aa as aa', 'ln(1 + ra) as log_ra', 'ln(1 + aa) as log_aa')} from w"""
+)
+def two_hop_pairs(spark, sf_dir):
+    """With the default caps, which these degrees don't reach."""
+    pairs = graph_pairs(spark, sf_dir)
+    return graph.two_hop_features(pairs, graph.edges_of(pairs))
+
+
+@_query(
+    f"""with recursive {GRAPH_SQL}, asked as (select u, v from graph_pairs union select b.u, a.v from graph_pairs a join graph_pairs b on a.u = b.v union select u, -1 from graph_pairs),
+    walk as (select distinct u, u as x, 0 as d from asked where u in (select node from nb) union select w.u, a.dst, w.d + 1 from walk w join adj a on a.src = w.x where w.d < 4),
+    near as (select u, x as v, min(d) as d from walk group by u, x)
+    select a.u, a.v, cast(case when a.u = a.v then 0 when a.v not in (select node from nb) then -1 else coalesce(n.d, 5) end as bigint) as distance from asked a left join near n on n.u = a.u and n.v = a.v"""
+)
+def bounded_shortest_path(spark, sf_dir):
+    """Edges, pairs two steps apart, and pairs with an end that is no node."""
+    e = graph_pairs(spark, sf_dir)
+    two = e.select("u", F.col("v").alias("m")).join(e.select(F.col("u").alias("m"), "v"), "m").select("u", "v")
+    return graph.bounded_shortest_path(e.union(two).union(e.select("u", F.lit(-1).cast("long"))).distinct(), e)
+
+
+@_query()
+def random_walks(spark, sf_dir):
+    made = walks.random_walks(walks.core_graph(graph.edges_of(graph_pairs(spark, sf_dir), self_loops=False)))
+    return made.select("walk", F.array_join(F.transform("nodes", lambda x: x.cast("string")), " ").alias("nodes"))
+
+
+@_query()
+def n2v_pairs(spark, sf_dir):
+    pairs = graph_pairs(spark, sf_dir)
+    made = walks.random_walks(walks.core_graph(graph.edges_of(pairs, self_loops=False)))
+    return walks.vector_features(pairs, walks.node_vectors(made))
+
+
+# TF-IDF, topics and vectors
+
+
+def _tfidf_sql(fold: bool) -> str:
+    f, on = ("fold, ", "t.fold = v.fold and ") if fold else ("", "")
+    rows = "r as (select *, ((row_number() over (partition by is_duplicate order by md5(cast(id as varchar) || '-7610'), id) - 1) % 5) as fold from text_pairs)" if fold else "r as (select *, 0 as fold from text_pairs)"
+    if fold:
+        stats = """own as (select term, fold, count(*) as df, sum(tf) as total from t group by term, fold), per as (select term, sum(df) as df, sum(total) as total from own group by term), fs as (select fold, count(*) as n from r group by fold), al as (select sum(n) as n from fs),
+        st as (select fs.fold, per.term, per.df - coalesce(own.df, 0) as df, per.total - coalesce(own.total, 0) as total, 2 * (al.n - fs.n) as n from per cross join fs cross join al left join own on own.term = per.term and own.fold = fs.fold),"""
+    else:
+        stats = "st as (select 0 as fold, term, count(*) as df, sum(tf) as total, (select 2 * count(*) from r) as n from t group by term),"
+    return f"""with {TEXT_SQL}, {rows},
+    w as (select id, fold, 1 as side, unnest({_TOKENS.format('question1')}) as term from r union all select id, fold, 2, unnest({_TOKENS.format('question2')}) from r),
+    t as (select id, fold, side, term, count(*) as tf from w group by all), {stats}
+    v as (select fold, term, ln((1.0 + n) / (1 + df)) + 1 as idf from (select *, row_number() over (partition by fold order by total desc, term) as rn from st where df >= 3 and df <= 0.95 * n) where rn <= 150000),
+    x as (select t.id, t.side, t.term, t.tf * v.idf as w from t join v on t.fold = v.fold and t.term = v.term),
+    y as (select id, side, term, w / sqrt(sum(w * w) over (partition by id, side)) as w from x),
+    b as (select id, term, coalesce(sum(w) filter (where side = 1), 0) as a, coalesce(sum(w) filter (where side = 2), 0) as b from y group by id, term),
+    s as (select id, sum(a * b) as dot, sum(a * a) as q1, sum(b * b) as q2, sum(a) as s1, sum(b) as s2, count(*) filter (where a <> 0) as n1, count(*) filter (where b <> 0) as n2 from b group by id),
+    z as (select r.id, coalesce(dot, 0) as dot, coalesce(q1, 0) as q1, coalesce(q2, 0) as q2, coalesce(s1, 0) as s1, coalesce(s2, 0) as s2, coalesce(n1, 0) as n1, coalesce(n2, 0) as n2 from r left join s on r.id = s.id)
+    select id, {_r('dot / (sqrt(q1) * sqrt(q2) + 1e-9) as cos', 'sqrt(greatest(q1 + q2 - 2 * dot, 0)) as l2d', 'dot as dot', 'dot / (s1 + 1e-9) as ov_ratio_1', 'dot / (s2 + 1e-9) as ov_ratio_2', 'least(sqrt(n1), sqrt(n2)) / (greatest(sqrt(n1), sqrt(n2)) + 1e-12) as nnz_ratio')} from z"""
+
+
+@_query(_tfidf_sql(fold=False))
+def tfidf_pair_features(spark, sf_dir):
+    return tfidf.pair_features(text_pairs(spark, sf_dir))
+
+
+@_query(_tfidf_sql(fold=True))
+def tfidf_oof(spark, sf_dir):
+    return tfidf.oof_features(text_pairs(spark, sf_dir))
+
+
+@_query(
+    f"""with {TEXT_SQL}, ab as ({_AB}), d as (select id, unnest(list_concat(list_filter(a, lambda x: not list_contains(b, x)), list_filter(b, lambda x: not list_contains(a, x)))) as term from ab),
+    st as (select term, count(*) as df, (select count(*) from ab) as n from d group by term),
+    v as (select term, ln((1.0 + n) / (1 + df)) + 1 as idf from (select *, row_number() over (order by df desc, term) as rn from st where df >= 3 and df <= 0.98 * n) where rn <= 80000),
+    s as (select id, sqrt(sum(idf * idf)) as l2, sum(idf) as l1 from d join v on v.term = d.term group by id)
+    select ab.id, {_r('coalesce(l2, 0) as diff_l2', 'coalesce(l1, 0) as diff_l1')} from ab left join s on s.id = ab.id"""
+)
+def tfidf_diff_norms(spark, sf_dir):
+    return tfidf.difference_norms(text_pairs(spark, sf_dir))
+
+
+@_query()
+def svd_common(spark, sf_dir):
+    made = topics.latent_features(text_pairs(spark, sf_dir))
+    return made.select("id", *(F.element_at("svd", i + 1).alias(f"svd_{i}") for i in range(64)))
+
+
+@_query()
+def lda_pairs(spark, sf_dir):
+    return topics.topic_features(text_pairs(spark, sf_dir))
+
+
+_DOT, _NA, _NB = "list_dot_product(a, b)", "(sqrt(list_dot_product(a, a)) + 1e-12)", "(sqrt(list_dot_product(b, b)) + 1e-12)"
+_HAD, _DIFF, _ADD = ("list_transform(list_zip(a, b), lambda x: {})".format(x) for x in ("x[1] * x[2]", "abs(x[1] - x[2])", "x[1] + x[2]"))
+
+
+@_query(
+    f"with {VECTOR_SQL} select id, "
+    + _r(
+        f"{_DOT} / ({_NA} * {_NB}) as cos", f"{_DOT} as dot", "list_distance(a, b) as l2", f"{_NA} as norm_u", f"{_NB} as norm_v", f"least({_NA}, {_NB}) as norm_min", f"greatest({_NA}, {_NB}) as norm_max",
+        f"greatest({_NA}, {_NB}) / greatest(least({_NA}, {_NB}), 1e-12) as norm_ratio", f"list_sum({_HAD}) / len(a) as had_mean", f"list_max({_HAD}) as had_max", f"list_min({_HAD}) as had_min",
+        f"list_sum({_DIFF}) / len(a) as diff_mean", f"list_max({_DIFF}) as diff_max", f"list_sum({_ADD}) / len(a) as add_mean",
+    )
+    + ", is_duplicate::bigint as is_duplicate from vector_pairs"
+)
+def embedding_pair_features(spark, sf_dir):
+    return vector_pairs(spark, sf_dir).select("id", *(c.alias(n) for n, c in vectors.embedding_pair(F.col("a"), F.col("b")).items()), "is_duplicate")
+
+
+_SOFT = "list_transform({0}, lambda x: exp(x) / list_sum(list_transform({0}, lambda y: exp(y))))"
+_CLIP = "least(greatest({}, 1e-12), 1.0)"
+_P, _Q = (f"least(greatest({x}, 1e-12), 1.0)" for x in ("x[1]", "x[2]"))
+
+
+@_query(
+    f"""with {VECTOR_SQL}, s as (select id, {_SOFT.format('a')} as p, {_SOFT.format('b')} as q from vector_pairs),
+    h as (select *, -list_sum(list_transform(p, lambda x: {_CLIP.format('x')} * ln({_CLIP.format('x')}))) as hp, -list_sum(list_transform(q, lambda x: {_CLIP.format('x')} * ln({_CLIP.format('x')}))) as hq from s)
+    select id, {_r('hp as entropy_u', 'hq as entropy_v', f'list_sum(list_transform(list_zip(p, q), lambda x: ({_P} * ln({_P} / (({_P} + {_Q}) / 2)) + {_Q} * ln({_Q} / (({_P} + {_Q}) / 2))) / 2)) as jsd', 'list_sum(list_transform(list_zip(p, q), lambda x: abs(x[1] - x[2]))) as l1')},
+    cast(list_position(p, list_max(p)) = list_position(q, list_max(q)) as bigint) as argmax_equal from h"""
+)
+def mixture_pair_features(spark, sf_dir):
+    """Topic-pair scalars on mixtures that both engines make alike: softmax of the embeddings."""
+
+    def soft(c: str):
+        return F.transform(c, lambda x: F.exp(x) / vectors.total(F.transform(c, F.exp)))
+
+    rows = vector_pairs(spark, sf_dir).select("id", soft("a").alias("p"), soft("b").alias("q"))
+    p, q = F.col("p"), F.col("q")
+    return rows.select("id", vectors.entropy(p).alias("entropy_u"), vectors.entropy(q).alias("entropy_v"), vectors.jensen_shannon(p, q).alias("jsd"), vectors.total(vectors.difference(p, q)).alias("l1"), (vectors.argmax(p) == vectors.argmax(q)).cast("long").alias("argmax_equal"))
+
+
+@_query(f"with {VECTOR_SQL} select id, {_r(f'list_sum(a) + list_sum(b) + list_sum({_DIFF}) + list_sum({_HAD}) + {_DOT} / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-12) as total', f'1 / (1 + exp(-{_DOT})) as prob')}, cast(4 * len(a) + 1 as bigint) as width from vector_pairs")
+def neural_combination(spark, sf_dir):
+    rows = vector_pairs(spark, sf_dir).select("id", vectors.combination(F.col("a"), F.col("b")).alias("x"), vectors.sigmoid(vectors.dot(F.col("a"), F.col("b"))).alias("prob"))
+    return rows.select("id", vectors.total(F.col("x")).alias("total"), "prob", F.size("x").cast("long").alias("width"))
+
+
+# folds, joins, stacking
+
+
+@_query("select doc_id as id, cast(quality as bigint) as is_duplicate, cast((row_number() over (partition by quality order by md5(cast(doc_id as varchar) || '-7610'), doc_id) - 1) % 5 as bigint) as fold from labels")
+def stratified_folds(spark, sf_dir):
+    return tfidf.folds(label_rows(spark, sf_dir))
+
+
+def _families(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    pairs = text_pairs(spark, sf_dir)
+    return stacking.join_features({"basic": clean.token_similarity(pairs), "tfidf": tfidf.pair_features(pairs)}), pairs.select("id", "is_duplicate")
+
+
+@_query("with basic as (" + _SQL["token_similarity"] + "), tf as (" + _SQL["tfidf_pair_features"] + f"), lab as (with {TEXT_SQL} select id, is_duplicate from text_pairs) select coalesce(b.id, t.id) as id, b.jaccard_distance as basic_jaccard_distance, b.dice as basic_dice, t.cos as tfidf_cos, t.l2d as tfidf_l2d, t.dot as tfidf_dot, t.ov_ratio_1 as tfidf_ov_ratio_1, t.ov_ratio_2 as tfidf_ov_ratio_2, t.nnz_ratio as tfidf_nnz_ratio, cast(lab.is_duplicate as bigint) as is_duplicate from basic b full join tf t on b.id = t.id left join lab on lab.id = coalesce(b.id, t.id)")
+def feature_join(spark, sf_dir):
+    features, labels = _families(spark, sf_dir)
+    return features.join(labels, "id", "left")
+
+
+@_query("select cast(label as bigint) as fold, " + _r("avg(v) as mean", "sum(v * w) / greatest(sum(w), 1) as weighted") + " from (select label, cast(embedding[1] as double) as v, 1 + vec_id % 7 as w from embeddings) group by label")
+def fold_average(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("fold"), F.element_at("embedding", 1).cast("double").alias("v"), (1 + F.col("vec_id") % 7).alias("w"))
+    return rows.groupBy("fold").agg(F.avg("v").alias("mean"), stacking.weighted_mean(F.col("v"), F.col("w")).alias("weighted")).withColumn("fold", F.col("fold").cast("int"))
+
+
+@_query()
+def stack_gbt(spark, sf_dir):
+    features, labels = _families(spark, sf_dir)
+    return stacking.stack(features, labels)[0]
+
+
+@_query()
+def logloss_cv(spark, sf_dir):
+    features, labels = _families(spark, sf_dir)
+    scored = stacking.stack(features, labels)[0]
+    return scored.groupBy("fold").agg(stacking.log_loss(F.col("prob"), F.col("is_duplicate")).alias("log_loss"), F.count("*").alias("n"))
+
+
+@_query("with e as (select label % 2 as y, 1 / (1 + exp(-cast(embedding[1] as double))) as p from embeddings) select " + _r("avg(-(y * ln(p) + (1 - y) * ln(1 - p))) as log_loss") + ", count(*) as n from e")
+def log_loss(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("label") % 2).alias("y"), vectors.sigmoid(F.element_at("embedding", 1).cast("double")).alias("p"))
+    return e.agg(stacking.log_loss(F.col("p"), F.col("y")).alias("log_loss"), F.count("*").alias("n"))
+
+
+@_query("with basic as (" + _SQL["token_similarity"] + f"), lab as (with {TEXT_SQL} select id, is_duplicate from text_pairs) select lab.id, case when lab.is_duplicate = 1 then b.dice else 0.0 end as is_duplicate from lab left join basic b on b.id = lab.id")
+def submission(spark, sf_dir):
+    """All ids, with the score of those that one was made for and 0 for the others."""
+    pairs = text_pairs(spark, sf_dir)
+    made = clean.token_similarity(pairs.where("is_duplicate = 1")).select("id", F.col("dice").alias("is_duplicate"))
+    return stacking.submission(pairs, made)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
