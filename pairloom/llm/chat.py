@@ -35,51 +35,47 @@ def formatted(turn: Column) -> Column:
     return F.concat(F.lit(OPEN), escape(turn["role"]), F.lit(PART), escape(turn["text"]), F.lit(CLOSE))
 
 
+_WINDOW = "struct<formatted:string,loss:array<struct<start:int,length:int>>,repeated:int,tokens:int>"
+_PART = "struct<s:string,n:int,after:int>"
+
+
+def _as(kind: str, **fields: Column) -> Column:
+    return F.struct(*(c.alias(n) for n, c in fields.items())).cast(kind)
+
+
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window int, formatted string, loss array<struct<start int, length int>> (characters from 0), tokens int: a row per window."""
+    """conv_id, window int, formatted string, loss array<struct<start int, length int>> (characters from 0), repeated int (turns masked out as history), tokens int.
+
+    One pass over a conversation's turns keeps the window that is open and the last `history` tokens of turns, so the work is in proportion to the turns."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     tokens = F.ceil(F.length(text) / 4).cast("int") + 4
     rows = conversations.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text"), tokens.alias("n")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    t = F.col("turns")
-    sums = F.aggregate(t, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["n"])))
-    system = F.coalesce(F.array_position(F.transform(t, lambda x: x["role"]), "system").cast("int") - 1, F.lit(-1))
-    at = turns.select("conv_id", "turns", sums.alias("sums"), system.alias("system"))
-
-    # each turn's place in a window: whether it opens one is decided by the tokens since the last opening
-    s, head = F.col("sums"), F.when(F.col("system") >= 0, F.get("turns", F.col("system"))["n"]).otherwise(0)
-    first = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"))
-
-    def place(state: Column, i: Column) -> Column:
-        n = F.get(s, i + 1) - F.get(s, i)
-        starts, used = state["starts"], state["used"]
-        opens = (F.size(starts) == 0) | (used + n > budget)
-        back = F.size(F.filter(F.sequence(F.lit(0), i), lambda j: (j < i) & (F.get(s, i) - F.get(s, j) <= history)))
-        before = F.get(s, i) - F.get(s, i - back)
-        lead = F.when((F.col("system") >= 0) & (F.col("system") < i - back), head).otherwise(0)
-        fresh = F.when(F.size(starts) == 0, n).otherwise(lead + before + n)
-        return F.when(opens, F.struct(F.concat(starts, F.array(i)).alias("starts"), fresh.alias("used"))).otherwise(F.struct(starts.alias("starts"), (used + n).alias("used")))
-
-    starts = F.aggregate(F.sequence(F.lit(0), F.size("turns") - 1), first, place)["starts"]
-    opened = at.select("*", starts.alias("starts")).select("*", F.posexplode("starts").alias("window", "start"))
-    end = F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns"))
-    kept = F.filter(F.sequence(F.lit(0), F.col("start")), lambda j: (j < F.col("start")) & (F.get(s, F.col("start")) - F.get(s, j) <= history))
-    spans = opened.select("conv_id", "window", "turns", "start", end.alias("end"), "system", F.when(F.col("window") == 0, F.array().cast("array<int>")).otherwise(kept).alias("back"))
-    lead = F.when((F.col("system") >= 0) & (F.col("system") < F.col("start")) & ~F.array_contains("back", F.col("system")), F.array("system")).otherwise(F.array().cast("array<int>"))
-    inside = F.transform(F.concat(lead, F.col("back"), F.sequence("start", F.col("end") - 1)), lambda i: F.struct(F.get("turns", i).alias("t"), (i >= F.col("start")).alias("new")))
-    parts = F.transform(inside, lambda x: F.struct(x["t"]["role"].alias("role"), x["new"].alias("new"), x["t"]["n"].alias("n"), formatted(x["t"]).alias("s"), F.length(escape(x["t"]["text"])).alias("size")))
-    made = spans.select("conv_id", "window", parts.alias("parts"))
-    none = F.array().cast("array<struct<start:int,length:int>>")
-    walk = F.struct(F.lit(0).alias("at"), none.alias("loss"))
-
-    def mask(state: Column, x: Column) -> Column:
-        after = state["at"] + F.length(x["s"])
-        span = F.struct((after - len(CLOSE) - x["size"]).alias("start"), x["size"].alias("length"))
-        target = x["new"] & (x["role"] == "assistant")
-        return F.struct(after.alias("at"), F.when(target, F.concat(state["loss"], F.array(span))).otherwise(state["loss"]).alias("loss"))
-
-    p = F.col("parts")
-    return made.select("conv_id", "window", F.array_join(F.transform(p, lambda x: x["s"]), "").alias("formatted"), F.aggregate(p, walk, mask)["loss"].alias("loss"), F.size(F.filter(p, lambda x: ~x["new"])).alias("repeated"), F.aggregate(p, F.lit(0), lambda a, x: a + x["n"]).alias("tokens"))
+    parts = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), formatted(x).alias("s"), F.length(escape(x["text"])).alias("size"), x["n"].alias("n")))
+    system = F.get(F.filter(parts, lambda x: x["role"] == "system"), F.lit(0))
+    state = f"struct<system:{_PART},passed:int,total:int,done:array<{_WINDOW}>,open:{_WINDOW},recent:array<{_PART}>>"
+    first = _as(state, system=F.when(system.isNotNull(), _as(_PART, s=system["s"], n=system["n"], after=F.lit(0))), passed=F.lit(None), total=F.lit(0), done=F.array(), open=F.lit(None), recent=F.array())
+
+    def step(z: Column, x: Column) -> Column:
+        o = z["open"]
+        opens = o.isNull() | (o["tokens"] + x["n"] > budget)
+        start = z["total"]
+        away = z["passed"].isNotNull() & ~F.exists(z["recent"], lambda r: r["after"] - r["n"] == z["passed"])
+        lead = F.when(z["system"].isNotNull() & away, F.array(z["system"])).otherwise(F.array().cast(f"array<{_PART}>"))
+        repeated = F.concat(lead, z["recent"])
+        before = F.when(opens, F.array_join(F.transform(repeated, lambda r: r["s"]), "")).otherwise(o["formatted"])
+        used = F.when(opens, F.aggregate(repeated, F.lit(0), lambda n, r: n + r["n"])).otherwise(o["tokens"])
+        spans = F.when(opens, F.array().cast("array<struct<start:int,length:int>>")).otherwise(o["loss"])
+        span = _as("struct<start:int,length:int>", start=F.length(before) + F.length(x["s"]) - len(CLOSE) - x["size"], length=x["size"])
+        now = _as(_WINDOW, formatted=F.concat(before, x["s"]), loss=F.when(x["role"] == "assistant", F.concat(spans, F.array(span))).otherwise(spans), repeated=F.when(opens, F.size(repeated)).otherwise(o["repeated"]), tokens=used + x["n"])
+        total = start + x["n"]
+        recent = F.filter(F.concat(z["recent"], F.array(_as(_PART, s=x["s"], n=x["n"], after=total))), lambda r: total - (r["after"] - r["n"]) <= history)
+        passed = F.coalesce(z["passed"], F.when(x["role"] == "system", start))
+        done = F.when(opens & o.isNotNull(), F.concat(z["done"], F.array(o))).otherwise(z["done"])
+        return _as(state, system=z["system"], passed=passed, total=total, done=done, open=now, recent=recent)
+
+    made = F.aggregate(parts, first, step, lambda z: F.concat(z["done"], F.array(z["open"])))
+    return turns.select("conv_id", F.posexplode(made).alias("window", "w")).select("conv_id", "window", "w.*")
 
 
 def read_back(formatted_windows: DataFrame) -> DataFrame:
