@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pairloom.plans.ship import ship
 
-#: The sample on which centroids are fitted (smallest hashes of vec_id), and the number of centroids at most.
+#: The sample on which centroids are fitted (drawn by a hash of vec_id, about so many, twice as many at most), and the number of centroids at most.
 SAMPLE, MOST_LISTS = 16_384, 2_048
 #: Vectors in a unit of work, on average.
 BLOCK = 4_096
@@ -184,7 +184,8 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 20, seed: int = 5,
     """query_id, rank (from 1), vec_id, score: the k nearest found by inner product for the rows where `queries` (a condition on vec_id) holds."""
     rows = usable(ship(embeddings))
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
+    sample = rows.where(drawn).limit(2 * SAMPLE).select("v").toPandas()["v"]
     points = np.array(sample.tolist(), dtype=np.float64) if n else np.zeros((0, 1))
     centroids, turn = fit_centroids(points, lists_for(n), seed), rotation(points.shape[1], seed)
     placed = rows.mapInArrow(_assign(centroids), "list int, vec_id long, v array<double>")
