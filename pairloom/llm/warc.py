@@ -29,7 +29,7 @@ DICTIONARY_MAGIC, SKIPPABLE = 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 #: An empty skippable frame; all its bytes are ASCII, so it can be the writer's line end.
 LINE_END = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
-#: An archive is closed at this many bytes or records; pages (smallest hashes) and bytes of each from which the dictionary is trained.
+#: An archive is closed at this many bytes or records; pages (drawn by a hash of their id, about so many, twice as many at most) and bytes of each from which the dictionary is trained.
 ARCHIVE_BYTES, ARCHIVE_RECORDS, SAMPLE_PAGES, SAMPLE_BYTES = 8 << 20, 20_000, 400, 8192
 #: A fixed date keeps the archives equal from run to run.
 DATE = "2024-01-01T00:00:00Z"
@@ -176,8 +176,10 @@ def marked(pages: DataFrame, least: int = 100, salts: int = 16) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = 100) -> None:
     """Write the pages as .warc.zst archives into a new folder. The dictionary is trained on a bounded sample of pages."""
-    sample = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).cast("binary").alias("h"))
-    dictionary = train_dictionary([bytes(r.h) for r in sample.collect() if r.h])
+    share = min(1.0, SAMPLE_PAGES / max(1, pages.count()))
+    drawn = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = pages.where(drawn).limit(2 * SAMPLE_PAGES).select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).cast("binary").alias("h"))
+    dictionary = train_dictionary(sorted(bytes(r.h) for r in sample.collect() if r.h))
     archives = marked(ship(pages), least).mapInArrow(_build(dictionary), "archive binary")
     archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", LINE_END).option("maxRecordsPerFile", 1).text(path)
 
