@@ -4,10 +4,12 @@ Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of k-
 
 1. Documents with equal sets form a class; the rest of the work has one representative of each.
 2. Where a document can meet a partner: both hash their shingles into the m groups of a size scheme. A partner's set
-   differs in at most K(n) shingles, so of the first K(n) + 1 + slack groups at least 1 + slack hold the same
-   shingles. A document offers the digest of every such group, and drops up to `slack` uninformative ones: empty
-   groups, and groups that over `heavy` classes hold (a common passage). Documents beyond that slack keep them all, so
-   no link is lost. Digests that two classes share tie them into candidate groups (connected components).
+   differs in at most K(n) shingles, so of the first K(n) + 1 + 2 * slack groups at least 1 + 2 * slack hold the same
+   shingles. A document offers the digest of every such group; up to `slack` empty groups aren't offered, which leaves
+   1 + drop shared digests. Every document leaves out its `drop` most held digests (of those in its scheme; common
+   passages, that is), in one order for all, so the least held digest that a pair shares is kept by both.
+   Classes that still share a digest meet with their count vectors (equal meetings once): those whose bound reaches
+   the overlap needed are tied; over a heavy digest all are. Ties make candidate groups (connected components).
 3. Each candidate group is one unit of work: group counts of the shingles are points in an R-tree; a node or point is
    left out where the summed coordinate minima fall short of the overlap that its size needs; survivors that are
    not connected yet are verified on the whole sets. A candidate group over the weight limit is dealt into blocks that
@@ -21,6 +23,7 @@ An empty table gives an empty result. Only `doc_id` and `text` are read, so othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,12 @@ from pairloom.plans.ship import ship
 
 #: Coordinates of a count vector, and entries of an R-tree node.
 DIMS, FANOUT = 64, 16
-#: A digest held by more classes is uninformative where the slack allows.
-HEAVY = 64
+#: Coordinates of the points that meet at a digest.
+POINT_DIMS = 256
+#: A scheme's slack is the most that may differ by this, and 1.
+SLACK = 3
+#: Over a digest that more classes hold, all are tied.
+HEAVY = 4096
 #: A unit of work: members, and shingles in all their sets.
 UNIT_MEMBERS, UNIT_SHINGLES = 4096, 2_000_000
 
@@ -45,58 +52,76 @@ def spread(n: int, percent: int) -> int:
     return n * (100 - percent) // percent
 
 
-def schemes(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(scheme, groups, slack) in which a set of n takes part: its own size band's, and the next one's if a partner can be there.
+def schemes(n: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """(place, scheme, groups, slack) in which a set of n takes part: its own size band's, and the next one's if a partner can be there.
 
     Bands grow by 100/percent at least, so linked sizes are in one band or in neighbouring ones.
     """
     if spread(n, percent) == 0:
         return []
     low, out = 1, []
-    while True:
+    for place in count():
         high = max(low + 1, -(-low * 100 // percent)) if low < 256 else 2 * low
         if low <= n < high or (n < low and n * 100 >= low * percent):
-            slack = 1 + spread(-(-low * percent // 100), percent) // 8
-            out.append((low, spread(high - 1, percent) + 1 + 2 * slack, slack))
+            slack = 1 + spread(-(-low * percent // 100), percent) // SLACK
+            out.append((place, low, spread(high - 1, percent) + 1 + 2 * slack, slack))
         if n < low and not n * 100 >= low * percent:
             return out
         low = high
 
 
-def digests(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """What a set offers as meeting places, and how many heavy ones it may drop."""
-    n, parts, drop = len(s), [], 0
-    for scheme, m, slack in schemes(n, percent):
+def digests(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """What a set offers as meeting places, and how many it may leave out in the schemes of even and of odd place.
+
+    The lowest bit of a digest is the parity of its scheme's place; the at most two schemes of a set are neighbours.
+    """
+    n, parts, drop = len(s), [], [0, 0]
+    for place, scheme, m, slack in schemes(n, percent):
         use = min(m, spread(n, percent) + 1 + 2 * slack)
         group = (s >> np.uint64(5)) % np.uint64(m)
         inside = group < use
         g = group[inside].astype(np.int64)
         total = np.zeros(use, dtype=np.uint64)
         np.add.at(total, g, finish(s[inside] ^ np.uint64(0xA5A5A5A5DEADBEEF)))
-        count = np.bincount(g, minlength=use)
+        held = np.bincount(g, minlength=use)
         keys = finish(total + finish(np.arange(use, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(scheme * 2 + 1)))
-        parts.append(keys[count > 0] if (count == 0).sum() <= slack else keys)
-        drop = drop or slack
+        keys = keys & ~np.uint64(1) | np.uint64(place % 2)
+        empty = int((held == 0).sum())
+        parts.append(keys[held > 0] if empty <= slack else keys)
+        drop[place % 2] = 2 * slack - min(empty, slack)
     return (np.concatenate(parts) if parts else s[:0]), drop
 
 
+def point(s: np.ndarray) -> bytes:
+    """A set's group counts, each a byte rounded up to a multiple of the scale that follows them, so bounds stay bounds."""
+    counts = np.bincount((s >> np.uint64(17)).astype(np.int64) % POINT_DIMS, minlength=POINT_DIMS)
+    scale = max(1, -(-int(counts.max()) // 255))
+    return (-(-counts // scale)).astype(np.uint8).tobytes() + scale.to_bytes(4, "little")
+
+
+def counts_of(points: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), POINT_DIMS + 4)
+    return raw[:, :POINT_DIMS].astype(np.int32) * np.ascontiguousarray(raw[:, POINT_DIMS:]).view("<u4").astype(np.int32)
+
+
 def _profile(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 512):
-                n, first, second, slack, offered = [], [], [], [], []
+                n, first, second, drops, offered, points = [], [], [], [], [], []
                 for text in texts.slice(at, 512):
                     s = shingle_set(text.as_py(), k)
                     keys, drop = digests(s, percent)
                     n.append(len(s))
                     first.append(int(finish(s).sum(dtype=np.uint64).view(np.int64)))
                     second.append(int(np.bitwise_xor.reduce(finish(s * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(11))).view(np.int64)) if len(s) else 0)
-                    slack.append(drop)
+                    drops.append(drop)
                     offered.append(keys.view(np.int64))
+                    points.append(point(s))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in offered])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(offered)))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(n, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(slack, pa.int32()), lists], names=["doc_id", "n", "f1", "f2", "slack", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(n, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array([x for x, _ in drops], pa.int32()), pa.array([x for _, x in drops], pa.int32()), lists, pa.array(points, pa.binary())], names=["doc_id", "n", "f1", "f2", "even", "odd", "keys", "point"])
 
     return run
 
@@ -155,6 +180,52 @@ def link_unit(ids: list[int], labels: list[int], probe: list[bool], sets: list[n
     return edges
 
 
+def tie_unit(ids: list[int], sizes: list[int], points: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs whose bound reaches the overlap needed connect."""
+    n, counts, group, edges = np.array(sizes, dtype=np.int64), counts_of(points), np.arange(len(ids)), []
+    if len(ids) <= FANOUT:
+        tree, order = None, group.copy()
+    else:
+        tree = CountTree(counts, n)
+        order, n, counts = tree.order, tree.sizes, tree.counts
+    middle = len(ids) // 2
+    for i in [middle, *range(middle), *range(middle + 1, len(ids))]:
+        if i != middle and group[i] == group[middle]:
+            continue  # whatever is not connected with the middle one asks for itself
+        if tree is None:
+            at = np.flatnonzero((np.minimum(counts, counts[i]).sum(1) >= needed(n[i], n, percent)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        else:
+            at = tree.search(counts[i], int(n[i]), percent)[0]
+        for j in at[group[at] != group[i]]:
+            if group[j] != group[i]:
+                edges.append((ids[order[i]], ids[order[j]]))
+                group[group == group[j]] = group[i]
+    return edges
+
+
+def _tie(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+
+        def close() -> list[tuple[int, int]]:
+            return tie_unit(list(held), [x for x, _ in held.values()], [x for _, x in held.values()], percent) if len(held) > 1 else []
+
+        def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([x for _, x in edges], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            edges = []
+            for *meeting, doc, n, p in zip(*(c.to_pylist() for c in batch.columns)):
+                if meeting != key:
+                    edges += close()
+                    key, held = meeting, {}
+                held[doc] = n, p
+            yield out(edges)
+        yield out(close())
+
+    return run
+
+
 def _link(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -194,18 +265,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heavy: in
     """doc_id, n_shingles long, class_id (smallest doc_id with the same set), component_id (smallest reachable doc_id), a row per document."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = ship(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    profiles = scratch.keep(texts.mapInArrow(_profile(k, percent), "doc_id long, n int, f1 long, f2 long, slack int, keys array<long>"))
+    profiles = scratch.keep(texts.mapInArrow(_profile(k, percent), "doc_id long, n int, f1 long, f2 long, even int, odd int, keys array<long>, point binary").withColumn("row", F.monotonically_increasing_id()))
     same = ["n", "f1", "f2"]
-    classes = scratch.keep(profiles.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.first("slack").alias("slack"), F.first("keys").alias("keys")))
+    classes = scratch.keep(profiles.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row")).alias("first")).select(*same, F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("row")))
+    firsts = profiles.withColumnRenamed("doc_id", "class_id").join(classes.select("row"), "row", "left_semi")
 
     by_key = Window.partitionBy("key")
-    offered = classes.where("size(keys) > 0").select("class_id", "slack", F.explode("keys").alias("key"))
-    shared = scratch.keep(offered.withColumns({"head": F.min("class_id").over(by_key), "held": F.count("*").over(by_key)}).where("held > 1"))
-    loaded = shared.where(F.col("held") > heavy)
-    over = loaded.groupBy("class_id").agg(F.count("*").alias("c"), F.max("slack").alias("s")).where("c > s").select("class_id")
-    kept = loaded.select("class_id", "key").join(over, "class_id", "left_semi").withColumn("head", F.min("class_id").over(by_key))
-    ties = shared.where(F.col("held") <= heavy).select("class_id", "head").union(kept.select("class_id", "head"))
-    candidates = scratch.keep(connected_components(ties, "class_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("comp")))
+    odd = F.col("key").bitwiseAND(1)
+    offered = firsts.where("size(keys) > 0").select("class_id", "even", "odd", F.explode("keys").alias("key")).select("class_id", "key", F.when(odd == 1, F.col("odd")).otherwise(F.col("even")).alias("drop"))
+    held = offered.withColumn("held", F.count("*").over(by_key)).where("held > 1")
+    least = held.withColumn("place", F.row_number().over(Window.partitionBy("class_id", odd).orderBy(F.desc("held"), "key"))).where("place > drop").select("class_id", "key")
+    shared = scratch.keep(least.select("class_id", "key", F.min("class_id").over(by_key).alias("head"), F.count("*").over(by_key).alias("held"), F.bit_xor(F.xxhash64("class_id")).over(by_key).alias("mark")).where("held > 1").drop("key").distinct())
+    meeting = ["held", "head", "mark"]
+    meetings = shared.where(F.col("held") <= heavy).join(firsts.select("class_id", "n", "point"), "class_id")
+    near = meetings.select(*meeting, "class_id", "n", "point").repartition(*meeting).sortWithinPartitions(*meeting).mapInArrow(_tie(percent), "a long, b long")
+    ties = scratch.keep(near.union(shared.where(F.col("held") > heavy).select("class_id", "head")))
+    candidates = scratch.keep(connected_components(ties, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("comp")))
 
     weights = candidates.join(classes.select(F.col("class_id").alias("doc_id"), "n"), "doc_id").groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = scratch.keep(weights.select("comp", F.ceil(F.greatest(F.col("members") / unit_members, F.col("shingles") / unit_shingles)).cast("int").alias("blocks")))
