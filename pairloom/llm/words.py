@@ -13,7 +13,7 @@ _END = np.uint64(0xFF51AFD7ED558CCD)
 class BoundedCache(dict):
     """A dict that computes what it lacks and starts afresh when it holds `limit` entries."""
 
-    def __init__(self, make, limit: int = 600_000) -> None:
+    def __init__(self, make, limit: int = 50_000) -> None:
         super().__init__()
         self.make, self.limit = make, limit
 
