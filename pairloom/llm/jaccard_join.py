@@ -149,12 +149,12 @@ class CountTree:
         least, most = -(-size * percent // 100), size * 100 // percent
         at = np.arange(len(self.levels[-1][0]))
         for i, (high, low, top) in enumerate(reversed(self.levels)):
-            bound = np.minimum(high[at], point).sum(1)
+            bound = np.minimum(high[at], point).sum(1, dtype=np.int32)
             at = at[(bound >= needed(size, np.maximum(low[at], least), percent)) & (low[at] <= most) & (top[at] >= least)]
             below = len(self.counts) if i == len(self.levels) - 1 else len(self.levels[-2 - i][0])
             at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             at = at[at < below]
-        bound = np.minimum(self.counts[at], point).sum(1)
+        bound = np.minimum(self.counts[at], point).sum(1, dtype=np.int32)
         sure = bound >= needed(size, self.sizes[at], percent)
         return at[sure], bound[sure]
 
@@ -193,7 +193,7 @@ def tie_unit(ids: list[int], sizes: list[int], points: list[bytes], percent: int
         if i != middle and group[i] == group[middle]:
             continue  # whatever is not connected with the middle one asks for itself
         if tree is None:
-            at = np.flatnonzero((np.minimum(counts, counts[i]).sum(1) >= needed(n[i], n, percent)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            at = np.flatnonzero((np.minimum(counts, counts[i]).sum(1, dtype=np.int32) >= needed(n[i], n, percent)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
         else:
             at = tree.search(counts[i], int(n[i]), percent)[0]
         for j in at[group[at] != group[i]]:
