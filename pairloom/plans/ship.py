@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame
 
 _shipped: set[str] = set()
 
+#: Arrow batches end at this many bytes unless the session says otherwise, so long rows don't swell them.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
 
 def ship(df: DataFrame) -> DataFrame:
-    """Send the package's sources to the executors, once for each application, and return df."""
+    """Send the package's sources to the executors, once for each application, bound the session's Arrow batches, and return df."""
     context = df.sparkSession.sparkContext
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(BATCH_BYTES[0]):
+        df.sparkSession.conf.set(*BATCH_BYTES)
     if context.applicationId not in _shipped:
         top = Path(__file__).resolve().parents[1]
         target = os.path.join(tempfile.mkdtemp(prefix="pairloom-"), "pairloom.zip")
