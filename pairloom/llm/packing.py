@@ -43,7 +43,7 @@ class PieceEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         encoding = tiktoken.Encoding("pieces", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
         single = encoding._core_bpe.encode_single_piece
-        self.cache = BoundedCache(lambda piece: array("I", single(piece.encode("utf-8"))).tobytes(), 1_000_000)
+        self.cache = BoundedCache(lambda piece: array("I", single(piece.encode("utf-8"))).tobytes(), 300_000)
         self.special = {text: array("I", [i]).tobytes() for text, i in special.items()}
 
     def encode(self, text: str) -> bytes:
