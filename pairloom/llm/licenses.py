@@ -1,15 +1,17 @@
 """License scans: phrases by place, and an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-A block is a line of a document. A template is found where a block holds at least the containment threshold of its distinct
-words. Template words are ordered by their document frequency over the whole table, rarest first. With need = ceil(threshold * size):
+A block is any passage of consecutive words, across line breaks, of half as many words again as the template (rounded up), so that a
+notice that wraps or has a few words put in is whole in one, and words scattered over a long line are in none. A template is found where
+a block holds at least the containment threshold of its distinct words. Template words are ordered by their document frequency over the
+whole table, rarest first. With need = ceil(threshold * size):
 
-* length filter: a block with fewer than `need` template words is left out;
-* prefix filter: of block and template, the first size - need + 1 words in the order must share a word;
-* positional filter: the words after the shared one must leave room for `need`;
-* what is left is verified by the whole intersection.
+* prefix filter: a block has one of the template's first size - need + 1 words in the order; only the words around such a word are looked at;
+* positional and length filter: of the template's words from the shared one on, those words must hold `need` distinct ones;
+* what is left is verified by the whole intersection, in every block around the shared word.
 
-Words that no template holds can't be in an intersection, so blocks are reduced to template words first. The templates are a
-fixed parameter, so their index has a fixed size and is broadcast. Documents aren't shuffled; what is found meets them by doc_id.
+`scan(..., lines=True)` takes single lines as blocks instead, of any length; it loses notices that wrap. There words that no template
+holds are left out first, and the length and positional filters are those of sets. The templates are a fixed parameter, so their index
+has a fixed size and is broadcast. Documents aren't shuffled; what is found meets them by doc_id.
 
 Null and empty texts have no words, no labels and a score of 0; a null doc_id keeps its row and its phrases only; rows that share a doc_id
 share what the join finds; an empty table gives an empty result; only doc_id and text are read.
@@ -22,7 +24,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII marks part words; all else is in them.
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: Phrases whose places are reported, with their labels.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 #: Wording of license notices and headers (fixed values), with their labels.
@@ -43,8 +46,8 @@ TEMPLATES = [
 
 
 def words(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    parted = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + MARKS, "abcdefghijklmnopqrstuvwxyz" + " " * len(MARKS))
+    return F.array_remove(F.split(parted, " "), "")
 
 
 def phrase_places(w: Column, phrase: str) -> Column:
@@ -68,19 +71,13 @@ def template_index(frequencies: dict[str, int], templates: list[tuple[str, str]]
     index = []
     for label, text in templates:
         ranks = sorted({rank[w] for w in text.split(" ")})
-        index.append({"label": label, "ranks": ranks, "size": len(ranks), "need": ceil(threshold * len(ranks) - 1e-9)})
+        index.append({"label": label, "ranks": ranks, "size": len(ranks), "need": ceil(threshold * len(ranks) - 1e-9), "width": ceil(1.5 * len(text.split(" ")))})
     return rank, index
 
 
-def scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word (long), base_labels, labels (strings), score double."""
-    spark, templates = docs.sparkSession, templates or TEMPLATES
-    read = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
-    vocabulary = sorted({w for _, text in templates for w in text.split(" ")})
-    own = F.array(*map(F.lit, vocabulary))
-    counts = read.select(F.explode(F.array_intersect("w", own)).alias("word")).groupBy("word").count()
-    rank, index = template_index({r["word"]: r["count"] for r in counts.collect()}, templates, threshold)
-
+def _line_matches(read: DataFrame, rank: dict[str, int], index: list[dict]) -> DataFrame:
+    """doc_id, label, overlap, size of the templates that single lines hold."""
+    spark, own = read.sparkSession, F.array(*map(F.lit, sorted(rank)))
     rows = [(r, t["label"], t["ranks"], t["size"], t["need"], at) for t in index for at, r in enumerate(t["ranks"][: t["size"] - t["need"] + 1])]
     prefixes = spark.createDataFrame(rows, "rank int, label string, ranks array<int>, size int, need int, t_at int")
     lead = [w for w, r in rank.items() if r in {x[0] for x in rows}]
@@ -92,7 +89,39 @@ def scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str
     n = F.size("b")
     near = at.where((n >= F.col("need")) & (F.col("b_at") <= n - F.col("need")) & (1 + F.least(F.col("size") - F.col("t_at"), n - F.col("b_at")) - 1 >= F.col("need")))
     overlap = F.size(F.array_intersect("b", "ranks"))
-    sure = near.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
+    return near.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need")).select("doc_id", "label", "overlap", "size")
+
+
+def _passage_matches(read: DataFrame, rank: dict[str, int], index: list[dict]) -> DataFrame:
+    """doc_id, label, overlap, size of the templates that passages hold.
+
+    A passage that holds a template has its rarest shared word in the prefix and is within `width` words of it, so the words around
+    the prefix words of a document hold all such passages.
+    """
+    spark, word = read.sparkSession, {r: w for w, r in rank.items()}
+    rows = [(word[r], t["label"], [word[x] for x in t["ranks"]], t["size"], t["need"], t["width"], at) for t in index for at, r in enumerate(t["ranks"][: t["size"] - t["need"] + 1])]
+    prefixes = spark.createDataFrame(rows, "word string, label string, own array<string>, size int, need int, width int, t_at int")
+    w, widest = F.col("w"), max(t["width"] for t in index)
+    leads = F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(sorted({x[0] for x in rows}))))
+    around = F.transform(leads, lambda i: F.struct(F.get(w, i).alias("word"), F.least(i, F.lit(widest - 1)).alias("at"), F.slice(w, F.greatest(i - (widest - 2), F.lit(1)), F.lit(2 * widest - 1)).alias("b")))
+    # the outer form keeps the optimizer from deriving a filter that would find the words a second time
+    at = read.select("doc_id", F.explode_outer(around).alias("x")).select("doc_id", "x.*").join(F.broadcast(prefixes), "word")
+    first = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
+    near = at.withColumn("b", F.slice("b", first + 1, F.col("at") + F.col("width") - first)).withColumn("last", F.col("at") - first)
+    near = near.where(F.size(F.array_intersect("b", F.slice("own", F.col("t_at") + 1, F.col("size")))) >= F.col("need"))
+    held = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.size(F.array_intersect(F.slice("b", i + 1, F.col("width")), F.col("own"))))
+    return near.withColumn("overlap", F.array_max(held)).where(F.col("overlap") >= F.col("need")).select("doc_id", "label", "overlap", "size")
+
+
+def scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str]] | None = None, lines: bool = True) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word (long), base_labels, labels (strings), score double."""
+    templates = templates or TEMPLATES
+    read = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
+    vocabulary = sorted({w for _, text in templates for w in text.split(" ")})
+    own = F.array(*map(F.lit, vocabulary))
+    counts = read.select(F.explode(F.array_intersect("w", own)).alias("word")).groupBy("word").count()
+    rank, index = template_index({r["word"]: r["count"] for r in counts.collect()}, templates, threshold)
+    sure = (_line_matches if lines else _passage_matches)(read, rank, index)
     found = sure.groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("size")).alias("best"))
 
     places = {label: phrase_places(F.col("w"), phrase) for label, phrase in PHRASES.items()}

@@ -31,7 +31,7 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_documents(spark, sf_dir))
+    return licenses.scan(_documents(spark, sf_dir), lines=False)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

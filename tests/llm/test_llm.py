@@ -186,6 +186,47 @@ def test_licenses(spark, texts, odd):
     assert licenses.scan(odd).count() == 7 and licenses.scan(odd.limit(0)).count() == 0
 
 
+def brute_passages(text, threshold=0.9):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    found, best = set(), 0.0
+    for label, t in licenses.TEMPLATES:
+        width, t = -(-3 * len(t.split()) // 2), set(t.split())
+        most = max((len(t & set(w[i : i + width])) for i in range(len(w))), default=0)
+        if most >= threshold * len(t) - 1e-9:
+            found.add(label)
+            best = max(best, most / len(t))
+    return found, best
+
+
+def test_licenses_across_lines(spark, texts):
+    """Notices as they stand in files: wrapped, as comments, with the words that the templates leave out; and scattered words."""
+    import textwrap
+
+    notices = {
+        "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use',
+        "apache": "Unless noted, you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed",
+    }
+    said, want = [], {}
+    for label, notice in notices.items():
+        for width in (80, 40, 20):
+            for lead in ("", " * ", "# "):
+                want[len(said)] = label
+                said.append((len(said), "some code here\n" + "\n".join(lead + x for x in textwrap.wrap(notice, width)) + "\n\nint main"))
+    far = len(said)
+    said += [(far, " filler words stand here ".join("all rights reserved".split())), (far + 1, None), (far + 2, ""), *((10**6 + d, t) for d, t in texts.items())]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(said, "doc_id long, text string"), lines=False).collect()}
+    assert all(label in got[d].labels.split(",") for d, label in want.items())
+    assert got[far].labels == "" and got[far].score == 0
+    for d, text in said:
+        found, best = brute_passages(text)
+        own = set(got[d].base_labels.split(",")) - {""}
+        assert (set(got[d].labels.split(",")) - {""}, got[d].score) == (own | found, best), d
+
+
 def test_warc(spark):
     long_ = "x" * 120
     rows = [(3, "http://a b/é", long_, 1), (1, None, long_, 2), (2, "u", long_, None), (4, "u", "short", 1), (5, "u", "short", 1), (6, "u", None, 1), (7, "u", "\r\n\r\nWARC/1.1\r\n\r\n", 1), (None, "u", long_, 1)]
