@@ -2,7 +2,8 @@
 
 Each language has two reference histograms, measured over all documents of the table: one of character classes and one
 of the language's common words. A document is compared to the references by Jensen-Shannon distance (base 2) and takes its
-nearest; over the limit in either histogram it is rejected. Texts too short for a histogram to say anything (fewer
+nearest; over the limit in either histogram it is rejected. The limit on words is a share of the distance that a text
+without any common word has to the reference, so such a text is over it in every language, whatever its length. Texts too short for a histogram to say anything (fewer
 letters or words than the guards) are not judged by it. Base rules reject very short and very repetitive texts.
 
 Languages outside COMMON_WORDS, and null ones, share one reference (""). Nulls and empty texts have no words and fail the base rule; a null
@@ -44,8 +45,9 @@ _CLASS[ord("!")], _CLASS[ord("|")] = 7, 8
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _SYMBOLS = b"#*$%&|<>"
 
-#: Limits on the Jensen-Shannon distances, what a short text may have over the first (divided by its letters), and the least letters and words that a histogram is judged on.
-CLASS_LIMIT, SHORT_TEXT, WORD_LIMIT, LEAST_LETTERS, LEAST_WORDS = 0.175, 20, 0.45, 200, 60
+#: Limits on the Jensen-Shannon distance of classes and, as a share of the distance of a text without common words, of words; what a short text may have
+#: over the first (divided by its letters), and the least letters and words that a histogram is judged on.
+CLASS_LIMIT, SHORT_TEXT, WORD_SHARE, LEAST_LETTERS, LEAST_WORDS = 0.175, 20, 0.9, 200, 60
 #: The references are measured again over the documents within this of the first result.
 REFERENCE_LIMIT = 0.25
 
@@ -150,27 +152,34 @@ def language_references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
     return near
 
 
-def judge(text: bytes, lang: str | None, references: dict) -> tuple:
+def word_limits(references: dict) -> dict[str, float]:
+    """The limit on the distance of words for each language whose reference has common words."""
+    none = {k: np.bincount([0], minlength=WIDTH[k]) for k in references if WIDTH[k] > 1 and references[k]["word"][1:].any()}
+    return {k: WORD_SHARE * js_distance(h, references[k]["word"]) for k, h in none.items()}
+
+
+def judge(text: bytes, lang: str | None, references: dict, limits: dict[str, float]) -> tuple:
     """The base metrics, base_failed, the distances to the nearest reference (null where the guards hold) and kept.
 
-    The words are held against the document's own language first, and against the others only if that is over the limit.
+    The words are held against the document's own language first, and against the others only if that is over its limit.
     """
     metrics = n_words, _, _, _, repeat = base_metrics(text)
     failed = n_words < 50 or 100 * repeat > 50 * n_words
     classes = class_histogram(text)
     by_class = by_word = None
+    familiar = True
     letters = int(classes[0] + classes[1] + classes[6])
     if letters >= LEAST_LETTERS and references:
         by_class = min(js_distance(classes, h["class"]) for h in references.values())
         words = text.translate(_LETTERS).split()
-        own = [k for k in references if WIDTH[k] > 1]
-        if len(words) >= LEAST_WORDS and own:
-            for k in sorted(own, key=lambda k: k != lang):
+        if len(words) >= LEAST_WORDS and limits:
+            for k in sorted(limits, key=lambda k: k != lang):
                 d = js_distance(word_histogram(words, k), references[k]["word"])
                 by_word = d if by_word is None else min(d, by_word)
-                if by_word <= WORD_LIMIT:
+                familiar = d <= limits[k]
+                if familiar:
                     break
-    return (*metrics, failed, by_class, by_word, not failed and (by_class or 0) <= CLASS_LIMIT + SHORT_TEXT / max(letters, 1) and (by_word or 0) <= WORD_LIMIT)
+    return (*metrics, failed, by_class, by_word, not failed and (by_class or 0) <= CLASS_LIMIT + SHORT_TEXT / max(letters, 1) and familiar)
 
 
 _KINDS = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
@@ -180,10 +189,11 @@ _NAMES = [*METRICS, "base_failed", "class_distance", "word_distance", "kept"]
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, the base metrics, base_failed, class_distance, word_distance (null where not judged), kept: a row per row of docs."""
     references = language_references(docs)
+    limits = word_limits(references)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [judge(t.as_py() or b"", k.as_py(), references) for t, k in zip(batch.column(1), batch.column(2))]
+            rows = [judge(t.as_py() or b"", k.as_py(), references, limits) for t, k in zip(batch.column(1), batch.column(2))]
             columns = list(zip(*rows)) if rows else [[] for _ in _NAMES]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], names=["doc_id", *_NAMES])
 
@@ -194,12 +204,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with all their columns; a filter of each batch, without a shuffle."""
     references = language_references(docs)
+    limits = word_limits(references)
     at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = [None] * batch.num_rows if lang is None else batch.column(lang).to_pylist()
-            kept = [judge((t.as_py() or "").encode("utf-8"), k, references)[-1] for t, k in zip(batch.column(at), langs)]
+            kept = [judge((t.as_py() or "").encode("utf-8"), k, references, limits)[-1] for t, k in zip(batch.column(at), langs)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

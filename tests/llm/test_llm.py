@@ -376,6 +376,27 @@ def test_quality(spark, texts, odd):
     assert quality.quality_report(odd).count() == 7 and quality.quality_report(odd.limit(0)).count() == 0 and quality.keep_good(odd).columns == odd.columns
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    """Long texts of letters in usual proportions, with no common word of any language, go; the clean documents of each language stay."""
+    docs, r = documents(spark).select("doc_id", "text", "lang"), random.Random(3)
+    labels = {x.doc_id: x.quality for x in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    common = {w for ws in quality.COMMON_WORDS.values() for w in ws}
+    strange = []
+    for i, lang in enumerate(["en", "de", "fr", "es", "xx", None] * 2):
+        said = ["".join(r.choices("etaoinshrdlu", k=r.randrange(2, 9))) for _ in range(80 if i < 6 else 3000)]
+        said = [w for w in said if w not in common]
+        strange.append((-1 - i, ". ".join(" ".join(said[j : j + 12]).capitalize() for j in range(0, len(said), 12)) + ".", lang))
+    got = {x.doc_id: x for x in quality.quality_report(docs.union(spark.createDataFrame(strange, docs.schema))).collect()}
+    for d, _, _ in strange:
+        x = got[d]
+        assert not x.base_failed and x.class_distance <= quality.CLASS_LIMIT and not x.kept, x
+    good = defaultdict(list)
+    for x in docs.collect():
+        if labels.get(x.doc_id) and not got[x.doc_id].base_failed:
+            good[x.lang].append(got[x.doc_id].kept)
+    assert set(good) >= set(quality.COMMON_WORDS) and all(sum(v) >= 0.98 * len(v) for v in good.values())
+
+
 def test_js_distance():
     assert quality.js_distance(np.array([1, 0]), np.array([0, 5])) == 1.0 and quality.js_distance(np.array([2, 4]), np.array([1, 2])) == 0.0
 
