@@ -3,7 +3,8 @@
 One pattern finds candidates in the whole text; each is validated (card numbers by their check digit, addresses by their
 octets, dates by the calendar, social security numbers by their areas) and replaced by a keyed permutation of the values of its format:
 
-* cards keep their length, separators and a valid check digit; phones their separators and country prefix;
+* cards keep their length, separators and a valid check digit; they are looked for in whole runs of digit groups, at the edges of groups,
+  so a short number before or after one (expiry, code, row number) neither hides nor changes it; phones keep their separators and country prefix;
 * e-mail addresses keep their domain, the marks of the local part, and letters and digits stay such (letters are lower-cased);
 * IPv4 addresses are permuted among all addresses, dates of 1900-2099 among these days, numbers of valid areas among such.
 
@@ -30,14 +31,21 @@ PATTERNS = {
     "dmy": r"(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+#: What may stand after a card and isn't part of its run of digit groups: after either separator, and after a space only.
+_APART = PATTERNS["dmy"], PATTERNS["ip"]
+_SPACED = *_APART, PATTERNS["iso"], PATTERNS["ssn"], PATTERNS["phone"], r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\."
+PATTERNS["card"] = rf"(?<![0-9])(?=[0-9](?:[ -]?+[0-9]){{12}})[0-9]++(?:(?: (?!{'|'.join(_SPACED)})|-(?!{'|'.join(_APART)}))[0-9]++)*+"
 ANY = "|".join(PATTERNS.values())
 
 #: 73,049 days from 1900-01-01 to 2099-12-31, 898 areas (001-899 without 666) by 99 groups by 9,999 serials.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 AREAS, REST = 898, 99 * 9999
 
+#: Cards as they are grouped, surest first: usual groupings by the first digit, then groups of three digits and more.
+GROUPINGS = [r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})"]
+GROUPINGS = [f"^(?=[2-6]){GROUPINGS[0]}$", f"^{GROUPINGS[0]}$", "^[0-9]{3,}(?:[ -][0-9]{3,})*$"]
+
 
 def _stream(key: str, tweak: str, i: Column, other: Column, bits: int) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), other), bits)
@@ -107,7 +115,65 @@ def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = permute_string(F.substring(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, "card")
     whole = F.concat(body, ((10 - luhn_sum(body, 0) % 10) % 10).cast("string"))
-    return F.when(luhn_sum(digits, 1) % 10 == 0, _put_back(m, whole, "0-9")).otherwise(m)
+    return _put_back(m, whole, "0-9")
+
+
+def _bind(x: Column, f) -> Column:
+    """f of x, which is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _cards_at(groups: Column) -> Column:
+    """For each of the groups (digits and the mark after them) the surest card that begins there, as (level, minus its groups), or null.
+
+    Of equal levels the longest comes first. Other groupings than those listed are cards only where they begin or end the run.
+    """
+
+    def here(i: Column) -> Column:
+        def one(k: Column) -> Column:
+            def judged(part: Column) -> Column:
+                level = F.lit(None).cast("int")
+                level = F.when((i == 0) | (i + k == F.size(groups)), len(GROUPINGS)).otherwise(level)
+                for n in reversed(range(len(GROUPINGS))):
+                    level = F.when(part.rlike(GROUPINGS[n]), n).otherwise(level)
+                digits = F.regexp_replace(part, "[^0-9]", "")
+                good = F.length(digits).between(13, 19) & level.isNotNull()
+                return F.when(good, F.when(luhn_sum(digits, 1) % 10 == 0, F.struct(level.alias("level"), (-k).alias("k"))))
+
+            return _bind(F.regexp_replace(F.array_join(F.slice(groups, i + 1, k), ""), "[ -]$", ""), judged)
+
+        return F.array_min(F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), one))
+
+    return F.transform(F.sequence(F.lit(0), F.size(groups) - 1), here)
+
+
+def _cards(m: Column, key: str) -> Column:
+    """(the run of digit groups with each card in it replaced, the number of cards). A card gives way to a surer one that begins in it."""
+
+    def chosen(at: Column) -> Column:
+        def take(state: Column, i: Column) -> Column:
+            own = F.get(at, i)
+            surer = F.exists(F.slice(at, i + 2, -own["k"] - 1), lambda x: F.coalesce(x["level"] < own["level"], F.lit(False)))
+            more = F.struct((i - own["k"]).alias("free"), F.array_append(state["spans"], F.struct(i.alias("i"), (-own["k"]).alias("k"))).alias("spans"))
+            return F.when((i < state["free"]) | own.isNull() | surer, state).otherwise(more)
+
+        start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<i:int,k:int>>").alias("spans"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), start, take, lambda s: s["spans"])
+
+    def rebuilt(groups: Column, spans: Column) -> Column:
+        text = lambda i, k: F.array_join(F.slice(groups, i + 1, k), "")
+        end = lambda n: F.when(n == 0, 0).otherwise(F.get(spans, n - 1)["i"] + F.get(spans, n - 1)["k"])
+
+        def part(x: Column, n: Column) -> Column:
+            # the mark after a card is not one of its digits and stays where it is
+            return F.concat(text(end(n), x["i"] - end(n)), _bind(text(x["i"], x["k"]), lambda c: _card(c, key)))
+
+        last = end(F.size(spans))
+        return F.concat(F.array_join(F.transform(spans, part), ""), text(last, F.size(groups) - last))
+
+    run = lambda groups: _bind(chosen_of(groups), lambda spans: F.struct(F.when(F.size(spans) > 0, rebuilt(groups, spans)).otherwise(m).alias("b"), F.size(spans).alias("n")))
+    chosen_of = lambda groups: _bind(_cards_at(groups), chosen)
+    return _bind(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), run)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -157,17 +223,18 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one candidate, or the candidate where it isn't valid."""
+    """(b, n): the pseudonym of one candidate, or the candidate where it isn't valid, and the number of values replaced."""
     full = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
+    one = lambda b: _bind(b, lambda x: F.struct(x.alias("b"), F.when(x != m, 1).otherwise(0).alias("n")))
     iso = F.try_to_date(m, "yyyy-MM-dd")
     return (
-        F.when(F.contains(m, F.lit("@")), _email(m, key))
-        .when(full("ip"), _ip(m, key))
-        .when(full("iso"), _day(m, iso, key, "yyyy-MM-dd"))
-        .when(full("dmy"), _dmy(m, key))
-        .when(full("ssn"), _ssn(m, key))
-        .when(full("phone"), _phone(m, key))
-        .otherwise(_card(m, key))
+        F.when(F.contains(m, F.lit("@")), one(_email(m, key)))
+        .when(full("ip"), one(_ip(m, key)))
+        .when(full("iso"), one(_day(m, iso, key, "yyyy-MM-dd")))
+        .when(full("dmy"), one(_dmy(m, key)))
+        .when(full("ssn"), one(_ssn(m, key)))
+        .when(full("phone"), one(_phone(m, key)))
+        .otherwise(_cards(m, key))
     )
 
 
@@ -180,7 +247,7 @@ def pseudonymise(docs: DataFrame, key: str = "pairloom", text: str = "text", cou
     p = F.col(pairs)
     gaps = F.split(t, ANY, -1)
     joined = F.array_join(F.zip_with(gaps, p, lambda g, x: F.concat(g, F.coalesce(x["b"], F.lit("")))), "")
-    out = docs.withColumn(pairs, F.transform(found, lambda m: F.struct(m.alias("a"), pseudonym(m, key).alias("b"))))
+    out = docs.withColumn(pairs, F.transform(found, lambda m: pseudonym(m, key)))
     if counted:
-        out = out.withColumn(counted, F.coalesce(F.size(F.filter(p, lambda x: x["a"] != x["b"])), F.lit(0)).cast("long"))
+        out = out.withColumn(counted, F.coalesce(F.aggregate(p, F.lit(0), lambda n, x: n + x["n"]), F.lit(0)).cast("long"))
     return out.withColumn(text, F.when(F.size(p) > 0, joined).otherwise(t)).drop(pairs)

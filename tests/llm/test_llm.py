@@ -156,6 +156,29 @@ def test_pseudonyms(spark):
     assert re.search(r"ssn \d{3}-\d{2}-\d{4} not 000-12-3456, call \+1 \(\d{3}\) \d{3}-\d{4}$", out) and "123-45-6789" not in out and "123-4567" not in out
 
 
+def test_cards_next_to_numbers(spark):
+    """Each card gets the pseudonym that it has alone, whatever numbers and dates stand beside it; those stay or get their own."""
+    cards = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "5555 5555 5555 4444", "41111111 11111111", "4222 2222 2222 2"]
+    said, want = list(cards), []
+    for c in cards[:5]:
+        for form in ("card {} 12/26", "{} 123", "7 {}", "12/26 {}", "order 42 {} 99", "10.0.0.256 {}", "{} {}", "{} {} 123", "1. {}, 2. {}"):
+            want.append((len(said), form, c))
+            said.append(form.replace("{}", c))
+    dates = len(said)
+    said += [f"{c} {d}" for c in cards[:5] for d in ("01.02.2024", "2024-02-01", "10.0.0.1", "123-45-6789", "555 123-4567", "12jo@ex.org")]
+    said += ["01.02.2024", "2024-02-01", "10.0.0.1", "123-45-6789", "555 123-4567", "12jo@ex.org", "4111 1111 1111 1112 12", "1 2 3", "5 " * 3000]
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), counted="n").collect()}
+    alone = {c: got[i][0] for i, c in enumerate(cards)}
+    assert all(alone[c] != c and luhn(re.sub("[ -]", "", alone[c])) and got[i][1] == 1 for i, c in enumerate(cards))
+    for d, form, c in want:
+        assert got[d] == (form.replace("{}", alone[c]), form.count("{}")), (form, c, got[d])
+    for i, c in enumerate(cards[:5]):
+        for j in range(6):
+            other = got[dates + 30 + j]
+            assert other[1] == 1 and got[dates + 6 * i + j] == (f"{alone[c]} {other[0]}", 2)
+    assert got[dates + 36] == ("4111 1111 1111 1112 12", 0) and got[dates + 37] == ("1 2 3", 0)
+
+
 def brute_licenses(text, frequencies_unused=None, threshold=0.9):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda x: x.translate({c: c + 32 for c in range(65, 91)})
