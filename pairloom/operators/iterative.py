@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pairloom.operators.graph import adjacency, component_table, degrees
 from pairloom.plans.lineage import Scratch
 
 EVERY = 5
+#: Rounds after which core numbers look for trees.
+TREES = 12
 
 
 def _iterate(start: DataFrame, step, rounds: int, label: str) -> DataFrame:
@@ -59,13 +63,30 @@ def katz(edges: DataFrame, rounds: int = 20, share: float = 0.9, beta: float = 1
     return x.select("node", (F.col("x") / F.lit(length or 1.0)).alias("katz"))
 
 
-def core_numbers(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """node, core: the h-index of the neighbours' values, from the degrees down to the fixpoint (Lu et al., 2016). Self-loops are left out."""
+def _with_trees_settled(now: DataFrame, adj: DataFrame) -> DataFrame:
+    """The values with 1 on every component that is a tree, which long chains would take a round for each node from their ends to reach."""
+    comp = component_table(adj.where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    ends = adj.join(comp.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count("*").alias("ends"))
+    trees = comp.groupBy("component").agg(F.count("*").alias("n")).join(ends, "component").where("ends = 2 * (n - 1)").select("component")
+    in_trees = comp.join(trees, "component", "left_semi").select("node", F.lit(1).cast("long").alias("one"))
+    return now.join(in_trees, "node", "left").select("node", F.coalesce("one", "core").alias("core"))
+
+
+def core_numbers(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """node, core: the h-index of the neighbours' values, from the degrees down to the fixpoint (Lu et al., 2016). Self-loops are left out.
+
+    It runs until nothing changes; where max_rounds is given and doesn't suffice, it raises. Values only fall, so it ends.
+    A tail that hangs from a denser part takes a round for each of its nodes; components that are trees are settled at once after TREES rounds.
+    """
     scratch = Scratch(edges.sparkSession, "cores")
     adj = scratch.keep(adjacency(edges.where("u <> v")))
     now = scratch.keep(degrees(adj).select("node", F.col("d").alias("core")))
     mark = None
-    for _ in range(max_rounds):
+    for i in count() if max_rounds is None else range(max_rounds):
+        if i == TREES:
+            before, now = now, scratch.keep(_with_trees_settled(now, adj))
+            scratch.drop(before)
+            mark = None
         near = adj.join(now.select(F.col("node").alias("dst"), "core"), "dst").groupBy("src", "core").agg(F.count("*").alias("n"))
         falling = F.sum("n").over(_by_falling_core())
         h = near.withColumn("h", F.least("core", falling)).groupBy(F.col("src").alias("node")).agg(F.max("h").alias("core"))
@@ -76,6 +97,8 @@ def core_numbers(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if total == mark:
             break
         mark = total
+    else:
+        raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
     return now
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import text, vectors
@@ -114,6 +115,15 @@ def test_shortest_path_on_a_path(spark):
     assert {(r.u, r.v): r.distance for r in graph.bounded_shortest_path(asked, e).collect()} == {(0, 0): 0, (0, 3): 3, (0, 4): 4, (0, 6): 5, (0, 99): -1, (99, 99): 0}
 
 
+def test_core_numbers_of_chains_and_tails(spark):
+    """A chain that 200 rounds don't settle, and a tail on a triangle; too few rounds raise."""
+    chain, tail = [(i, i + 1) for i in range(450)], [(1000, 1001), (1001, 1002), (1000, 1002)] + [(i, i + 1) for i in range(1002, 1030)]
+    got = {r.node: r.core for r in iterative.core_numbers(edges(spark, chain + tail)).collect()}
+    assert got == {i: 2 if 1000 <= i <= 1002 else 1 for i in [*range(451), *range(1000, 1031)]}
+    with pytest.raises(RuntimeError):
+        iterative.core_numbers(edges(spark, tail), max_rounds=5)
+
+
 def test_empty_graph(spark):
     e = edges(spark, [])
     assert connected_components(e, "u", "v").count() == 0 and graph.link_features(e, e).count() == 0 and iterative.core_numbers(e).count() == 0
