@@ -132,11 +132,17 @@ def bounded_shortest_path(pairs: DataFrame, edges: DataFrame, cutoff: int = 4) -
     return pairs.select("u", "v").join(met, ["u", "v"], "left").join(far, ["u", "v"], "left").select("u", "v", F.coalesce("distance", F.when(F.col("u") == F.col("v"), 0).when(F.col("known"), cutoff + 1).otherwise(-1)).cast("long").alias("distance"))
 
 
-def two_hop(nodes: DataFrame, adj: DataFrame, deg_cap: int = 200, sample_k: int = 80, size_cap: int = 5000) -> DataFrame:
+def two_hop(nodes: DataFrame, adj: DataFrame, deg_cap: int | None = 200, sample_k: int = 80, size_cap: int | None = 5000) -> DataFrame:
     """(node, x): nodes two hops away, without the node and its neighbours.
 
     A node over deg_cap uses its sample_k smallest neighbours; they are followed in order of id until the set is over size_cap.
+    None for a cap leaves it out; without both the result is whole.
     """
+    if deg_cap is None and size_cap is None:
+        used = adj.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("w"))
+        reached = used.join(adj.select(F.col("src").alias("w"), F.col("dst").alias("x")), "w").where("node <> x").select("node", "x").distinct()
+        return reached.join(adj.select(F.col("src").alias("node"), F.col("dst").alias("x")), ["node", "x"], "left_anti")
+    deg_cap, size_cap = (2**62 if cap is None else cap for cap in (deg_cap, size_cap))
     d = adj.groupBy("src").agg(F.count("*").alias("d_nb"))
     ranked = adj.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(d, "src").withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
     used = ranked.where((F.col("d_nb") <= deg_cap) | (F.col("rank") <= sample_k)).select(F.col("src").alias("node"), F.col("dst").alias("w"), "rank")
@@ -148,7 +154,7 @@ def two_hop(nodes: DataFrame, adj: DataFrame, deg_cap: int = 200, sample_k: int
     return kept.join(adj.select(F.col("src").alias("node"), F.col("dst").alias("x")), ["node", "x"], "left_anti")
 
 
-def two_hop_features(pairs: DataFrame, edges: DataFrame, **caps: int) -> DataFrame:
+def two_hop_features(pairs: DataFrame, edges: DataFrame, **caps: int | None) -> DataFrame:
     adj = adjacency(edges)
     deg = degrees(adj).select(F.col("node").alias("x"), F.col("d_nb").alias("d"))
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()

@@ -266,9 +266,9 @@ def triangle_clustering_pairs(spark, sf_dir):
     select u, v, i as inter, {_r('case when su + sv - i > 0 then i / (su + sv - i) else 0.0 end as jacc')}, su as size_u, sv as size_v, {_r('ra as ra', 'aa as aa', 'ln(1 + ra) as log_ra', 'ln(1 + aa) as log_aa')} from w"""
 )
 def two_hop_pairs(spark, sf_dir):
-    """With the default caps, which these degrees don't reach."""
+    """Without caps, as its SQL; the caps of `graph.two_hop` are the reference's."""
     pairs = graph_pairs(spark, sf_dir)
-    return graph.two_hop_features(pairs, graph.edges_of(pairs))
+    return graph.two_hop_features(pairs, graph.edges_of(pairs), deg_cap=None, size_cap=None)
 
 
 @_query(

@@ -124,6 +124,16 @@ def test_core_numbers_of_chains_and_tails(spark):
         iterative.core_numbers(edges(spark, tail), max_rounds=5)
 
 
+def test_two_hop_query_has_no_caps(spark, monkeypatch):
+    """A hub of 250 neighbours with one more each: the query counts them all, as its SQL does."""
+    from pairloom.plans import registry
+
+    e = edges(spark, [(0, i) for i in range(1, 251)] + [(i, 1000 + i) for i in range(1, 251)])
+    monkeypatch.setattr(registry, "graph_pairs", lambda spark, sf_dir: e)
+    got = {(r.u, r.v): (r.size_u, r.size_v) for r in registry.queries()["two_hop_pairs"](spark, "").collect()}
+    assert got[0, 1] == (250, 249) and got[250, 1250] == (249, 1) and len(got) == 500
+
+
 def test_empty_graph(spark):
     e = edges(spark, [])
     assert connected_components(e, "u", "v").count() == 0 and graph.link_features(e, e).count() == 0 and iterative.core_numbers(e).count() == 0
