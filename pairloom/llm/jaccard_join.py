@@ -16,7 +16,8 @@ Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of k-
    share a pivot; what stays apart from the group's largest component then meets every block. That covers all pairs.
 
 Nulls: null or empty text, or text without words, is an empty set linked with nothing (its own component); a null doc_id
-gets a null component. Repeated rows are kept; rows sharing a doc_id count as one document. Ties go to the smallest doc_id.
+gets a null component. Repeated rows are kept; rows sharing a doc_id count as one document, and
+each of its classes is compared by its own text. Ties go to the smallest doc_id.
 An empty table gives an empty result. Only `doc_id` and `text` are read, so other columns can have any name.
 """
 
@@ -107,7 +108,7 @@ def counts_of(points: list[bytes]) -> np.ndarray:
 def _profile(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, hashes = batch.column(0), batch.column(1), batch.column(2)
             for at in range(0, batch.num_rows, 512):
                 n, first, second, drops, offered, points = [], [], [], [], [], []
                 for text in texts.slice(at, 512):
@@ -121,7 +122,7 @@ def _profile(k: int, percent: int):
                     points.append(point(s))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in offered])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(offered)))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(n, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array([x for x, _ in drops], pa.int32()), pa.array([x for _, x in drops], pa.int32()), lists, pa.array(points, pa.binary())], names=["doc_id", "n", "f1", "f2", "even", "odd", "keys", "point"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), hashes.slice(at, 512), pa.array(n, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array([x for x, _ in drops], pa.int32()), pa.array([x for _, x in drops], pa.int32()), lists, pa.array(points, pa.binary())], names=["doc_id", "hash", "n", "f1", "f2", "even", "odd", "keys", "point"])
 
     return run
 
@@ -208,7 +209,7 @@ def _tie(percent: int):
         key, held = None, {}
 
         def close() -> list[tuple[int, int]]:
-            return tie_unit(list(held), [x for x, _ in held.values()], [x for _, x in held.values()], percent) if len(held) > 1 else []
+            return tie_unit([x for x, _, _ in held], [x for _, x, _ in held], [x for _, _, x in held], percent) if len(held) > 1 else []
 
         def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([x for _, x in edges], pa.int64())], names=["a", "b"])
@@ -219,7 +220,7 @@ def _tie(percent: int):
                 if meeting != key:
                     edges += close()
                     key, held = meeting, {}
-                held[doc] = n, p
+                held[doc, n, p] = None
             yield out(edges)
         yield out(close())
 
@@ -234,7 +235,7 @@ def _link(k: int, percent: int):
             if len(held) < 2:
                 return None
             ids = list(held)
-            edges = link_unit(ids, [held[x][0] for x in ids], [held[x][1] for x in ids], [held[x][2] for x in ids], percent)
+            edges = link_unit([x for x, _ in ids], [held[x][0] for x in ids], [held[x][1] for x in ids], [held[x][2] for x in ids], percent)
             return pa.RecordBatch.from_pydict({"a": [x for x, _ in edges], "b": [x for _, x in edges]}, pa.schema([("a", pa.int64()), ("b", pa.int64())])) if edges else None
 
         for batch in batches:
@@ -244,30 +245,32 @@ def _link(k: int, percent: int):
                     if (out := close()) is not None:
                         yield out
                     key, held = unit, {}
-                doc, label, probe = (x.as_py() for x in row[3:6])
+                *doc, label, probe = (x.as_py() for x in row[3:7])
+                doc = tuple(doc)
                 if doc in held:
                     held[doc] = (held[doc][0], held[doc][1] or probe, held[doc][2])
                 else:
-                    held[doc] = (label, probe, shingle_set(row[6].as_py(), k))
+                    held[doc] = (label, probe, shingle_set(row[7].as_py(), k))
         if (out := close()) is not None:
             yield out
 
     return run
 
 
-def _units(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges from members (comp, i, j, doc_id, label, probe), one unit of work for each comp, i, j."""
-    rows = members.join(texts, "doc_id").select("comp", "i", "j", "doc_id", "label", "probe", "text")
-    return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "doc_id").mapInArrow(_link(k, percent), "a long, b long")
+def _units(members: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges from members (comp, i, j, doc_id, label, probe), one unit of work for each comp, i, j; each class with the text of its first row."""
+    own = members.join(classes.select(F.col("class_id").alias("doc_id"), "hash"), "doc_id")
+    rows = own.join(texts, ["doc_id", "hash"]).select("comp", "i", "j", "doc_id", "hash", "label", "probe", "text")
+    return rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "doc_id", "hash").mapInArrow(_link(k, percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heavy: int = HEAVY, unit_members: int = UNIT_MEMBERS, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """doc_id, n_shingles long, class_id (smallest doc_id with the same set), component_id (smallest reachable doc_id), a row per document."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    texts = ship(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    profiles = scratch.keep(texts.mapInArrow(_profile(k, percent), "doc_id long, n int, f1 long, f2 long, even int, odd int, keys array<long>, point binary").withColumn("row", F.monotonically_increasing_id()))
+    texts = ship(docs).select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("hash", F.xxhash64("text"))
+    profiles = scratch.keep(texts.mapInArrow(_profile(k, percent), "doc_id long, hash long, n int, f1 long, f2 long, even int, odd int, keys array<long>, point binary").withColumn("row", F.monotonically_increasing_id()))
     same = ["n", "f1", "f2"]
-    classes = scratch.keep(profiles.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row")).alias("first")).select(*same, F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("row")))
+    classes = scratch.keep(profiles.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row", "hash")).alias("first")).select(*same, F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("row"), F.col("first.hash").alias("hash")))
     firsts = profiles.withColumnRenamed("doc_id", "class_id").join(classes.select("row"), "row", "left_semi")
 
     by_key = Window.partitionBy("key")
@@ -287,7 +290,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heavy: in
     placed = candidates.join(blocks, "comp").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     pivots = placed.where("blocks > 1 and doc_id = comp").select("comp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), "doc_id")
     first = placed.select("comp", "i", "doc_id").union(pivots).select("comp", "i", F.lit(-1).alias("j"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("probe"))
-    edges = scratch.keep(_units(first, texts, k, percent))
+    edges = scratch.keep(_units(first, classes, texts, k, percent))
     found = connected_components(edges, "a", "b")
     if blocks.where("blocks > 1").head(1):
         hot = scratch.keep(placed.where("blocks > 1").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("comp", "blocks", "i", "doc_id", F.coalesce("component", "doc_id").alias("label")))
@@ -296,7 +299,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, heavy: in
         split = apart.groupBy("comp").count().select("comp", F.ceil(F.col("count") / unit_members).cast("int").alias("probes"))
         probes = apart.join(split, "comp").select("comp", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("probes")).cast("int").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"), "doc_id", "label", F.lit(True).alias("probe"))
         rest = hot.join(split, "comp").select("comp", F.explode(F.expr("sequence(0, probes - 1)")).alias("x"), F.col("i").alias("j"), "doc_id", "label", F.lit(False).alias("probe")).withColumnRenamed("x", "i")
-        more = scratch.keep(_units(probes.unionByName(rest), texts, k, percent))
+        more = scratch.keep(_units(probes.unionByName(rest), classes, texts, k, percent))
         found = connected_components(edges.union(more), "a", "b")
 
     final = classes.select(*same, "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*same, "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -376,6 +376,16 @@ def test_jaccard_join_on_odd_rows(spark, odd):
     assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_jaccard_join_on_texts_that_share_a_doc_id(spark, swap):
+    """Each text of document 5 links with its own near copy, in either order of the rows."""
+    a, b = ([f"{x}{i}" for i in range(120)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b))]
+    rows = (rows[::-1] if swap else rows) + [(6, " ".join([*a[:-1], "c"])), (7, " ".join([*b[:-1], "c"])), (8, "other words")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5), (8, 8)}
+
+
 def test_quality(spark, texts, odd):
     got = {r.doc_id: r for r in quality.quality_report(documents(spark)).collect()}
     assert set(got) == set(texts)
