@@ -1,19 +1,23 @@
 """Packing documents into sequences by first-fit decreasing, with a tournament tree of bin capacities.
 
 A document's ids (and a closing id) are cut at multiples of the sequence length; whole pieces are sequences by
-themselves, the rest of each document is an item. Items are dealt into randomised groups by a seeded hash; the number of
-groups follows the number of documents, so a group has a bounded expected size whatever the key distribution.
+themselves, the rest of each document is an item. Pieces are written to a table first and dealt from there into randomised groups by a
+seeded hash of their place in it; a piece's place is settled once it is written, so equal rows, however many, are spread over all groups and a
+lost task deals as before. The number of groups follows the number of pieces, so a group has a bounded expected size whatever the rows hold.
 In a group the items go, longest first (ties by doc_id, start), into the leftmost bin with room; the tree over bin
 capacities finds it in O(log bins). A sequence whose length is a power of two is not padded.
 
-Nulls and empty texts are documents of the closing id alone; a null doc_id stays null; repeated rows are packed each by itself; an empty table
+Ids are those of the tokenizer file: its model gives the ids of each pre-token, strings of its added tokens are their ids.
+
+Nulls and empty texts are documents of the closing id alone; a null doc_id stays null; repeated rows are packed each by itself; very long texts
+are cut into as many pieces as they need; pieces of equal length go by doc_id, start and content; an empty table
 gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
+import json
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -23,28 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.vocab import split_text, vocabulary_path
+from pairloom.llm.vocab import byte_symbols, split_text, vocabulary_path
 from pairloom.llm.words import BoundedCache
+from pairloom.plans.lineage import Scratch
 from pairloom.plans.ship import ship
 
-#: Documents dealt to a group, on average.
-GROUP_DOCUMENTS = 8192
+#: Pieces dealt to a group, on average.
+GROUP_PIECES = 8192
 
 PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class PieceEncoder:
-    """Little-endian 32-bit ids of whole texts; equal to the tokenizer file with the same vocabulary."""
+    """Little-endian 32-bit ids of whole texts under a byte-level tokenizer file."""
 
-    def __init__(self, ranks_path: str, special: dict[str, int]) -> None:
-        import tiktoken
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        encoding = tiktoken.Encoding("pieces", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
-        single = encoding._core_bpe.encode_single_piece
-        self.cache = BoundedCache(lambda piece: array("I", single(piece.encode("utf-8"))).tobytes(), 300_000)
-        self.special = {text: array("I", [i]).tobytes() for text, i in special.items()}
+        model, symbols = Tokenizer.from_file(path).model, byte_symbols()
+        with open(path, encoding="utf-8") as file:
+            added = json.load(file).get("added_tokens", [])
+        self.cache = BoundedCache(lambda piece: array("I", [t.id for t in model.tokenize("".join(symbols[b] for b in piece.encode("utf-8")))]).tobytes(), 300_000)
+        self.special = {x["content"]: array("I", [x["id"]]).tobytes() for x in sorted(added, key=lambda x: -len(x["content"]))}
 
     def encode(self, text: str) -> bytes:
         for special, packed in self.special.items():
@@ -54,13 +58,12 @@ class PieceEncoder:
 
 
 @functools.lru_cache(2)
-def encoder(ranks_path: str) -> PieceEncoder:
-    return PieceEncoder(ranks_path, {"<|endoftext|>": 50256})
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
-def default_ranks() -> str:
-    """The ranks of the vocabulary of byte_bpe_50k.json."""
-    return vocabulary_path("byte_bpe_50k.tiktoken")
+def default_vocabulary() -> str:
+    return vocabulary_path("byte_bpe_50k.json")
 
 
 def _pieces(find: Callable[[], str], size: int, closing: int):
@@ -130,10 +133,11 @@ def _pack(size: int):
     return run
 
 
-def pack_documents(docs: DataFrame, size: int = 2048, closing: int = 1, group_documents: int = GROUP_DOCUMENTS, seed: int = 17, ranks: Callable[[], str] = default_ranks) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long): a row per piece. Counts the documents first."""
+def pack_documents(docs: DataFrame, size: int = 2048, closing: int = 1, group_pieces: int = GROUP_PIECES, seed: int = 17, vocabulary: Callable[[], str] = default_vocabulary) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long): a row per piece."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    groups = max(1, -(-docs.count() // group_documents))
-    made = ship(docs).select("doc_id", "text").mapInArrow(_pieces(ranks, size, closing), PIECES.format(kind))
-    dealt = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)).cast("int"))
+    made = ship(docs).select("doc_id", "text").mapInArrow(_pieces(vocabulary, size, closing), PIECES.format(kind))
+    pieces = Scratch(docs.sparkSession, "packing").keep(made.withColumn("place", F.monotonically_increasing_id()))
+    groups = max(1, -(-pieces.count() // group_pieces))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("place", F.lit(seed)), F.lit(groups)).cast("int")).drop("place")
     return dealt.groupBy("bucket").applyInPandas(_pack(size), f"{PIECES.format(kind)}, sequence_id long, offset long")

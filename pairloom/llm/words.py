@@ -11,13 +11,15 @@ _END = np.uint64(0xFF51AFD7ED558CCD)
 
 
 class BoundedCache(dict):
-    """A dict that computes what it lacks and starts afresh when it holds `limit` entries."""
+    """A dict that computes what it lacks, keeps it for keys of `longest` characters at most (integers are kept), and starts afresh when it holds `limit` entries."""
 
-    def __init__(self, make, limit: int = 50_000) -> None:
+    def __init__(self, make, limit: int = 50_000, longest: int = 48) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
+        if not isinstance(key, int) and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.make(key)
