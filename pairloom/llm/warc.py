@@ -1,15 +1,17 @@
 """WARC archives under Zstandard with a dictionary: writing, reading and validation.
 
 An archive is a skippable frame (magic 0x184D2A5D) with the dictionary, then one Zstandard frame per record. The reader takes the
-dictionary from that leading frame, decodes one frame per record, and checks the version line, the mandatory headers, the lengths, that each frame ends
-with its record, and the digest of each response's payload. Other skippable frames (0x184D2A50-5F) are passed over.
+dictionary from that leading frame, decodes one frame per record, and checks the version line, the record type, the mandatory headers (each once), the
+lengths, that each frame ends with its record, and the digest of each response's payload. Other skippable frames (0x184D2A50-5F) are passed over.
+Where all records of a set of archives are read, revisits are held against the responses that they refer to: length and digest must be theirs.
 
 Archives are built and written through Spark's own writer into a folder that the cluster shares: one archive per file, followed by an
 empty skippable frame where the writer ends its line. A lost task is written again by its next attempt; only committed files are read.
 
 Of records with equal payloads (SHA-256) of at least `least` bytes the one with the smallest page_id is a response, the others revisit it. Null html is an
-empty payload; a null page_id is kept and never is what others revisit; repeated page_ids each make a record. A null url is an empty URI. An empty table makes no archive
-and an empty result. Only page_id, url and html are read.
+empty payload; a null page_id is kept and never is what others revisit; repeated page_ids each make a record, and where equal payloads share the smallest page_id, all of
+that id are responses. A null url is an empty URI; what isn't printable ASCII in a URL, and spaces, is escaped as its UTF-8 bytes. A record can be larger than an
+archive's size; it closes its archive. An empty table makes no archive and an empty result. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -34,12 +36,21 @@ ARCHIVE_BYTES, ARCHIVE_RECORDS, SAMPLE_PAGES, SAMPLE_BYTES = 8 << 20, 20_000, 40
 #: A fixed date keeps the archives equal from run to run.
 DATE = "2024-01-01T00:00:00Z"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+#: Record types of the standard (fixed values).
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+#: Bytes of an archive that the decompressor gets at once.
+SLICE = 1 << 16
 
 
 class BadArchive(ValueError):
     """What the archive holds is not what its headers say."""
 
 
+def escape_url(url: str) -> str:
+    """Bytes of UTF-8 that aren't printable ASCII, and spaces, as percent and two hexadecimal digits; escapes that are there stay."""
+    return "".join(chr(b) if 32 < b < 127 else f"%{b:02X}" for b in url.encode("utf-8", "surrogatepass"))
+
+
 def record(page_id: int | None, url: str, payload: bytes, digest: str, revisits: int | None, date: str = DATE) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisits is not None else http + payload
@@ -47,7 +58,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, revisits:
         "WARC-Type": "response" if revisits is None else "revisit",
         "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date": date,
-        "WARC-Target-URI": "".join(c if 32 < ord(c) < 127 else f"%{ord(c):X}" for c in url),
+        "WARC-Target-URI": escape_url(url),
         "WARC-Payload-Digest": f"sha256:{digest}",
         "Content-Type": "application/http; msgtype=response",
     }
@@ -61,11 +72,16 @@ def parse_record(data: bytes) -> dict:
     """The headers and payload of a record that is exactly data."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.decode("utf-8").split("\r\n")
-    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
+    pairs = [x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines]
+    headers = dict(pairs)
+    if twice := {k for k, _ in pairs if sum(k == x for x, _ in pairs) > 1}:
+        raise BadArchive(f"headers given twice: {sorted(twice)}")
     if not version.startswith("WARC/1.") or not gap:
         raise BadArchive(f"no WARC version line: {version[:40]!r}")
     if missing := [x for x in REQUIRED if x not in headers]:
         raise BadArchive(f"headers missing: {missing}")
+    if headers["WARC-Type"] not in TYPES or (headers["WARC-Type"] == "revisit" and "WARC-Refers-To" not in headers):
+        raise BadArchive(f"a record of type {headers['WARC-Type'][:40]!r} without what it needs")
     if not headers["Content-Length"].isdigit() or len(rest) != int(headers["Content-Length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise BadArchive(f"a record of {len(rest)} bytes under Content-Length {headers['Content-Length']}")
     http, _, payload = rest[:-4].partition(b"\r\n\r\n")
@@ -103,15 +119,17 @@ def read_archive(data: bytes) -> Iterator[dict]:
             raise BadArchive(f"no frame at byte {at}")
         if at == 0:
             make = zstandard.ZstdDecompressor()
-        one = make.decompressobj()
+        one, parts, end = make.decompressobj(), [], at
         try:
-            content = one.decompress(view[at:])
+            while not one.eof and end < len(data):
+                parts.append(one.decompress(view[end : end + SLICE]))
+                end = min(end + SLICE, len(data))
         except zstandard.ZstdError as e:
             raise BadArchive(f"frame {frames} at byte {at}: {e}") from e
         if not one.eof:
             raise BadArchive(f"frame {frames} at byte {at} is cut short")
-        at, frames = len(data) - len(one.unused_data), frames + 1
-        yield parse_record(content)
+        at, frames = end - len(one.unused_data), frames + 1
+        yield parse_record(b"".join(parts))
 
 
 class ArchiveBuilder:
@@ -200,6 +218,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "uri", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
+def wrong_revisits(records: DataFrame) -> DataFrame:
+    """The revisits whose length or digest no response of the page that they refer to has. What responses say is read once for each page, length and digest."""
+    said = ["payload_bytes", "payload_digest"]
+    there = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *said).distinct()
+    return records.where("record_type = 'revisit'").join(there, ["refers_to", *said], "left_anti").select(*records.columns)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, uri, payload_bytes, payload_digest, record_type, refers_to of every record of the archives in a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
