@@ -3,13 +3,17 @@
 A turn is written as <s>role<r>text</s>. The control strings <s>, <r>, </s>, [INST] and [/INST] inside roles and texts get a
 backslash after their first character, and backslashes are doubled, so a text can be read back whatever it holds.
 
-Prefix sums of the turns' token estimates (4 characters a token, 4 for the marks) choose turn-aligned spans: a window opens with the
-conversation's system turn and up to `history` tokens of turns before its span, then takes new turns while the budget lasts, one
-at least. The loss mask covers the texts of the assistant turns of the span; turns repeated as history are masked out,
-so each assistant text is a target once. A turn longer than the budget makes a window of its own, over the budget.
+Prefix sums of the turns' tokens choose turn-aligned spans: a window opens with the conversation's system turn and as many of the last
+`history` tokens of turns before its span as leave room for its first turn, then takes new turns while the budget lasts. A window is within
+the budget wherever its first turn and the system turn are; where they aren't, it holds just those two. The loss mask covers the texts of the
+assistant turns of the span; turns repeated as history are masked out, so each assistant text is a target once.
 
-Null roles and texts are empty strings; null turns sort first; rows with equal conv_id and turn are taken in order of role and text; a null conv_id is a
-conversation of its own; an empty table gives an empty result; only conv_id, turn, role and text are read. A conversation is one row,
+Tokens are an expression over a row's columns, for instance a column that `token_counts.count_tokens` has filled; without one they
+are estimated as 4 characters a token and 4 for the marks.
+
+Null roles and texts are empty strings; null turns sort first; rows with equal conv_id and turn are taken in order of role and text (equal rows
+one after the other); a null conv_id is a conversation of its own; a conversation whose turns are all empty has windows of marks alone; very long texts are windows
+of their own; an empty table gives an empty result; only conv_id, turn, role, text and what `tokens` names are read. A conversation is one row,
 as its digest needs the whole of it.
 """
 
@@ -43,12 +47,16 @@ def _as(kind: str, **fields: Column) -> Column:
     return F.struct(*(c.alias(n) for n, c in fields.items())).cast(kind)
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def estimated_tokens() -> Column:
+    return F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).cast("int") + 4
+
+
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None) -> DataFrame:
     """conv_id, window int, formatted string, loss array<struct<start int, length int>> (characters from 0), repeated int (turns masked out as history), tokens int.
 
     One pass over a conversation's turns keeps the window that is open and the last `history` tokens of turns, so the work is in proportion to the turns."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    tokens = F.ceil(F.length(text) / 4).cast("int") + 4
+    tokens = estimated_tokens() if tokens is None else F.coalesce(tokens, F.lit(0)).cast("int")
     rows = conversations.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text"), tokens.alias("n")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     parts = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), formatted(x).alias("s"), F.length(escape(x["text"])).alias("size"), x["n"].alias("n")))
@@ -60,9 +68,11 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         o = z["open"]
         opens = o.isNull() | (o["tokens"] + x["n"] > budget)
         start = z["total"]
-        away = z["passed"].isNotNull() & ~F.exists(z["recent"], lambda r: r["after"] - r["n"] == z["passed"])
-        lead = F.when(z["system"].isNotNull() & away, F.array(z["system"])).otherwise(F.array().cast(f"array<{_PART}>"))
-        repeated = F.concat(lead, z["recent"])
+        since = lambda r: start - (r["after"] - r["n"])  # noqa: E731  tokens from that turn up to here
+        near = F.filter(z["recent"], lambda r: since(r) <= budget - x["n"])
+        away = z["passed"].isNotNull() & ~F.exists(near, lambda r: r["after"] - r["n"] == z["passed"])
+        beside = F.filter(z["recent"], lambda r: since(r) <= budget - x["n"] - z["system"]["n"])
+        repeated = F.when(away, F.concat(F.array(z["system"]), beside)).otherwise(near)
         before = F.when(opens, F.array_join(F.transform(repeated, lambda r: r["s"]), "")).otherwise(o["formatted"])
         used = F.when(opens, F.aggregate(repeated, F.lit(0), lambda n, r: n + r["n"])).otherwise(o["tokens"])
         spans = F.when(opens, F.array().cast("array<struct<start:int,length:int>>")).otherwise(o["loss"])
