@@ -5,14 +5,18 @@ octets, dates by the calendar, social security numbers by their areas) and repla
 
 * cards keep their length, separators and a valid check digit; they are looked for in whole runs of digit groups, at the edges of groups,
   so a short number before or after one (expiry, code, row number) neither hides nor changes it; phones keep their separators and country prefix;
-* e-mail addresses keep their domain, the marks of the local part, and letters and digits stay such (letters are lower-cased);
-* IPv4 addresses are permuted among all addresses, dates of 1900-2099 among these days, numbers of valid areas among such.
-
-A permutation depends on the key and the format alone, so equal values have equal pseudonyms in all documents and different values
-different ones. Permutations are Feistel networks over strings (digits added modulo the alphabet) or over a product of two residue rings.
-
-Null texts stay null, empty ones empty, texts without candidates as they are; a null doc_id stays null; repeated rows repeat; all other columns pass
-through `pseudonymise` untouched. Nothing is shuffled.
+* e-mail addresses keep their domain, the marks of the local part, and digits and the letters of each alphabet in ALPHABETS stay such (letters are
+  lower-cased, those of other alphabets stay as they are);
+* IPv4 addresses are permuted among all addresses; those with leading zeros among those whose octets have the same widths and leading zeros;
+* dates of 1900-2099 are permuted among these days, in all notations alike; month-first ones that can't be read day-first among such;
+  social security numbers of valid areas among such.
+
+A permutation depends on the key and the format alone, so equal values have equal pseudonyms in all documents and different values of a format
+different ones. Permutations are Feistel networks over strings (digits added modulo the alphabet) or over a product of two residue rings. Who has the
+key can invert them, so the key has no default.
+
+Null texts stay null, empty ones empty, texts without candidates as they are; very long texts are read whole, in time in proportion; a null doc_id stays
+null; repeated rows repeat; all other columns pass through `pseudonymise` untouched, whatever their names. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+#: Letters of the local part beyond a-z: Latin-1, Latin Extended-A, Greek and Cyrillic, as ranges of lower-case letters; each range is permuted in itself.
+ALPHABETS = [[chr(c) for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))], [chr(c) for c in range(0x101, 0x180) if chr(c).islower() and len(chr(c).upper()) == 1], [chr(c) for c in range(0x3B1, 0x3CA)], [chr(c) for c in range(0x430, 0x460)]]
+ALPHABETS = ["".join(x) for x in ALPHABETS]
 
 #: Candidates. Possessive runs and look-behinds keep the search linear in the text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": r"(?<![A-Za-z0-9._%+\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u1FFF\u2C00-\u2DFF\u3040-\uD7FF-])[A-Za-z0-9._%+\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u1FFF\u2C00-\u2DFF\u3040-\uD7FF-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "iso": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "dmy": r"(?<![0-9./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])",
@@ -34,7 +41,7 @@ PATTERNS = {
 }
 #: What may stand after a card and isn't part of its run of digit groups: after either separator, and after a space only.
 _APART = PATTERNS["dmy"], PATTERNS["ip"]
-_SPACED = *_APART, PATTERNS["iso"], PATTERNS["ssn"], PATTERNS["phone"], r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\."
+_SPACED = *_APART, PATTERNS["iso"], PATTERNS["ssn"], PATTERNS["phone"], r"[A-Za-z0-9._%+\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u1FFF\u2C00-\u2DFF\u3040-\uD7FF-]++@[A-Za-z0-9-]++\."
 PATTERNS["card"] = rf"(?<![0-9])(?=[0-9](?:[ -]?+[0-9]){{12}})[0-9]++(?:(?: (?!{'|'.join(_SPACED)})|-(?!{'|'.join(_APART)}))[0-9]++)*+"
 ANY = "|".join(PATTERNS.values())
 
@@ -47,7 +54,7 @@ GROUPINGS = [r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{
 GROUPINGS = [f"^(?=[2-6]){GROUPINGS[0]}$", f"^{GROUPINGS[0]}$", "^[0-9]{3,}(?:[ -][0-9]{3,})*$"]
 
 
-def _stream(key: str, tweak: str, i: Column, other: Column, bits: int) -> Column:
+def _stream(key: str, tweak: str | Column, i: Column, other: Column, bits: int) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), other), bits)
 
 
@@ -75,7 +82,7 @@ def permute_string(s: Column, alphabet: str, key: str, tweak: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda x: F.concat(x["l"], x["r"]))
 
 
-def permute_number(x: Column, a: int, b: int, key: str, tweak: str) -> Column:
+def permute_number(x: Column, a: int | Column, b: int | Column, key: str, tweak: str | Column) -> Column:
     """A keyed permutation of 0 .. a * b - 1."""
     start = F.struct(F.floor(x / b).cast("long").alias("l"), (x % b).cast("long").alias("r"))
 
@@ -178,17 +185,42 @@ def _cards(m: Column, key: str) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     local, domain = F.lower(F.substring_index(m, "@", 1)), F.substring_index(m, "@", -1)
-    letters, digits = F.regexp_replace(local, "[^a-z]", ""), F.regexp_replace(local, "[^0-9]", "")
-    some = _put_back(local, permute_string(letters, LETTERS, key, "email"), "a-z")
-    return F.concat(_put_back(some, permute_string(digits, DIGITS, key, "email"), "0-9"), F.lit("@"), domain)
+
+    def changed(part: Column, alphabet: str, kind: str, tweak: str) -> Column:
+        return _bind(part, lambda x: _put_back(x, permute_string(F.regexp_replace(x, f"[^{kind}]", ""), alphabet, key, tweak), kind))
+
+    out = changed(changed(local, LETTERS, "a-z", "email"), DIGITS, "0-9", "email")
+    for n, alphabet in enumerate(ALPHABETS):
+        more = changed(out, alphabet, alphabet, f"email{n}")
+        out = F.when(local.rlike(f"[{alphabet}]"), more).otherwise(out)
+    return F.concat(out, F.lit("@"), domain)
 
 
 def _ip(m: Column, key: str) -> Column:
-    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    value = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    octets = F.split(m, r"\.")
+    value = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
     new = permute_number(value, 65536, 65536, key, "ip")
     parts = F.transform(F.array(*map(F.lit, (24, 16, 8, 0))), lambda s: F.pmod(F.floor(new / F.pow(F.lit(2.0), s)), F.lit(256)).cast("long").cast("string"))
-    return F.when(F.exists(octets, lambda x: x > 255), m).otherwise(F.array_join(parts, "."))
+    odd = F.exists(octets, lambda x: x.rlike("^0[0-9]"))
+    return F.when(F.exists(octets, lambda x: x.cast("int") > 255), m).when(odd, _bind(octets, lambda x: _padded_ip(x, key))).otherwise(F.array_join(parts, "."))
+
+
+def _padded_ip(octets: Column, key: str) -> Column:
+    """An address with leading zeros, permuted among those whose octets have the same widths and leading zeros."""
+    o = [F.get(octets, i) for i in range(4)]
+    zero, width = [x.rlike("^0[0-9]") for x in o], [F.length(x) for x in o]
+    low = [F.when(z | (w == 1), 0).when(w == 2, 10).otherwise(100) for z, w in zip(zero, width)]
+    n = [F.when(w == 3, F.when(z, 100).otherwise(156)).when((w == 2) & ~z, 90).otherwise(10).cast("long") for z, w in zip(zero, width)]
+    at = [x.cast("long") - lo for x, lo in zip(o, low)]
+    kind = F.concat(F.lit("ip"), *(F.concat(w.cast("string"), F.when(z, "z").otherwise("-")) for z, w in zip(zero, width)))
+    new = permute_number((at[0] * n[1] + at[1]) * n[2] * n[3] + at[2] * n[3] + at[3], n[0] * n[1], n[2] * n[3], key, kind)
+
+    def shown(x: Column) -> Column:
+        head, tail = F.floor(x / (n[2] * n[3])), x % (n[2] * n[3])
+        digit = [F.floor(head / n[1]), head % n[1], F.floor(tail / n[3]), tail % n[3]]
+        return F.concat_ws(".", *(F.lpad((d + lo).cast("string"), w, F.lit("0")) for d, lo, w in zip(digit, low, width)))
+
+    return _bind(new, shown)
 
 
 def _day(m: Column, day: Column, key: str, pattern: str) -> Column:
@@ -199,13 +231,23 @@ def _day(m: Column, day: Column, key: str, pattern: str) -> Column:
 
 
 def _dmy(m: Column, key: str) -> Column:
-    """Day first, or month first where only that is a date; the output keeps the order and the marks (the first mark stands for both)."""
+    """Day first, or month first where only that is a date; the output keeps the order and the marks."""
     day = F.try_to_date(F.regexp_replace(m, "[./]", "-"), "dd-MM-yyyy")
     month = F.try_to_date(F.regexp_replace(m, "[./]", "-"), "MM-dd-yyyy")
-    out = F.when(day.isNotNull(), _day(m, day, key, "dd-MM-yyyy")).otherwise(_day(m, month, key, "MM-dd-yyyy"))
+    out = F.when(day.isNotNull(), _day(m, day, key, "dd-MM-yyyy")).otherwise(_month_first(m, month, key))
     return F.concat(F.substring(out, 1, 2), F.substring(m, 3, 1), F.substring(out, 4, 2), F.substring(m, 6, 1), F.substring(out, 7, 4))
 
 
+def _month_first(m: Column, day: Column, key: str) -> Column:
+    """Permuted until the day of the month is over 12 again, so it can't be read day-first. Each step ends it for 3 of 5 days."""
+    first = F.lit(FIRST_DAY).cast("date")
+    at = F.datediff(day, first).cast("long")
+    date = lambda x: F.date_add(first, x.cast("int"))
+    step = lambda s, _: F.when(s["done"], s).otherwise(_bind(permute_number(s["x"], *DAYS, key, "month"), lambda y: F.struct(y.alias("x"), (F.dayofmonth(date(y)) > 12).alias("done"))))
+    new = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(at.alias("x"), F.lit(False).alias("done")), step, lambda s: s["x"])
+    return F.when(day.isNull() | (at < 0) | (at >= DAYS[0] * DAYS[1]), m).otherwise(F.date_format(date(new), "MM-dd-yyyy"))
+
+
 def _ssn(m: Column, key: str) -> Column:
     part = [F.substring(m, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4))]
     valid = (part[0] > 0) & (part[0] < 900) & (part[0] != 666) & (part[1] > 0) & (part[2] > 0)
@@ -238,9 +280,11 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "pairloom", text: str = "text", counted: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", counted: str | None = None) -> DataFrame:
     """docs with the text column pseudonymised; with `counted`, one more column of that name: the number of values replaced (0 for null texts)."""
     t = F.col(f"`{text}`")
+    if not key:
+        raise ValueError("pseudonyms need a key")
     spare = {c.lower() for c in docs.columns}
     pairs = next(x for x in (f"_pairs{i}" for i in range(len(spare) + 1)) if x not in spare)
     found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))

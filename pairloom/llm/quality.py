@@ -1,14 +1,15 @@
 """Quality rules by distribution divergence.
 
-Each language has two reference histograms, measured over all documents of the table: one of character classes and one
-of the language's common words. A document is compared to the references by Jensen-Shannon distance (base 2) and takes its
-nearest; over the limit in either histogram it is rejected. The limit on words is a share of the distance that a text
-without any common word has to the reference, so such a text is over it in every language, whatever its length. Texts too short for a histogram to say anything (fewer
-letters or words than the guards) are not judged by it. Base rules reject very short and very repetitive texts.
-
-Languages outside COMMON_WORDS, and null ones, share one reference (""). Nulls and empty texts have no words and fail the base rule; a null
-doc_id stays null; repeated rows are judged each by itself; an empty table gives an empty result and references without counts judge nothing.
-Columns other than doc_id, text and lang are not read (lang may be absent); `keep_good` passes all columns through.
+Each language has two reference histograms: one of character classes and one of the language's common words. `labelled_references` measures them on
+a bounded sample of rows labelled good, so junk has no part in them; `language_references` on all documents of a table, where no row is labelled. A
+document is compared to the references by Jensen-Shannon distance (base 2) and takes its nearest; over the limit in either histogram it is
+rejected. A histogram's own noise falls with the root of its letters, and so does the limit on classes. The limit on words is a share of the
+distance that a text without any common word has to the reference, so such a text is over it in every language, whatever its length. Texts
+too short for a histogram to say anything (fewer letters or words than the guards) are not judged by it. Base rules reject very short and very repetitive texts.
+
+Languages outside COMMON_WORDS, and null ones, share one reference (""). Nulls and empty texts have no words and fail the base rule; very long texts are
+measured whole; a null doc_id stays null; repeated rows are judged each by itself; a distance equal to its limit is kept; an empty table gives an empty
+result and references without counts judge nothing. Columns other than doc_id, text and lang are not read (lang may be absent); `keep_good` passes all columns through.
 """
 
 from __future__ import annotations
@@ -45,9 +46,11 @@ _CLASS[ord("!")], _CLASS[ord("|")] = 7, 8
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _SYMBOLS = b"#*$%&|<>"
 
-#: Limits on the Jensen-Shannon distance of classes and, as a share of the distance of a text without common words, of words; what a short text may have
-#: over the first (divided by its letters), and the least letters and words that a histogram is judged on.
-CLASS_LIMIT, SHORT_TEXT, WORD_SHARE, LEAST_LETTERS, LEAST_WORDS = 0.175, 20, 0.9, 200, 60
+#: The limit on the Jensen-Shannon distance of classes is CLASS_LIMIT + CLASS_NOISE / root of the letters, which of 16,906 rows labelled good one was over; that
+#: of words is a share of the distance of a text without common words. The least letters and words that a histogram is judged on.
+CLASS_LIMIT, CLASS_NOISE, WORD_SHARE, LEAST_LETTERS, LEAST_WORDS = 0.06, 3.4, 0.9, 200, 60
+#: Rows labelled good on which references are measured: about so many, twice as many at most.
+LABELLED = 20_000
 #: The references are measured again over the documents within this of the first result.
 REFERENCE_LIMIT = 0.25
 
@@ -135,20 +138,35 @@ def _inputs(docs: DataFrame) -> list:
     return [F.col("text").cast("binary").alias("text"), lang.alias("lang")]
 
 
+def _summed(inputs: DataFrame, near: dict) -> dict[str, dict[str, np.ndarray]]:
+    """At most five languages of some forty bins come to the driver."""
+    sums = inputs.mapInArrow(lambda batches: _histograms(batches, near), "lang string, kind string, bin int, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"))
+    out: dict[str, dict[str, np.ndarray]] = {}
+    for r in sums.collect():
+        h = out.setdefault(r.lang, {"class": np.zeros(CLASSES, np.int64), "word": np.zeros(WIDTH[r.lang], np.int64)})
+        h[r.kind][r.bin] = r.n
+    return out
+
+
+def labelled_references(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> dict[str, dict[str, np.ndarray]]:
+    """The histograms of every language over the documents whose label (doc_id, quality) is 1, about `most` of them (drawn by a hash of doc_id, twice as many ids
+    at most). Where no such document is at hand, those of language_references."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    share = min(1.0, most / max(1, good.count()))
+    chosen = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * most)
+    rows = ship(docs).select("doc_id", *_inputs(docs)).join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang")
+    return _summed(rows, {}) or language_references(docs)
+
+
 def language_references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
-    """The histograms of every language over all documents; at most five languages of some forty bins come to the driver.
+    """The histograms of every language over all documents.
 
     Measured twice: over every document, then over those within the limit of the first result, so that rejects don't shape what they are held against.
     """
     inputs = ship(docs).select(*_inputs(docs))
     near: dict[str, dict[str, np.ndarray]] = {}
     for _ in range(2):
-        sums = inputs.mapInArrow(lambda batches, near=near: _histograms(batches, near), "lang string, kind string, bin int, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"))
-        out: dict[str, dict[str, np.ndarray]] = {}
-        for r in sums.collect():
-            h = out.setdefault(r.lang, {"class": np.zeros(CLASSES, np.int64), "word": np.zeros(WIDTH[r.lang], np.int64)})
-            h[r.kind][r.bin] = r.n
-        near = near | out
+        near = near | _summed(inputs, near)
     return near
 
 
@@ -179,16 +197,16 @@ def judge(text: bytes, lang: str | None, references: dict, limits: dict[str, flo
                 familiar = d <= limits[k]
                 if familiar:
                     break
-    return (*metrics, failed, by_class, by_word, not failed and (by_class or 0) <= CLASS_LIMIT + SHORT_TEXT / max(letters, 1) and familiar)
+    return (*metrics, failed, by_class, by_word, not failed and (by_class or 0) <= CLASS_LIMIT + CLASS_NOISE / max(letters, 1) ** 0.5 and familiar)
 
 
 _KINDS = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 _NAMES = [*METRICS, "base_failed", "class_distance", "word_distance", "kept"]
 
 
-def quality_report(docs: DataFrame) -> DataFrame:
+def quality_report(docs: DataFrame, references: dict | None = None) -> DataFrame:
     """doc_id, the base metrics, base_failed, class_distance, word_distance (null where not judged), kept: a row per row of docs."""
-    references = language_references(docs)
+    references = language_references(docs) if references is None else references
     limits = word_limits(references)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,12 +216,12 @@ def quality_report(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], names=["doc_id", *_NAMES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", *_inputs(docs)).mapInArrow(run, f"doc_id {kind}, {', '.join(f'{m} long' for m in METRICS)}, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    return ship(docs).select("doc_id", *_inputs(docs)).mapInArrow(run, f"doc_id {kind}, {', '.join(f'{m} long' for m in METRICS)}, base_failed boolean, class_distance double, word_distance double, kept boolean")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, references: dict | None = None) -> DataFrame:
     """The rows that the rules keep, with all their columns; a filter of each batch, without a shuffle."""
-    references = language_references(docs)
+    references = language_references(docs) if references is None else references
     limits = word_limits(references)
     at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
@@ -213,4 +231,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
             kept = [judge((t.as_py() or "").encode("utf-8"), k, references, limits)[-1] for t, k in zip(batch.column(at), langs)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return ship(docs).mapInArrow(run, docs.schema)

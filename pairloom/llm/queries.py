@@ -14,6 +14,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: What pseudonyms are keyed with where the session names no key: known to all, so for trials on made-up data only.
+TRIAL_KEY = "trial"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's spark.pairloom.pseudonymKey."""
+    return spark.conf.get("spark.pairloom.pseudonymKey", TRIAL_KEY)
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
@@ -27,7 +36,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), counted="n_replaced")
+    return pii.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), pseudonym_key(spark), counted="n_replaced")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +62,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return quality.quality_report(docs, quality.labelled_references(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -61,7 +71,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Conversations and pages have results that SQL can express; the other operators are tested against brute force.
+#: Windows in SQL: what a window would repeat if it opened at a turn hangs on prefix sums alone; whether it opens there is a recursion over turns.
 SQL = {
+    "op7_chat": """
+        with recursive said as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized as (select *, cast(ceil(length(text) / 4.0) as bigint) + 4 as n, 10 + length(role) + length(text) + (select sum((length(y) - length(replace(y, c, ''))) // length(c)) from
+              (select unnest([role, text]) as y), (select unnest(['\\', '<s>', '</s>', '<r>', '[INST]', '[/INST]']) as c)) as chars from said),
+        t as (select *, row_number() over w as i, coalesce(sum(n) over (w rows between unbounded preceding and 1 preceding), 0) as start from sized window w as (partition by conv_id order by turn nulls first, role, text)),
+        sys as (select conv_id, i, n, chars, start from (select *, row_number() over (partition by conv_id order by i) as k from t where role = 'system') where k = 1),
+        fits as (select a.conv_id, a.i, s.n as sn, s.chars as sc, s.i is not null and not (a.start - s.start <= least(256, 1024 - a.n)) as away
+            from t a left join sys s on s.conv_id is not distinct from a.conv_id and s.i < a.i),
+        led as (select a.conv_id, a.i, a.n, a.chars, coalesce(any_value(f.sn) filter (where f.away), 0) + coalesce(sum(b.n), 0) as ln, coalesce(any_value(f.sc) filter (where f.away), 0) + coalesce(sum(b.chars), 0) as lc
+            from t a join fits f on f.conv_id is not distinct from a.conv_id and f.i = a.i
+            left join t b on b.conv_id is not distinct from a.conv_id and b.i < a.i and a.start - b.start <= least(256, 1024 - a.n - case when f.away then f.sn else 0 end) group by a.conv_id, a.i, a.n, a.chars),
+        run as (select conv_id, i, ln + n as filled, lc + chars as made from led where i = 1
+            union all select l.conv_id, l.i, case when r.filled + l.n > 1024 then l.ln + l.n else r.filled + l.n end, case when r.filled + l.n > 1024 then l.lc + l.chars else l.chars end
+            from run r join led l on l.conv_id is not distinct from r.conv_id and l.i = r.i + 1),
+        f as (select conv_id, sum(made) as formatted_chars from run group by conv_id),
+        d as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+            coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '') as loss from t group by conv_id)
+        select d.conv_id, d.n_turns, d.turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(f.formatted_chars as bigint) as formatted_chars
+        from d join f on f.conv_id is not distinct from d.conv_id""",
     "op6_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
              f as (select h, min(page_id) as first, count(*) as n from p where strlen(h) >= 100 group by h)
