@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine) one of its own, set once."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, one of its own if all of Spark runs in this process (tests, one machine), set once; else it raises."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if not named:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return str(current.get())
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="pairloom-")
         context.setCheckpointDir(named)
     return named
@@ -25,7 +27,7 @@ class Scratch:
     """Intermediate tables as Parquet in the shared folder.
 
     A table written here survives the loss of the executor that wrote it, is compressed, and is read with
-    column pruning, which a checkpointed RDD is not. `drop` removes a table that nothing reads any more.
+    column pruning, which a checkpointed RDD is not. `drop` removes a table that nothing reads any more; what is left goes when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
@@ -33,6 +35,13 @@ class Scratch:
         self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.count = 0
+        files, root = self._files(self.root)
+        files.mkdirs(root)
+        files.deleteOnExit(root)
+
+    def _files(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,8 +55,8 @@ class Scratch:
         return table
 
     def drop(self, table: DataFrame) -> None:
+        """Remove a table that `keep` gave; other DataFrames are left alone."""
         path = self.paths.pop(id(table), None)
         if path is not None:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            files, target = self._files(path)
+            files.delete(target, True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,5 +29,6 @@ def ship(df: DataFrame) -> DataFrame:
             for path in sorted(top.rglob("*.py")):
                 out.write(path, f"{top.name}/{path.relative_to(top)}")
         context.addPyFile(target)
+        atexit.register(shutil.rmtree, os.path.dirname(target), ignore_errors=True)
         _shipped.add(context.applicationId)
     return df
