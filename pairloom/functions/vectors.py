@@ -67,6 +67,29 @@ def masked_mean(rows: Column, mask: Column, width: int) -> Column:
     return F.transform(summed, lambda x: x / count)
 
 
+def length_mask(length: Column, most: int) -> Column:
+    """1 for the first `length` of `most` places, 0 for the others."""
+    return F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.when(i <= length, 1.0).otherwise(0.0))
+
+
+def masked_softmax(x: Column, mask: Column) -> Column:
+    """Softmax over the places where mask is 1, zeros elsewhere (everywhere, if mask is 0 throughout)."""
+    top = F.coalesce(F.array_max(F.zip_with(x, mask, lambda v, m: F.when(m > 0, v))), F.lit(0.0))
+    raised = F.zip_with(x, mask, lambda v, m: F.when(m > 0, F.exp(v - top)).otherwise(0.0))
+    return F.transform(raised, lambda v: v / F.greatest(total(raised), F.lit(1e-13)))
+
+
+def masked_max(rows: Column, mask: Column, width: int, least: float = -1e7) -> Column:
+    """The largest of each coordinate over the rows where mask is 1; `least` where there is none."""
+    low = F.array_repeat(F.lit(least), width)
+    return F.aggregate(F.zip_with(rows, mask, lambda r, m: F.when(m > 0, r).otherwise(low)), low, lambda s, r: F.zip_with(s, r, lambda x, y: F.greatest(x, y)))
+
+
+def first_row(rows: Column) -> Column:
+    """The vector of the first token, which stands for the sequence."""
+    return F.get(rows, F.lit(0))
+
+
 def combination(a: Column, b: Column) -> Column:
     """[a, b, |a - b|, a * b, cosine]."""
     return F.concat(a, b, difference(a, b), product(a, b), F.array(cosine(a, b)))

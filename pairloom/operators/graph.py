@@ -132,6 +132,18 @@ def bounded_shortest_path(pairs: DataFrame, edges: DataFrame, cutoff: int = 4) -
     return pairs.select("u", "v").join(met, ["u", "v"], "left").join(far, ["u", "v"], "left").select("u", "v", F.coalesce("distance", F.when(F.col("u") == F.col("v"), 0).when(F.col("known"), cutoff + 1).otherwise(-1)).cast("long").alias("distance"))
 
 
+def graph_features(pairs: DataFrame, edges: DataFrame, ranks: DataFrame, cutoff: int = 4) -> DataFrame:
+    """The twenty columns of a pair: link features, sizes of the ends' components, bounded distance, and their ranks' smallest, largest, difference and ratio."""
+    comp = component_table(edges)
+    sizes = comp.join(comp.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "size")
+    wide = look_up(look_up(link_features(pairs, edges), sizes, {"size": 0}), ranks, {"rank": 0.0}).join(bounded_shortest_path(pairs, edges, cutoff), ["u", "v"])
+    su, sv, ru, rv = (F.col(c) for c in ("size_u", "size_v", "rank_u", "rank_v"))
+    return wide.select(
+        *(c for c in wide.columns if c not in ("size_u", "size_v", "rank_u", "rank_v")), *(c.alias(n) for n, c in {"comp_size_u": su, "comp_size_v": sv, "comp_size_min": F.least(su, sv), "comp_size_max": F.greatest(su, sv)}.items()),
+        F.least(ru, rv).alias("pagerank_min"), F.greatest(ru, rv).alias("pagerank_max"), F.abs(ru - rv).alias("pagerank_diff"), safe_divide(ru, rv).alias("pagerank_ratio"),
+    )
+
+
 def two_hop(nodes: DataFrame, adj: DataFrame, deg_cap: int | None = 200, sample_k: int = 80, size_cap: int | None = 5000) -> DataFrame:
     """(node, x): nodes two hops away, without the node and its neighbours.
 

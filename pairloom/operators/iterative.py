@@ -15,18 +15,29 @@ EVERY = 5
 TREES = 12
 
 
-def _iterate(start: DataFrame, step, rounds: int, label: str) -> DataFrame:
+def _iterate(start: DataFrame, step, rounds: int, label: str, value: str, tolerance: float | None = None) -> DataFrame:
+    """The state after so many rounds; with a tolerance, after the first EVERY rounds of which the last changes the values of the nodes by less than that on
+    average, and an error if no round does."""
     scratch = Scratch(start.sparkSession, label)
     now = scratch.keep(start)
     for i in range(1, rounds + 1):
-        now = step(now)
-        if i % EVERY == 0 and i < rounds:
-            now = scratch.keep(now)
+        after = step(now)
+        if i % EVERY == 0 and i < rounds or tolerance is not None and i == rounds:
+            after = scratch.keep(after)
+            if tolerance is not None:
+                last = scratch.keep(step(after))
+                moved = last.withColumnRenamed(value, "_new").join(after, "node").agg(F.avg(F.abs(F.col("_new") - F.col(value)))).first()[0]
+                if (moved or 0.0) < tolerance:
+                    return last
+        now = after
+    if tolerance is not None:
+        raise RuntimeError(f"{label} did not settle in {rounds} rounds")
     return now
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """node, rank after a fixed number of rounds from the uniform start; ranks sum to 1."""
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
+    """node, rank from the uniform start; ranks sum to 1. After a fixed number of rounds, or, with a tolerance, once the ranks change by less on average (an
+    error if that takes more rounds)."""
     scratch = Scratch(edges.sparkSession, "pagerank")
     adj = adjacency(edges)
     n = adj.select("src").distinct().count()
@@ -37,7 +48,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
         sent = out.join(ranks.withColumnRenamed("node", "src"), "src")
         return sent.groupBy(F.col("dst").alias("node")).agg((F.lit((1 - alpha) / max(n, 1)) + alpha * F.sum(F.col("rank") / F.col("d_nb"))).alias("rank"))
 
-    return _iterate(start, step, rounds, "pagerank")
+    return _iterate(start, step, rounds, "pagerank", "rank", tolerance)
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -48,8 +59,8 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(inside, "u", "left_semi")
 
 
-def katz(edges: DataFrame, rounds: int = 20, share: float = 0.9, beta: float = 1.0) -> DataFrame:
-    """node, katz on the largest component, alpha = share / largest degree, of Euclidean length 1."""
+def katz(edges: DataFrame, rounds: int = 20, share: float = 0.9, beta: float = 1.0, tolerance: float | None = None) -> DataFrame:
+    """node, katz on the largest component, alpha = share / largest degree, of Euclidean length 1. Rounds and tolerance are those of pagerank."""
     scratch = Scratch(edges.sparkSession, "katz")
     adj = scratch.keep(adjacency(largest_component(edges)))
     alpha = share / max(1, degrees(adj).agg(F.max("d")).first()[0] or 0)
@@ -58,7 +69,7 @@ def katz(edges: DataFrame, rounds: int = 20, share: float = 0.9, beta: float = 1
     def step(x: DataFrame) -> DataFrame:
         return adj.join(x.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((alpha * F.sum("x") + F.lit(beta)).alias("x"))
 
-    x = scratch.keep(_iterate(start, step, rounds, "katz"))
+    x = scratch.keep(_iterate(start, step, rounds, "katz", "x", tolerance))
     length = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
     return x.select("node", (F.col("x") / F.lit(length or 1.0)).alias("katz"))
 

@@ -23,9 +23,19 @@ def join_features(families: dict[str, DataFrame], key: str = "id") -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "full"), named)
 
 
-def fold_mean(parts: DataFrame, key: str = "id") -> DataFrame:
-    """The mean of every feature over the rows of an id (one per fold)."""
-    return parts.groupBy(key).agg(*(F.avg(c).alias(c) for c in parts.columns if c not in (key, "fold")))
+def fold_mean(parts: DataFrame, key: str = "id", fold: str = "fold") -> DataFrame:
+    """The mean of every feature over the rows of an id (one per fold; `fold` names the column that says which)."""
+    return parts.groupBy(key).agg(*(F.avg(c).alias(c) for c in parts.columns if c not in (key, fold)))
+
+
+def mean_loss(losses: DataFrame, loss: str = "log_loss") -> DataFrame:
+    """mean_loss, n_folds: the mean of the folds' losses."""
+    return losses.agg(F.avg(loss).alias("mean_loss"), F.count(loss).alias("n_folds"))
+
+
+def weigh_pairs(pairs: DataFrame, scores: DataFrame, key: str = "id", score: str = "prob") -> DataFrame:
+    """Pairs with their score as weight, joined by id; pairs without a score go."""
+    return pairs.join(scores.select(key, F.col(score).alias("weight")), key).where("weight is not null")
 
 
 def weighted_mean(value: Column, n: Column) -> Column:

@@ -219,6 +219,18 @@ def pagerank_pairs(spark, sf_dir):
     return wide.select("u", "v", (1000 * F.least(a, b)).alias("pagerank_min"), (1000 * F.greatest(a, b)).alias("pagerank_max"), (1000 * F.abs(a - b)).alias("pagerank_diff"), (a / (b + F.lit(1e-9))).alias("pagerank_ratio"))
 
 
+@_query(
+    f"""with lf as ({_SQL['link_features']}), pr as ({_SQL['pagerank_pairs']}), c as ({_SQL['components']}), n as (select component, count(*) as size from c group by component), s as (select c.node, n.size from c join n on n.component = c.component)
+    select lf.*, x.size as comp_size_u, y.size as comp_size_v, least(x.size, y.size) as comp_size_min, greatest(x.size, y.size) as comp_size_max, cast(case when lf.u = lf.v then 0 else 1 end as bigint) as distance,
+      pr.pagerank_min, pr.pagerank_max, pr.pagerank_diff, pr.pagerank_ratio from lf join pr on pr.u = lf.u and pr.v = lf.v join s x on x.node = lf.u join s y on y.node = lf.v"""
+)
+def graph_features(spark, sf_dir):
+    """All columns of a pair in one table; ranks count a thousandfold, their ratio as it is."""
+    pairs = graph_pairs(spark, sf_dir)
+    made = graph.graph_features(pairs, graph.edges_of(pairs), iterative.pagerank(pairs))
+    return made.withColumns({c: 1000 * F.col(c) for c in ("pagerank_min", "pagerank_max", "pagerank_diff")})
+
+
 @_query(
     f"""with recursive {GRAPH_SQL}, {_COMPONENTS},
     big as (select component from comp group by component order by count(*) desc, component limit 1),
@@ -419,7 +431,9 @@ def feature_join(spark, sf_dir):
 @_query("select cast(label as bigint) as fold, " + _r("avg(v) as mean", "sum(v * w) / greatest(sum(w), 1) as weighted") + " from (select label, cast(embedding[1] as double) as v, 1 + vec_id % 7 as w from embeddings) group by label")
 def fold_average(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("fold"), F.element_at("embedding", 1).cast("double").alias("v"), (1 + F.col("vec_id") % 7).alias("w"))
-    return rows.groupBy("fold").agg(F.avg("v").alias("mean"), stacking.weighted_mean(F.col("v"), F.col("w")).alias("weighted")).withColumn("fold", F.col("fold").cast("int"))
+    means = stacking.fold_mean(rows.select("fold", F.col("v").alias("mean")), key="fold")
+    weighted = rows.groupBy("fold").agg(stacking.weighted_mean(F.col("v"), F.col("w")).alias("weighted"))
+    return means.join(weighted, "fold").withColumn("fold", F.col("fold").cast("int"))
 
 
 @_query()

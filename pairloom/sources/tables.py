@@ -16,7 +16,7 @@ def read_pairs(spark: SparkSession, path: str, schema: str = TRAIN) -> DataFrame
     rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     key = rows.columns[0]
     texts = {c: F.when(F.col(c).isin(MISSING), None).otherwise(F.col(c)) for c in ("question1", "question2")}
-    return rows.withColumns(texts).withColumn(key, F.expr(f"cast(try_cast({key} as double) as long)"))
+    return rows.withColumns(texts).withColumn(key, F.expr(f"coalesce(try_cast({key} as long), try_cast(try_cast({key} as decimal(38, 6)) as long))"))
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -26,14 +26,16 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """token, idx from a JSON object of numbers."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,long>").alias("m"))
+    """token, idx from files of a JSON object of numbers, or of one on each line."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"(?<=\})\s*\n(?=\{)")).alias("value"))
+    rows = whole.select(F.from_json("value", "map<string,long>").alias("m"))
     return rows.select(F.explode("m").alias("token", "idx"))
 
 
 def write_vocabulary(vocab: DataFrame, path: str) -> None:
-    """The vocabulary as JSON lines {token, idx}."""
-    vocab.select("token", "idx").write.mode("overwrite").json(path)
+    """The vocabulary as JSON objects {token: idx}, a bounded number of tokens on each line, so no task holds all of it; `read_vocabulary` reads them."""
+    lines = vocab.groupBy(F.floor(F.col("idx") / 1000).alias("line")).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "idx"))))).alias("value"))
+    lines.select("value").write.mode("overwrite").text(path)
 
 
 def write_features(features: DataFrame, path: str, *partitions: str) -> None:
@@ -44,6 +46,15 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def merge_folds(spark: SparkSession, path: str, target: str, key: str = "id") -> None:
+    """Features that `write_features` wrote by fold, averaged over the folds of an id and written in order of id; the parts are removed once that is done."""
+    from pairloom.operators.stacking import fold_mean
+
+    fold_mean(spark.read.parquet(path), key).orderBy(key).write.mode("overwrite").parquet(target)
+    parts = spark._jvm.org.apache.hadoop.fs.Path(path)
+    parts.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parts, True)
+
+
 def write_submission(rows: DataFrame, path: str) -> None:
     """One CSV file with a header."""
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -204,3 +204,59 @@ def test_streams(spark, tmp_path):
     rowlocal.start(stream, "words", str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert (row.common_words, row.diff_words) == ("b", "a c")
+
+
+def test_vocabulary_round_trip_and_ids(spark, tmp_path):
+    vocab = spark.createDataFrame([(f'a"{i}', i) for i in range(2500)], "token string, idx long")
+    tables.write_vocabulary(vocab, str(tmp_path / "v"))
+    assert {r.token: r.idx for r in tables.read_vocabulary(spark, str(tmp_path / "v")).collect()} == {f'a"{i}': i for i in range(2500)}
+    (tmp_path / "t.csv").write_text("id,question1,question2,is_duplicate\n9007199254740993,a,b,0\n1e30,a,b,0\nx,a,b,1\n4.0,a,b,1\n")
+    assert [r.id for r in tables.read_pairs(spark, str(tmp_path / "t.csv")).collect()] == [9007199254740993, None, None, 4]
+
+
+def test_folds_are_merged_in_order(spark, tmp_path):
+    parts = spark.createDataFrame([(i, f, float(i * f)) for i in (3, 1, 2) for f in range(5)], "id long, fold int, x double")
+    tables.write_features(parts, str(tmp_path / "parts"), "fold")
+    tables.merge_folds(spark, str(tmp_path / "parts"), str(tmp_path / "all"))
+    assert [(r.id, r.x) for r in spark.read.parquet(str(tmp_path / "all")).collect()] == [(1, 2.0), (2, 4.0), (3, 6.0)] and not (tmp_path / "parts").exists()
+    assert stacking.mean_loss(spark.createDataFrame([(0, 0.5), (1, 1.0)], "fold int, log_loss double")).first().mean_loss == 0.75
+    weighed = stacking.weigh_pairs(spark.createDataFrame([(1, 7, 8), (2, 8, 9)], "id long, u long, v long"), spark.createDataFrame([(2, 0.25)], "id long, prob double"))
+    assert [(r.u, r.v, r.weight) for r in graph.weighted_edges(weighed).collect()] == [(8, 9, 0.25)]
+
+
+def test_masks_and_hashes(spark):
+    import hashlib
+
+    row = spark.sql("select array(array(1D, -2D), array(3D, -4D), array(9D, 9D)) as r, array(1D, 2D, 50D) as x, ' Ab  C' as t, 2 as n")
+    mask = vectors.length_mask(F.col("n"), 3)
+    got = row.select(mask.alias("m"), vectors.masked_softmax(F.col("x"), mask).alias("s"), vectors.masked_max(F.col("r"), mask, 2).alias("top"), vectors.first_row(F.col("r")).alias("cls"), text.blake_hash(F.col("t")).alias("h")).first()
+    assert got.m == [1.0, 1.0, 0.0] and got.top == [3.0, -2.0] and got.cls == [1.0, -2.0] and got.s[2] == 0 and abs(got.s[1] / got.s[0] - 2.718281828) < 1e-6 and abs(sum(got.s) - 1) < 1e-12
+    assert got.h == hashlib.blake2b(b"ab c", digest_size=16).hexdigest()
+
+
+def test_subword_views(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pairloom.operators import subwords
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    pairs = spark.createDataFrame([(1, "a short text", "another one"), (2, None, "word " * 200)], "id long, question1 string, question2 string")
+    one = {r.id: r for r in subwords.single_view(pairs, "question1", lambda: path, 12).collect()}
+    ids = t.encode("a short text").ids
+    assert one[1].ids[: len(ids)] == ids and len(one[1].ids) == 12 and sum(one[1].mask) == len(ids) and len(one[2].ids) == 12
+    both = {r.id: r for r in subwords.joint_view(pairs, lambda: path, 30).collect()}
+    ids = t.encode("a short text", "another one").ids
+    assert both[1].ids[: len(ids)] == ids and all(len(x) == 30 for r in both.values() for x in (r.ids, r.mask, r.types)) and sum(both[2].mask) == 30
+
+
+def test_ranks_settle_or_raise(spark):
+    e = edges(spark, sample(5))
+    near, far = (iterative.pagerank(e, rounds=100, tolerance=x) for x in (1e-9, 1e-4))
+    a, b = ({r.node: r["rank"] for r in x.collect()} for x in (near, far))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-2 and abs(sum(a.values()) - 1) < 1e-9
+    with pytest.raises(RuntimeError):
+        iterative.pagerank(e, rounds=5, tolerance=1e-12)
+    with pytest.raises(RuntimeError):
+        iterative.katz(e, rounds=5, tolerance=1e-9)
