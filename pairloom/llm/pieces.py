@@ -12,7 +12,8 @@ relaxes the position's best from the best of the position where it starts.
 Characters that no piece covers become their UTF-8 bytes (byte fallback) or the unknown id. Texts are taken in units between which no
 piece can reach; units are kept in a bounded cache.
 
-Null texts count as empty; a null doc_id stays null; repeated rows repeat; an empty table gives an empty result; only doc_id and text are read.
+A model whose normalizer changes texts is refused. Null texts count as empty; very long texts are taken whole, in time in proportion but for runs of
+spaces; of equal scores the piece found first, the longest, stays; a null doc_id stays null; repeated rows repeat; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -71,6 +72,14 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def check_normalizer(data: bytes) -> None:
+    """Raise unless the model leaves texts as they are but for the leading space and the mark for spaces."""
+    spec = next((dict(_fields(v)) for f, v in _fields(data) if f == 3 and isinstance(v, bytes)), {})
+    rules, prefix, trims, marks = spec.get(2, b""), spec.get(3, 1), spec.get(4, 1), spec.get(5, 1)
+    if rules or not prefix or trims or not marks:
+        raise ValueError(f"the model's normalizer {spec.get(1, b'')!r} changes texts, which this encoder doesn't")
+
+
 class Pieces:
     """Encoder and decoder for a model whose normalizer is the identity with a leading space."""
 
@@ -79,7 +88,9 @@ class Pieces:
         import sentencepiece
 
         with open(path, "rb") as file:
-            self.bpe = model_kind(file.read()) == 2
+            data = file.read()
+        check_normalizer(data)
+        self.bpe = model_kind(data) == 2
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.unknown = sp.unk_id()
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]

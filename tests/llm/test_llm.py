@@ -660,6 +660,10 @@ def test_pieces(spark, texts, odd, tmp_path):
     other.write_bytes(data[:at] + b"\x18\x01" + data[at + 2 :])
     q, sq = pieces.Pieces(str(other)), sentencepiece.SentencePieceProcessor(model_file=str(other))
     assert not q.bpe
+    at = data.rindex(b"\x18\x01 \x00", 0, len(data))  # add a leading space, leave white space: now take extra white space away
+    other.write_bytes(data[:at] + b"\x18\x01 \x01" + data[at + 4 :])
+    with pytest.raises(ValueError):
+        pieces.Pieces(str(other))
     for x in [t[:300] for t in list(texts.values())[:60]]:
         mine, theirs = list(array("I", q.encode(x))), sq.encode(x)
         score = lambda ids: sum(sq.get_score(i) for i in ids)
