@@ -49,7 +49,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], said.schema)
+    more = spark.sql("select * from values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)")
+    more = more.select(*(F.col(f.name).cast(f.dataType) for f in said.schema))
     return chat.read_back(chat.windows(said.union(more)))
 
 
