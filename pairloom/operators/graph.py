@@ -33,10 +33,12 @@ def degrees(adj: DataFrame) -> DataFrame:
 
 
 def common_neighbours(pairs: DataFrame, adj: DataFrame, deg: DataFrame) -> DataFrame:
-    """u, v, cn, adamic_adar, resource_allocation: one join and one aggregation for all three."""
-    a = adj.select(F.col("src").alias("u"), F.col("dst").alias("z"))
-    b = adj.select(F.col("src").alias("v"), F.col("dst").alias("z"))
-    shared = pairs.select("u", "v").join(a, "u").join(b, ["v", "z"]).join(deg.select(F.col("node").alias("z"), "d"), "z")
+    """u, v, cn, adamic_adar, resource_allocation: one aggregation for all three. The neighbours of a pair's end of lower degree are looked up among the other's."""
+    first = F.col("d_nb_u") <= F.col("d_nb_v")
+    ends = look_up(pairs.select("u", "v"), deg, {"d_nb": 0}).select("u", "v", F.when(first, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("y"))
+    a = adj.select(F.col("src").alias("x"), F.col("dst").alias("z"))
+    b = adj.select(F.col("src").alias("y"), F.col("dst").alias("z"))
+    shared = ends.join(a, "x").join(b, ["y", "z"]).join(deg.select(F.col("node").alias("z"), "d"), "z")
     aa = F.sum(F.when(F.col("d") > 1, 1 / F.ln(F.col("d"))).otherwise(0.0))
     return shared.groupBy("u", "v").agg(F.count("*").alias("cn"), aa.alias("adamic_adar"), F.sum(F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(0.0)).alias("resource_allocation"))
 

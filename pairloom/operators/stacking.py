@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
@@ -38,6 +39,15 @@ def weigh_pairs(pairs: DataFrame, scores: DataFrame, key: str = "id", score: str
     return pairs.join(scores.select(key, F.col(score).alias("weight")), key).where("weight is not null")
 
 
+def out_of_fold(pairs: DataFrame, fit: Callable[[DataFrame], Any], apply: Callable[[Any, DataFrame], DataFrame], k: int = 5, test: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """What `apply` makes of each pair with a model that `fit` made on the other folds, and for test pairs the means over the folds' models."""
+    rows = Scratch(pairs.sparkSession, "folds").keep(folds(pairs, k))
+    models = [fit(rows.where(F.col("fold") != fold).select(*pairs.columns)) for fold in range(k)]
+    held = [apply(model, rows.where(F.col("fold") == fold).select(*pairs.columns)) for fold, model in enumerate(models)]
+    tested = None if test is None else fold_mean(reduce(DataFrame.union, (apply(model, test) for model in models)))
+    return reduce(DataFrame.union, held), tested
+
+
 def weighted_mean(value: Column, n: Column) -> Column:
     return F.sum(value * n) / F.greatest(F.sum(n), F.lit(1))
 
@@ -47,18 +57,24 @@ def log_loss(p: Column, y: Column, eps: float = 1e-15) -> Column:
     return F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)))
 
 
-def boosted_trees(rounds: int = 20, depth: int = 5, least: int = 20) -> GBTClassifier:
-    return GBTClassifier(featuresCol="features", labelCol="is_duplicate", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=least, seed=951)
+def logit_loss(x: Column, y: Column) -> Column:
+    """The mean log loss of logits, without overflow for large ones."""
+    return F.avg(F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x))))
+
+
+def boosted_trees(rounds: int = 2000, depth: int = 7, least: int = 150, rate: float = 0.02, tolerance: float = 0.0) -> GBTClassifier:
+    """Trees of so many levels, `rounds` at most: a round whose gain on the validation rows is under the tolerance ends it, and the trees up to the best round stay."""
+    return GBTClassifier(featuresCol="features", labelCol="is_duplicate", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=least, validationTol=tolerance, seed=951)
 
 
 def stack(features: DataFrame, labels: DataFrame, k: int = 5, test: DataFrame | None = None, make: Callable[[], GBTClassifier] = boosted_trees) -> tuple[DataFrame, DataFrame | None]:
-    """Out-of-fold probabilities (id, fold, is_duplicate, prob) of the training rows, and fold means for the test rows."""
+    """Out-of-fold probabilities (id, fold, is_duplicate, prob) of the training rows, and fold means for the test rows. The held-out fold says when a model stops."""
     names = [c for c in features.columns if c != "id"]
     table = Scratch(features.sparkSession, "stack").keep(folds(features.na.fill(0).join(labels, "id"), k))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(table)
     scored, tested = [], []
     for fold in range(k):
-        model = make().fit(rows.where(F.col("fold") != fold))
+        model = make().setValidationIndicatorCol("held").fit(rows.withColumn("held", F.col("fold") == fold))
         prob = vector_to_array("probability")[1].alias("prob")
         scored.append(model.transform(rows.where(F.col("fold") == fold)).select("id", "fold", "is_duplicate", prob))
         if test is not None:
@@ -81,3 +97,8 @@ def predict(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Data
             yield model(frame)
 
     return ship(rows).mapInPandas(run, schema)
+
+
+def predict_mean(rows: DataFrame, loads: list[Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]], schema: str, key: str = "id") -> DataFrame:
+    """The means of what several models (one of each fold, say) give for a row."""
+    return fold_mean(reduce(DataFrame.union, (predict(rows, load, schema) for load in loads)), key)

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import tokens
+from pairloom.operators.numbering import numbered
 
 
 def folds(rows: DataFrame, k: int = 5, seed: int = 7610, label: str = "is_duplicate", key: str = "id") -> DataFrame:
     """rows with a fold column, stratified by label, in an order that only the ids and the seed decide."""
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order, key))
-    return rows.withColumn("fold", F.pmod(rank - 1, F.lit(k)).cast("int"))
+    ranked = numbered(rows, [label], [order, F.col(key)], "_number")
+    return ranked.select(*rows.columns, F.pmod(F.col("_number") - 1, F.lit(k)).cast("int").alias("fold"))
 
 
 def term_counts(pairs: DataFrame, tokenizer: Callable[[Column], Column] = tokens, *keep: str) -> DataFrame:
@@ -25,9 +26,8 @@ def term_counts(pairs: DataFrame, tokenizer: Callable[[Column], Column] = tokens
 
 def _vocabulary(stats: DataFrame, n: Column, by: list[str], min_df: int, max_df: float, size: int) -> DataFrame:
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "term")) if by else None
-    top = kept.withColumn("_r", rank).where(F.col("_r") <= size).drop("_r") if by else kept.orderBy(F.desc("total"), "term").limit(size)
-    return top.withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1)
+    top = numbered(kept.withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1), by, [F.desc("total"), F.col("term")], "_number")
+    return top.where(F.col("_number") <= size).drop("_number")
 
 
 def fit(terms: DataFrame, documents: int, min_df: int = 3, max_df: float = 0.95, size: int = 150_000) -> DataFrame:
@@ -36,15 +36,15 @@ def fit(terms: DataFrame, documents: int, min_df: int = 3, max_df: float = 0.95,
     return _vocabulary(stats, F.lit(documents), [], min_df, max_df, size)
 
 
-def fit_folds(terms: DataFrame, sizes: dict[int, int], min_df: int = 3, max_df: float = 0.95, size: int = 150_000) -> DataFrame:
-    """fold, term, df, total, idf: for each fold the vocabulary of all other folds, as totals less the fold's own counts."""
+def fit_folds(terms: DataFrame, sizes: dict[int, int], min_df: int = 3, max_df: float = 0.95, size: int = 150_000, sides: int = 2) -> DataFrame:
+    """fold, term, df, total, idf: for each fold the vocabulary of all other folds, as totals less the fold's own counts. A pair is so many documents as `sides` says."""
     own = terms.groupBy("term", "fold").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     per = own.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("df", "total")))).alias("own"))
     every = per.select("*", F.explode(F.array(*map(F.lit, sorted(sizes)))).alias("fold"))
     mine = F.col("own")[F.col("fold")]
     left = every.select("fold", "term", (F.col("df") - F.coalesce(mine["df"], F.lit(0))).alias("df"), (F.col("total") - F.coalesce(mine["total"], F.lit(0))).alias("total"))
     total = sum(sizes.values())
-    n = F.element_at(F.create_map(*[F.lit(x) for f, c in sizes.items() for x in (f, 2 * (total - c))]), F.col("fold"))
+    n = F.element_at(F.create_map(*[F.lit(x) for f, c in sizes.items() for x in (f, sides * (total - c))]), F.col("fold"))
     return _vocabulary(left, n, ["fold"], min_df, max_df, size)
 
 
@@ -79,19 +79,38 @@ def pair_features(pairs: DataFrame, **bounds) -> DataFrame:
     return pair_distances(weights(terms, fit(terms, 2 * pairs.count(), **bounds), ["term"]), pairs)
 
 
+def _folded(pairs: DataFrame, k: int) -> tuple[DataFrame, dict[int, int]]:
+    rows = folds(pairs, k)
+    return rows, {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+
+
 def oof_features(pairs: DataFrame, k: int = 5, **bounds) -> DataFrame:
     """Every pair's features under the vocabulary of the other folds."""
-    rows = folds(pairs, k)
-    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+    rows, sizes = _folded(pairs, k)
     terms = term_counts(rows, tokens, "fold")
     return pair_distances(weights(terms, fit_folds(terms, sizes, **bounds), ["fold", "term"]), pairs)
 
 
-def difference_norms(pairs: DataFrame, min_df: int = 3, max_df: float = 0.98, size: int = 80_000) -> DataFrame:
-    """diff_l2, diff_l1 of the unnormed TF-IDF of the words in one text only."""
+def _differences(pairs: DataFrame, *keep: str) -> DataFrame:
+    """id, side, term, tf: the words that are in one text of a pair only, once each."""
     t1, t2 = tokens(F.col("question1")), tokens(F.col("question2"))
     one = F.array_union(F.array_except(t1, t2), F.array_except(t2, t1))
-    terms = pairs.select("id", F.lit(1).alias("side"), F.explode(one).alias("term"), F.lit(1).alias("tf"))
-    w = weights(terms, fit(terms, pairs.count(), min_df, max_df, size), ["term"], sublinear=True, normed=False)
-    sums = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("diff_l2"), F.sum("w").alias("diff_l1"))
-    return pairs.select("id").join(sums, "id", "left").na.fill(0.0)
+    return pairs.select("id", *keep, F.lit(1).alias("side"), F.explode(one).alias("term"), F.lit(1).alias("tf"))
+
+
+def _norms(weighted: DataFrame, ids: DataFrame) -> DataFrame:
+    sums = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("diff_l2"), F.sum("w").alias("diff_l1"))
+    return ids.select("id").join(sums, "id", "left").na.fill(0.0)
+
+
+def difference_norms(pairs: DataFrame, min_df: int = 3, max_df: float = 0.98, size: int = 80_000) -> DataFrame:
+    """diff_l2, diff_l1 of the unnormed TF-IDF of the words in one text only."""
+    terms = _differences(pairs)
+    return _norms(weights(terms, fit(terms, pairs.count(), min_df, max_df, size), ["term"], sublinear=True, normed=False), pairs)
+
+
+def oof_difference_norms(pairs: DataFrame, k: int = 5, min_df: int = 3, max_df: float = 0.98, size: int = 80_000) -> DataFrame:
+    """As difference_norms, each pair under the vocabulary of the other folds."""
+    rows, sizes = _folded(pairs, k)
+    terms = _differences(rows, "fold")
+    return _norms(weights(terms, fit_folds(terms, sizes, min_df, max_df, size, sides=1), ["fold", "term"], sublinear=True, normed=False), pairs)

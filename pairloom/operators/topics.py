@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,35 +21,59 @@ def _side(pairs: DataFrame, column: str) -> DataFrame:
     return pairs.select("id", F.lit(column).alias("side"), word_tokens(F.col(column)).alias("words"))
 
 
-def topic_features(pairs: DataFrame, topics: int = 10, size: int = 20_000, rounds: int = 10, seed: int = 951) -> DataFrame:
-    """id and the pair features of the two texts' topic mixtures, fitted on all texts of the table."""
+def topic_model(pairs: DataFrame, topics: int = 10, size: int = 20_000, rounds: int = 10, seed: int = 951) -> PipelineModel:
+    """Topics fitted on both texts of the pairs."""
     texts = _side(pairs, "question1").union(_side(pairs, "question2"))
     stages = [StopWordsRemover(inputCol="words", outputCol="kept"), CountVectorizer(inputCol="kept", outputCol="counts", minDF=2, maxDF=0.95, vocabSize=size), LDA(k=topics, optimizer="online", subsamplingRate=1.0, maxIter=rounds, seed=seed, featuresCol="counts")]
-    made = Pipeline(stages=stages).fit(texts).transform(texts).select("id", "side", vector_to_array("topicDistribution").alias("p"))
+    return Pipeline(stages=stages).fit(texts)
+
+
+def topic_pairs(model: PipelineModel, pairs: DataFrame) -> DataFrame:
+    """id and the pair features of the two texts' topic mixtures."""
+    texts = _side(pairs, "question1").union(_side(pairs, "question2"))
+    made = model.transform(texts).select("id", "side", vector_to_array("topicDistribution").alias("p"))
     both = made.groupBy("id").agg(*(F.first(F.when(F.col("side") == c, F.col("p")), ignorenulls=True).alias(c) for c in ("question1", "question2")))
-    return both.select("id", *(c.alias(n) for n, c in topic_pair(F.col("question1"), F.col("question2"), topics).items()))
-
-
-def latent_features(pairs: DataFrame, k: int = 64, min_df: int = 3, max_df: float = 0.95, size: int = 120_000) -> DataFrame:
-    """id, svd array<double>: the common words' TF-IDF projected on the first right singular vectors, largest loading positive."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    both = F.array_intersect(tokens(F.col("question1")), tokens(F.col("question2")))
-    terms = pairs.select("id", F.lit(1).alias("side"), F.explode(both).alias("term"), F.lit(1).alias("tf"))
-    vocab = fit(terms, pairs.count(), min_df, max_df, size)
-    ranks = {r["term"]: i for i, r in enumerate(vocab.select("term").orderBy("term").collect())}  # at most `size` terms
-    if not ranks:
-        return pairs.select("id", F.array_repeat(F.lit(0.0), k).alias("svd"))
-    w = weights(terms, vocab, ["term"], sublinear=True)
-    index = pairs.sparkSession.createDataFrame(list(ranks.items()), "term string, idx int")
-    rows = w.join(index, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("x"))
-    n = len(ranks)
-    matrix = RowMatrix(rows.select("x").rdd.map(lambda r: Vectors.sparse(n, [(x["idx"], x["w"]) for x in r["x"]])))
-    v = matrix.computeSVD(min(k, n), computeU=False).V.toArray()
+    return both.select("id", *(c.alias(n) for n, c in topic_pair(F.col("question1"), F.col("question2"), model.stages[-1].getOrDefault("k")).items()))
+
+
+def topic_features(pairs: DataFrame, **options) -> DataFrame:
+    """id and the pair features of topics fitted on all texts of the table."""
+    return topic_pairs(topic_model(pairs, **options), pairs)
+
+
+def _common(pairs: DataFrame) -> DataFrame:
+    """id, words: the words that both texts hold, once each."""
+    return pairs.select("id", F.array_intersect(tokens(F.col("question1")), tokens(F.col("question2"))).alias("words"))
+
+
+def _terms(pairs: DataFrame) -> DataFrame:
+    return _common(pairs).select("id", F.lit(1).alias("side"), F.explode("words").alias("term"), F.lit(1).alias("tf"))
+
+
+def latent_model(pairs: DataFrame, k: int = 64, min_df: int = 3, max_df: float = 0.95, size: int = 120_000) -> DataFrame:
+    """term, idf, v: the vocabulary of the pairs' common words and its loadings on the first k right singular vectors of the TF-IDF rows, largest loading positive.
+
+    The rows are vectors that the JVM makes; `size` terms at most come to the driver, with k loadings each."""
+    vocab = fit(_terms(pairs), pairs.count(), min_df, max_df, size).select("term", "idf").orderBy("term").collect()
+    if not vocab:
+        return pairs.sparkSession.createDataFrame([], "term string, idf double, v array<double>")
+    counts = CountVectorizerModel.from_vocabulary([r.term for r in vocab], inputCol="words", outputCol="counts")
+    stages = [counts, ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="x")]
+    rows = MLUtils.convertVectorColumnsFromML(PipelineModel(stages).transform(_common(pairs)).select("x"), "x")
+    v = RowMatrix(rows).computeSVD(min(k, len(vocab)), computeU=False).V.toArray()
     v = v * [1.0 if c[abs(c).argmax()] >= 0 else -1.0 for c in v.T]
-    loadings = pairs.sparkSession.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "idx int, v array<double>")
-    parts = w.join(index, "term").join(loadings, "idx").select("id", "w", F.posexplode("v").alias("dim", "x"))
+    return pairs.sparkSession.createDataFrame([(r.term, r.idf, x.tolist()) for r, x in zip(vocab, v)], "term string, idf double, v array<double>")
+
+
+def latent_rows(model: DataFrame, pairs: DataFrame, k: int = 64) -> DataFrame:
+    """id, svd array<double>: the common words' TF-IDF projected on the model's loadings; zeros without any."""
+    w = weights(_terms(pairs), model.select("term", "idf"), ["term"], sublinear=True)
+    parts = w.join(model.select("term", "v"), "term").select("id", "w", F.posexplode("v").alias("dim", "x"))
     made = parts.groupBy("id", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("y")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "y"))).alias("y"))
     wide = pairs.select("id").join(made, "id", "left")
     return wide.select("id", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.element_at("y", i), F.lit(0.0))).alias("svd"))
+
+
+def latent_features(pairs: DataFrame, k: int = 64, **bounds) -> DataFrame:
+    """id, svd array<double> under the loadings of all pairs."""
+    return latent_rows(latent_model(pairs, k, **bounds), pairs, k)

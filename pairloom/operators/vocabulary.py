@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import CHARACTERS
+from pairloom.operators.numbering import numbered
 
 #: Words, numbers, and single marks; contractions part before the apostrophe. An approximation of a rule-based tokenizer.
 TOKEN = r"(?U)\w+(?=n't\b)|n't\b|'(?:s|m|re|ve|ll|d)\b|\w+|[^\w\s]"
@@ -19,22 +20,13 @@ def words(c: Column, pattern: str = TOKEN) -> Column:
 def vocabulary(pairs: DataFrame, columns: tuple[str, ...] = ("question1", "question2"), pattern: str = TOKEN) -> DataFrame:
     """token, idx from 2 by first appearance: column by column, in order of id, then of place.
 
-    The first places are found by an aggregation; only they are ranked. Ranks come from range-partitioned
-    counts, so no single task holds the vocabulary."""
+    The first places are found by an aggregation; only they are numbered, and no single task holds the vocabulary."""
     places = None
     for block, column in enumerate(columns):
         rows = pairs.select(F.lit(block).alias("block"), "id", F.posexplode(words(F.col(column), pattern)).alias("place", "token"))
         places = rows if places is None else places.union(rows)
     first = places.groupBy("token").agg(F.min(F.struct("block", "id", "place")).alias("at"))
-    spread = first.repartitionByRange("at").sortWithinPartitions("at").withColumns({"part": F.spark_partition_id(), "n": F.monotonically_increasing_id()})
-    local = spread.withColumn("n", F.col("n") - F.shiftleft(F.col("part").cast("long"), 33))
-    sizes = {r["part"]: r["count"] for r in local.groupBy("part").count().collect()}
-    before, offsets = 2, []
-    for part in sorted(sizes):
-        offsets += [F.lit(part), F.lit(before)]
-        before += sizes[part]
-    start = F.element_at(F.create_map(*offsets), F.col("part")) if offsets else F.lit(2)
-    return local.select("token", (F.col("n") + start).cast("long").alias("idx"))
+    return numbered(first, [], [F.col("at")], "n").select("token", (F.col("n") + 1).alias("idx"))
 
 
 def sentences(pairs: DataFrame, column: str, vocab: DataFrame, max_len: int = 40, pattern: str = TOKEN) -> DataFrame:
@@ -58,3 +50,21 @@ def characters(pairs: DataFrame, column: str, max_len: int = 40, max_char_len: i
     rows = F.transform(F.slice(words(F.col(column), pattern), 1, max_len), code)
     blank = F.array_repeat(F.array_repeat(F.lit(0), max_char_len), max_len - F.size(rows))
     return pairs.select("id", F.concat(rows, blank).alias("chars"))
+
+
+def vector_table(vocab: DataFrame, vectors: DataFrame, size: int = 300, scale: float = 0.01, seed: int = 951) -> DataFrame:
+    """idx, token, vec: each token's vector; tokens without one get normal draws of that scale, which a hash of token and place fixes."""
+
+    def uniform(i: Column, salt: int) -> Column:
+        return (F.pmod(F.xxhash64("token", i, F.lit(seed + salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: scale * F.sqrt(-2 * F.ln(uniform(i, 0))) * F.cos(2 * F.pi() * uniform(i, 1)))
+    return vocab.join(vectors.select("token", "vec"), "token", "left").select("idx", "token", F.coalesce("vec", drawn).alias("vec"))
+
+
+def sentence_vectors(encoded: DataFrame, table: DataFrame, size: int = 300) -> DataFrame:
+    """id, rows array<array<double>>: the vectors of an encoded sentence's ids in order, zeros for padding and unknown words."""
+    places = encoded.select("id", F.posexplode("ids").alias("place", "idx")).join(table.select(F.col("idx").cast("int").alias("idx"), "vec"), "idx", "left")
+    blank = F.array_repeat(F.lit(0.0), size)
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("vec", blank).alias("vec")))), lambda x: x["vec"])
+    return places.groupBy("id").agg(rows.alias("rows"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pairloom.functions import vectors
 from pairloom.functions.pairs import look_up
 from pairloom.operators import clean, fuzzy, graph, iterative, stacking, tfidf, topics, vocabulary, walks
-from pairloom.plans.fixtures import GRAPH_SQL, TEXT_SQL, VECTOR_SQL, graph_pairs, label_rows, text_pairs, vector_pairs
+from pairloom.plans.fixtures import GRAPH_SQL, TEXT_GRAPH_SQL, TEXT_SQL, VECTOR_SQL, graph_pairs, label_rows, text_pairs, vector_pairs, weighted_graph_pairs
+from pairloom.plans.training import question_nodes
+from pairloom.plans.training import training_table as joined_families
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -296,17 +298,19 @@ def bounded_shortest_path(spark, sf_dir):
     return graph.bounded_shortest_path(e.union(two).union(e.select("u", F.lit(-1).cast("long"))).distinct(), e)
 
 
+def _walks(spark, sf_dir) -> DataFrame:
+    return walks.random_walks(walks.core_graph(graph.weighted_edges(weighted_graph_pairs(spark, sf_dir))))
+
+
 @_query()
 def random_walks(spark, sf_dir):
-    made = walks.random_walks(walks.core_graph(graph.edges_of(graph_pairs(spark, sf_dir), self_loops=False)))
+    made = _walks(spark, sf_dir)
     return made.select("walk", F.array_join(F.transform("nodes", lambda x: x.cast("string")), " ").alias("nodes"))
 
 
 @_query()
 def n2v_pairs(spark, sf_dir):
-    pairs = graph_pairs(spark, sf_dir)
-    made = walks.random_walks(walks.core_graph(graph.edges_of(pairs, self_loops=False)))
-    return walks.vector_features(pairs, walks.node_vectors(made))
+    return walks.vector_features(graph_pairs(spark, sf_dir), walks.node_vectors(_walks(spark, sf_dir)))
 
 
 # TF-IDF, topics and vectors
@@ -353,10 +357,31 @@ def tfidf_diff_norms(spark, sf_dir):
     return tfidf.difference_norms(text_pairs(spark, sf_dir))
 
 
+@_query(
+    f"""with {TEXT_SQL}, ab as ({_AB}), f as (select id, ((row_number() over (partition by is_duplicate order by md5(cast(id as varchar) || '-7610'), id) - 1) % 5) as fold from text_pairs),
+    d as (select ab.id, f.fold, unnest(list_concat(list_filter(a, lambda x: not list_contains(b, x)), list_filter(b, lambda x: not list_contains(a, x)))) as term from ab join f on f.id = ab.id),
+    own as (select term, fold, count(*) as df from d group by term, fold), fs as (select fold, count(*) as n from f group by fold),
+    st as (select fs.fold, t.term, t.df - coalesce(own.df, 0) as df, (select count(*) from f) - fs.n as n from (select term, sum(df) as df from own group by term) t cross join fs left join own on own.term = t.term and own.fold = fs.fold),
+    v as (select fold, term, ln((1.0 + n) / (1 + df)) + 1 as idf from (select *, row_number() over (partition by fold order by df desc, term) as rn from st where df >= 3 and df <= 0.98 * n) where rn <= 80000),
+    s as (select id, sqrt(sum(idf * idf)) as l2, sum(idf) as l1 from d join v on v.term = d.term and v.fold = d.fold group by id)
+    select f.id, {_r('coalesce(l2, 0) as diff_l2', 'coalesce(l1, 0) as diff_l1')} from f left join s on s.id = f.id"""
+)
+def tfidf_diff_oof(spark, sf_dir):
+    return tfidf.oof_difference_norms(text_pairs(spark, sf_dir))
+
+
+def _wide(made: DataFrame) -> DataFrame:
+    return made.select("id", *(F.element_at("svd", i + 1).alias(f"svd_{i}") for i in range(64)))
+
+
 @_query()
 def svd_common(spark, sf_dir):
-    made = topics.latent_features(text_pairs(spark, sf_dir))
-    return made.select("id", *(F.element_at("svd", i + 1).alias(f"svd_{i}") for i in range(64)))
+    return _wide(topics.latent_features(text_pairs(spark, sf_dir)))
+
+
+@_query()
+def svd_oof(spark, sf_dir):
+    return _wide(stacking.out_of_fold(text_pairs(spark, sf_dir), topics.latent_model, topics.latent_rows)[0])
 
 
 @_query()
@@ -364,6 +389,11 @@ def lda_pairs(spark, sf_dir):
     return topics.topic_features(text_pairs(spark, sf_dir))
 
 
+@_query()
+def lda_oof(spark, sf_dir):
+    return stacking.out_of_fold(text_pairs(spark, sf_dir), topics.topic_model, topics.topic_pairs)[0]
+
+
 _DOT, _NA, _NB = "list_dot_product(a, b)", "(sqrt(list_dot_product(a, a)) + 1e-12)", "(sqrt(list_dot_product(b, b)) + 1e-12)"
 _HAD, _DIFF, _ADD = ("list_transform(list_zip(a, b), lambda x: {})".format(x) for x in ("x[1] * x[2]", "abs(x[1] - x[2])", "x[1] + x[2]"))
 
@@ -436,17 +466,52 @@ def fold_average(spark, sf_dir):
     return means.join(weighted, "fold").withColumn("fold", F.col("fold").cast("int"))
 
 
+def _family_sql(name: str, sql: str, *keys: str) -> str:
+    return f"{name} as (select {', '.join(keys)}, columns(lambda c: not list_contains({list(keys)}, c)) as '{name}_\\0' from ({sql}))"
+
+
+def _of_texts(name: str) -> str:
+    return _SQL[name].replace(GRAPH_SQL, TEXT_GRAPH_SQL)
+
+
+_TEXT_FAMILIES = {"basic": "token_similarity", "double": "tfidf_oof", "diff": "tfidf_diff_oof"}
+_GRAPH_FAMILIES = {"graph": "graph_features", "neighbor": "avg_neighbor_degree_pairs", "triangle": "triangle_clustering_pairs", "twohop": "two_hop_pairs"}
+
+
+@_query(
+    "with " + ", ".join([*(_family_sql(k, _SQL[q], "id") for k, q in _TEXT_FAMILIES.items()), *(_family_sql(k, _of_texts(q), "u", "v") for k, q in _GRAPH_FAMILIES.items())])
+    + f", pair as (with {TEXT_GRAPH_SQL} select e.id, e.u, e.v, cast(t.is_duplicate as bigint) as is_duplicate from ends e join text_pairs t on t.id = e.id)"
+    + " select * exclude (u, v) from pair " + " ".join([*(f"join {k} using (id)" for k in _TEXT_FAMILIES), *(f"join {k} using (u, v)" for k in _GRAPH_FAMILIES)])
+)
+def training_table(spark, sf_dir):
+    """Families of text and graph features in one table; ranks count a thousandfold, as in graph_features, and a pair's ends are in order of their number."""
+    pairs = text_pairs(spark, sf_dir)
+    nodes = question_nodes(pairs).select("id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    made = joined_families(pairs, [*_TEXT_FAMILIES, *_GRAPH_FAMILIES], nodes=nodes)
+    return made.withColumns({c: 1000 * F.col(c) for c in ("graph_pagerank_min", "graph_pagerank_max", "graph_pagerank_diff")})
+
+
+def _stacked(spark, sf_dir) -> DataFrame:
+    features, labels = _families(spark, sf_dir)
+    return stacking.stack(features, labels, make=lambda: stacking.boosted_trees(rounds=60, depth=5, least=20, rate=0.1))[0]
+
+
 @_query()
 def stack_gbt(spark, sf_dir):
-    features, labels = _families(spark, sf_dir)
-    return stacking.stack(features, labels)[0]
+    return _stacked(spark, sf_dir)
 
 
 @_query()
 def logloss_cv(spark, sf_dir):
-    features, labels = _families(spark, sf_dir)
-    scored = stacking.stack(features, labels)[0]
-    return scored.groupBy("fold").agg(stacking.log_loss(F.col("prob"), F.col("is_duplicate")).alias("log_loss"), F.count("*").alias("n"))
+    """The loss of each fold, and their mean as fold -1."""
+    losses = _stacked(spark, sf_dir).groupBy("fold").agg(stacking.log_loss(F.col("prob"), F.col("is_duplicate")).alias("log_loss"), F.count("*").alias("n"))
+    return losses.union(stacking.mean_loss(losses).select(F.lit(-1), "mean_loss", "n_folds"))
+
+
+@_query("with e as (select cast(label % 2 as double) as y, cast(embedding[1] as double) as x from embeddings) select " + _r("avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))) as loss") + ", count(*) as n from e")
+def logit_loss(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("label") % 2).alias("y"), F.element_at("embedding", 1).cast("double").alias("x"))
+    return e.agg(stacking.logit_loss(F.col("x"), F.col("y")).alias("loss"), F.count("*").alias("n"))
 
 
 @_query("with e as (select label % 2 as y, 1 / (1 + exp(-cast(embedding[1] as double))) as p from embeddings) select " + _r("avg(-(y * ln(p) + (1 - y) * ln(1 - p))) as log_loss") + ", count(*) as n from e")

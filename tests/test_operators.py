@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import text, vectors
-from pairloom.operators import clean, fuzzy, graph, iterative, stacking, tfidf, vocabulary, walks
+from pairloom.operators import clean, fuzzy, graph, iterative, stacking, tfidf, topics, vocabulary, walks
 from pairloom.operators.components import connected_components
+from pairloom.operators.numbering import numbered
+from pairloom.plans import job, training
 from pairloom.sources import tables
 from pairloom.streaming import rowlocal
 
@@ -260,3 +262,98 @@ def test_ranks_settle_or_raise(spark):
         iterative.pagerank(e, rounds=5, tolerance=1e-12)
     with pytest.raises(RuntimeError):
         iterative.katz(e, rounds=5, tolerance=1e-9)
+
+
+def test_numbers_in_groups_and_ranges(spark):
+    """One group holds most rows; one is null."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 7 == 0, "a").when(F.col("id") % 11 == 0, None).otherwise("hot").alias("g"), F.xxhash64("id").alias("x")).repartition(5)
+    got = numbered(rows, ["g"], [F.desc("x")], "n").collect()
+    own = {}
+    for r in sorted(got, key=lambda r: -r.x):
+        own.setdefault(r.g, []).append(r.n)
+    assert len(got) == 3000 and set(own) == {"a", "hot", None} and all(n == list(range(1, len(n) + 1)) for n in own.values())
+    assert numbered(rows.limit(0), [], [F.col("x")], "n").count() == 0
+
+
+def test_walks_draw_by_weight_in_buckets(spark):
+    """A hub whose neighbours lie in many buckets: each is met in proportion to its weight."""
+    e = spark.createDataFrame([(0, i, 3.0 if i <= 20 else 1.0) for i in range(1, 41)], "u long, v long, weight double")
+    for bucket in (4, 1024):
+        steps = [b for r in walks.random_walks(e, walks=60, length=8, bucket=bucket).collect() for a, b in zip(r.nodes, r.nodes[1:]) if a == 0]
+        heavy = sum(b <= 20 for b in steps) / len(steps)
+        assert len(steps) == 40 * 60 * 3 + 60 * 4 and abs(heavy - 0.75) < 0.03 and len(set(steps)) == 40
+
+
+def test_common_neighbours_of_a_hub(spark):
+    e = edges(spark, [(0, i) for i in range(1, 60)] + [(1, 2), (1, 3), (2, 3)])
+    got = {(r.u, r.v): r.cn for r in graph.link_features(e, e).collect()}
+    assert got[0, 1] == 2 and got[0, 50] == 0 and got[1, 2] == 2
+
+
+def test_out_of_fold_models_never_see_their_rows(spark):
+    pairs = spark.range(50).select("id", (F.col("id") % 2).cast("int").alias("is_duplicate"))
+    test = spark.range(100, 103).select("id")
+
+    def fit(rows):
+        return sorted(r.id for r in rows.collect())
+
+    def apply(seen, rows):
+        return rows.select("id", F.array_contains(F.array(*map(F.lit, seen)), F.col("id")).cast("double").alias("seen"), F.lit(float(len(seen))).alias("n"))
+
+    held, tested = stacking.out_of_fold(pairs, fit, apply, 5, test)
+    assert [(r.seen, r.n) for r in held.orderBy("id").collect()] == [(0.0, 40.0)] * 50
+    assert {(r.id, r.n) for r in tested.collect()} == {(100, 40.0), (101, 40.0), (102, 40.0)}
+
+
+def test_latent_vectors_against_numpy(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(r.sample(words, 5)) for _ in range(40)]
+    pairs = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)] + [(99, "a", "b")], "id long, question1 string, question2 string")
+    got = {x.id: x.svd for x in topics.latent_features(pairs, k=3, min_df=1).collect()}
+    has = np.array([[w in t.split() for w in sorted(words)] for t in texts], float)
+    x = has * (np.log((1 + 41) / (1 + has.sum(0))) + 1)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = np.linalg.svd(x, full_matrices=False)[2][:3].T
+    v *= np.sign(v[np.abs(v).argmax(0), range(3)])
+    assert got[99] == [0.0] * 3 and np.abs(np.array([got[i] for i in range(40)]) - x @ v).max() < 1e-6
+
+
+def test_stacker_stops_by_the_held_out_fold(spark):
+    r = random.Random(3)
+    rows = [(i, x := r.random(), int(x + r.gauss(0, 0.2) > 0.5)) for i in range(200)]
+    table = spark.createDataFrame(rows, "id long, x double, is_duplicate int")
+    scored, tested = stacking.stack(table.select("id", "x"), table.select("id", "is_duplicate"), 2, table.select("id", "x").limit(5), lambda: stacking.boosted_trees(8, 2, 5, 0.3))
+    loss = scored.agg(stacking.log_loss(F.col("prob"), F.col("is_duplicate"))).first()[0]
+    assert scored.count() == 200 and loss < 0.6 and tested.count() == 5
+    p = stacking.logit_loss(F.lit(800.0), F.lit(0.0))
+    assert spark.range(1).agg(p).first()[0] == 800.0
+
+
+def test_word_vectors_and_models_means(spark):
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "token string, idx long")
+    table = vocabulary.vector_table(vocab, spark.createDataFrame([("a", [1.0, 2.0])], "token string, vec array<double>"), 2)
+    got = {r.token: r.vec for r in table.collect()}
+    assert got["a"] == [1.0, 2.0] and len(got["b"]) == 2 and 0 < max(map(abs, got["b"])) < 0.1
+    encoded = spark.createDataFrame([(1, [2, 1, 3, 0])], "id long, ids array<int>")
+    assert vocabulary.sentence_vectors(encoded, table, 2).first().rows == [[1.0, 2.0], [0.0, 0.0], got["b"], [0.0, 0.0]]
+    loads = [lambda n=n: lambda frame: frame.assign(prob=frame.x * n) for n in (1, 3)]
+    assert stacking.predict_mean(spark.createDataFrame([(1, 2.0)], "id long, x double"), loads, "id long, x double, prob double").first().prob == 4.0
+
+
+def test_training_table_takes_given_families(spark):
+    pairs = spark.createDataFrame([(1, "a b", "b c", 1), (2, "B  c", "a b", 0), (3, "x", "x", 0)], "id long, question1 string, question2 string, is_duplicate int")
+    nodes = {r.id: (r.u, r.v) for r in training.question_nodes(pairs).collect()}
+    assert nodes[1] == nodes[2][::-1] and nodes[3][0] == nodes[3][1] and {x for p in nodes.values() for x in p} == {1, 2, 3}
+    neural = spark.createDataFrame([(1, 0.5)], "id long, prob double")
+    got = {r.id: r for r in training.training_table(pairs, ["basic", "neighbor"], {"esim": neural}).collect()}
+    assert len(got) == 3 and got[1].esim_prob == 0.5 and got[2].esim_prob is None and got[1].neighbor_and_min == 1.0 and got[1].is_duplicate == 1
+
+
+def test_job_arguments():
+    asked = job.parse(["--tables", "x", "--out", "y", "--queries", "degree, components"])
+    assert asked.queries == ["degree", "components"] and job.listed(int)("0,2") == [0, 2]
+    with pytest.raises(SystemExit):
+        job.parse(["--tables", "x", "--out", "y", "--queries", "nothing"])
