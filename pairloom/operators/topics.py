@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import tokens, word_tokens
 from pairloom.functions.vectors import topic_pair
 from pairloom.operators.tfidf import fit, weights
+from pairloom.plans.lineage import Scratch
 
 
 def _side(pairs: DataFrame, column: str) -> DataFrame:
@@ -53,14 +54,14 @@ def _terms(pairs: DataFrame) -> DataFrame:
 def latent_model(pairs: DataFrame, k: int = 64, min_df: int = 3, max_df: float = 0.95, size: int = 120_000) -> DataFrame:
     """term, idf, v: the vocabulary of the pairs' common words and its loadings on the first k right singular vectors of the TF-IDF rows, largest loading positive.
 
-    The rows are vectors that the JVM makes; `size` terms at most come to the driver, with k loadings each."""
+    The rows are vectors that the JVM makes, written once, as many products read them; `size` terms at most come to the driver, with k loadings each."""
     vocab = fit(_terms(pairs), pairs.count(), min_df, max_df, size).select("term", "idf").orderBy("term").collect()
     if not vocab:
         return pairs.sparkSession.createDataFrame([], "term string, idf double, v array<double>")
     counts = CountVectorizerModel.from_vocabulary([r.term for r in vocab], inputCol="words", outputCol="counts")
     stages = [counts, ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="x")]
-    rows = MLUtils.convertVectorColumnsFromML(PipelineModel(stages).transform(_common(pairs)).select("x"), "x")
-    v = RowMatrix(rows).computeSVD(min(k, len(vocab)), computeU=False).V.toArray()
+    rows = Scratch(pairs.sparkSession, "latent").keep(PipelineModel(stages).transform(_common(pairs)).select("x"))
+    v = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "x")).computeSVD(min(k, len(vocab)), computeU=False).V.toArray()
     v = v * [1.0 if c[abs(c).argmax()] >= 0 else -1.0 for c in v.T]
     return pairs.sparkSession.createDataFrame([(r.term, r.idf, x.tolist()) for r, x in zip(vocab, v)], "term string, idf double, v array<double>")
 
