@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import ann, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, warc
+from pairloom.llm import ann, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.labelled_references(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.spliced(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_packing, op4_pseudonyms, op5_licenses, op6_warc, op7_chat, op8_sentencepiece, op9_jaccard_join, op10_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_packing, op4_pseudonyms, op5_licenses, op6_warc, op7_chat, op8_sentencepiece, op9_jaccard_join, op10_quality, op13_prefix_trie)}
 
 
-#: Conversations and pages have results that SQL can express; the other operators are tested against brute force.
+#: Conversations, their trie and pages have results that SQL can express; the other operators are tested against brute force.
+#: The trie in SQL: each node's sequence is a list, and it adds to all its prefixes; crc32 is folded bit by bit over the digits.
 #: Windows in SQL: what a window would repeat if it opened at a turn hangs on prefix sums alone; whether it opens there is a recursion over turns.
 SQL = {
     "op7_chat": """
@@ -94,6 +99,19 @@ SQL = {
             coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '') as loss from t group by conv_id)
         select d.conv_id, d.n_turns, d.turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(f.formatted_chars as bigint) as formatted_chars
         from d join f on f.conv_id is not distinct from d.conv_id""",
+    "op13_prefix_trie": """
+        with own as (select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns from conversations where conv_id is not null group by conv_id),
+        shared as (select *, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda x: [cast(ascii(x) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end)) % 9 as h from own),
+        rebuilt as (select c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) as turns from shared c left join own b on b.conv_id = c.conv_id - c.conv_id % 5),
+        prefixes as (select conv_id, len(turns) as size, unnest(range(len(turns) + 1)) as depth, turns from rebuilt),
+        nodes as (select depth, turns[1:depth] as node, min(conv_id) as conv_id, count(*) as n_convs, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where size = depth) as ends from prefixes group by all),
+        families as (select node[1:depth - 1] as node, count(*) as n from nodes where depth > 0 group by all),
+        full_nodes as (select n.*, coalesce(f.n, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * strlen(n.node[depth].text) end as saved from nodes n left join families f on f.node = n.node),
+        above as (select node, depth, n_children, saved, unnest(range(depth + 1)) as k from full_nodes),
+        subtrees as (select k, node[1:k] as node, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum(saved) as saved_tokens from above group by all)
+        select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, cast(s.n_leaves as bigint) as n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, sha256(coalesce(n.ends, '')) as ends_sha256
+        from full_nodes n join subtrees s on s.node = n.node left join nodes p on n.depth > 0 and p.node = n.node[1:n.depth - 1]""",
     "op6_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
              f as (select h, min(page_id) as first, count(*) as n from p where strlen(h) >= 100 group by h)

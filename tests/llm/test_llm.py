@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import ann, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, vocab, warc
+from pairloom.llm import ann, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, vocab, warc
 from pairloom.llm.words import shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -933,3 +933,59 @@ def test_pipeline(spark, texts, tmp_path):
     assert mails and not any(m in r.text for m in mails for r in rows)
     out = stages["packing"](spark, masked, SF).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert {r.doc_id for r in out} == want and all(r.n == r.t for r in out)
+
+
+def brute_trie(rows, group=5, modulus=9):
+    """rows: (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(t)] for c, t in own.items()}
+    nodes = defaultdict(list)
+    size = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % modulus
+        made = own.get(c - c % group, [])[:h] + turns[h:]
+        size[c] = len(made)
+        for d in range(len(made) + 1):
+            nodes[tuple(made[:d])].append(c)
+    children = defaultdict(int)
+    for n in nodes:
+        if n:
+            children[n[:-1]] += 1
+    leaves, saved = defaultdict(int), defaultdict(int)
+    for n, members in nodes.items():
+        for d in range(len(n) + 1):
+            leaves[n[:d]] += n not in children
+            saved[n[:d]] += (len(members) - 1) * len(n[-1][1].encode()) if n else 0
+    return sorted((min(m), len(n), min(nodes[n[:-1]]) if n else None, len(m), children.get(n, 0), leaves[n], saved[n], hashlib.sha256(",".join(str(c) for c in sorted(m) if size[c] == len(n)).encode()).hexdigest()) for n, m in nodes.items())
+
+
+TURNS = "conv_id long, turn long, role string, text string, depth string, near int"
+
+
+def trie_rows(spark, rows, **options):
+    return sorted(map(tuple, trie.prefix_trie(trie.spliced(spark.createDataFrame([(*r, "x", 1) for r in rows], TURNS), **options)).collect()))
+
+
+def test_prefix_trie(spark, monkeypatch):
+    """Shared openings and whole copies, tied and repeated turns, nulls everywhere, a long conversation; columns named like the operator's own."""
+    r = random.Random(5)
+    rows = [(c, t, r.choice(["user", "assistant"]), r.choice(["", "a", "bb", "é"])) for c in range(60) for t in range(r.randint(1, 12)) if r.random() < 0.9]
+    rows += [(c, t, "user", "same") for c in range(100, 160) for t in range(3)]
+    rows += [(200, None, None, None), (200, None, "user", None), (200, 1, "user", "x"), (200, 1, "user", "x"), (None, 0, "user", "x"), (201, 1, None, "y")]
+    rows += [(300, t, "user", f"t{t % 7}") for t in range(400)] + [(301, 0, "user", "long " * 20000)]
+    want = brute_trie(rows)
+    assert trie_rows(spark, rows) == want
+    monkeypatch.setattr(trie, "HOT", 4)  # few nodes by broadcast, most by the join
+    monkeypatch.setattr(trie, "CHUNK", 5)
+    assert trie_rows(spark, rows) == want
+    assert trie_rows(spark, rows[:0]) == []
+    assert trie_rows(spark, [(3, 0, "user", "a")]) == brute_trie([(3, 0, "user", "a")])  # its first turns are lent by a conversation that isn't there
+
+
+def test_trie_of_whole_conversations(spark):
+    rows = [(c, t, "user", str(t * (c % 3))) for c in range(30) for t in range(4)]
+    got = sorted(map(tuple, trie.prefix_trie(trie.whole(spark.createDataFrame([(*r, "x", 1) for r in rows], TURNS))).collect()))
+    assert got == brute_trie(rows, group=1)
