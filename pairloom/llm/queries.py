@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import ann, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, warc
+from pairloom.llm import ann, ball_tree, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +67,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.labelled_references(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return ball_tree.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, label)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.spliced(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_packing, op4_pseudonyms, op5_licenses, op6_warc, op7_chat, op8_sentencepiece, op9_jaccard_join, op10_quality, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_packing, op4_pseudonyms, op5_licenses, op6_warc, op7_chat, op8_sentencepiece, op9_jaccard_join, op10_quality, op12_hard_negatives, op13_prefix_trie)}
 
 
 #: Conversations, their trie and pages have results that SQL can express; the other operators are tested against brute force.
@@ -99,6 +104,14 @@ SQL = {
             coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '') as loss from t group by conv_id)
         select d.conv_id, d.n_turns, d.turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(f.formatted_chars as bigint) as formatted_chars
         from d join f on f.conv_id is not distinct from d.conv_id""",
+    "op12_hard_negatives": """
+        with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+            where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+        p as (select anchor_id, vec_id as positive_id, score as positive_score from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same) where k <= 5),
+        n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+            from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+        select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3""",
     "op13_prefix_trie": """
         with own as (select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns from conversations where conv_id is not null group by conv_id),
         shared as (select *, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda x: [cast(ascii(x) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),

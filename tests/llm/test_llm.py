@@ -1,6 +1,7 @@
 """Operators against brute force, libraries and exact round trips, with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import ann, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, vocab, warc
+from pairloom.llm import ann, ball_tree, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, vocab, warc
 from pairloom.llm.words import shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -989,3 +990,69 @@ def test_trie_of_whole_conversations(spark):
     rows = [(c, t, "user", str(t * (c % 3))) for c in range(30) for t in range(4)]
     got = sorted(map(tuple, trie.prefix_trie(trie.whole(spark.createDataFrame([(*r, "x", 1) for r in rows], TURNS))).collect()))
     assert got == brute_trie(rows, group=1)
+
+
+def brute_negatives(rows, every=50, positives=5, negatives=3):
+    """rows: (vec_id, label, vector), those that take part; labels as they count."""
+    rows = [(i, lab, [math.floor(256 * x) for x in v]) for i, lab, v in rows]
+    out = []
+    asking = {}
+    for i, lab, v in sorted(rows):
+        if i % every == 0:
+            asking.setdefault(i, (lab, v))
+    for a, (lab, v) in asking.items():
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), i, m == lab) for i, m, w in rows if i != a)
+        for s, p, _ in [x for x in scored if x[2]][:positives]:
+            fits = [(-t, i) for t, i, same in scored if not same and 50 * -s <= 100 * -t <= 95 * -s]
+            out += [(a, p, k + 1, i, -s, t) for k, (t, i) in enumerate(fits[:negatives])]
+    return sorted(out)
+
+
+VECTORS = "vec_id long, label int, embedding array<float>, list int, row string"
+
+
+def negatives(spark, rows, every=50):
+    made = spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS)
+    return sorted(map(tuple, ball_tree.hard_negatives(made, F.col("vec_id") % every == 0).collect()))
+
+
+@pytest.mark.parametrize("kind", ["spread", "clusters", "copies", "large"])
+def test_hard_negatives(spark, kind, monkeypatch):
+    """Several lists, blocks and levels of trees; a third of the rows equal; scores beyond 2^53."""
+    monkeypatch.setattr(ball_tree, "BLOCK", 256)
+    monkeypatch.setattr(ann, "BLOCK", 256)
+    monkeypatch.setattr(ball_tree, "LEAF", 16)
+    monkeypatch.setattr(ball_tree, "SAMPLE_NUMBERS", 8 * 100)
+    g = np.random.default_rng(3)
+    v = g.normal(size=(1500, 8))
+    if kind == "clusters":
+        v = v * 0.05 + 3 * g.normal(size=(12, 8))[g.integers(0, 12, 1500)]
+    if kind == "copies":
+        v[g.random(1500) < 0.4] = v[0]
+    if kind == "large":
+        v *= 300_000.0
+    v = v.astype(np.float32)
+    rows = [(i, int(lab), [float(x) for x in w]) for i, (lab, w) in enumerate(zip(g.integers(0, 4, 1500), v))]
+    assert negatives(spark, rows) == brute_negatives(rows)
+
+
+def test_hard_negatives_on_odd_rows(spark):
+    r = random.Random(2)
+    rows = [(i, i % 3, [r.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    rows = [(i, lab, [float(np.float32(x)) for x in v]) for i, lab, v in rows]
+    rows += [(7, 0, rows[50][2]), (50, 2, rows[3][2]), (100, 1, rows[100][2]), (100, 1, rows[100][2]), (130, 0, [0.0] * 4), (150, 1, [0.0] * 4)]
+    bad = [(200, None, [1.0] * 4), (None, 1, [1.0] * 4), (250, 1, None), (201, 1, [1.0, None, 1.0, 1.0]), (300, 1, [1.0, float("nan"), 0.0, 0.0]), (202, 1, [float("inf")] * 4), (203, 1, [1.0]), (204, 1, []), (205, 1, [1e30] * 4)]
+    assert negatives(spark, rows + bad) == brute_negatives(rows)
+    assert negatives(spark, []) == [] and negatives(spark, [(0, 1, [1.0])]) == []
+    assert negatives(spark, [(50, 1, []), (1, 1, []), (2, 0, [])]) == [(50, 1, 1, 2, 0, 0)]
+
+
+def test_ball_tree_bounds():
+    g = np.random.default_rng(1)
+    v = np.floor(256 * g.normal(size=(700, 6)))
+    tree, q = ball_tree.BallTree(v), np.floor(256 * g.normal(size=(9, 6)))
+    assert sorted(tree.order) == list(range(700))
+    for node in range(len(tree.radius)):
+        score = q @ v[tree.order[tree.start[node] : tree.end[node]]].T
+        low, high = tree.bounds(q, node)
+        assert (score >= low[:, None]).all() and (score <= high[:, None]).all()
