@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import ann, ball_tree, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, warc
+from pairloom.llm import ann, ball_tree, chat, interpolation, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.labelled_references(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_documents(_documents(spark, sf_dir))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return ball_tree.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, label)
@@ -77,7 +81,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_packing, op4_pseudonyms, op5_licenses, op6_warc, op7_chat, op8_sentencepiece, op9_jaccard_join, op10_quality, op12_hard_negatives, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_packing, op4_pseudonyms, op5_licenses, op6_warc, op7_chat, op8_sentencepiece, op9_jaccard_join, op10_quality, op11_lm_scores, op12_hard_negatives, op13_prefix_trie)}
 
 
 #: Conversations, their trie and pages have results that SQL can express; the other operators are tested against brute force.
