@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import ann, ball_tree, chat, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, vocab, warc
+from pairloom.llm import ann, ball_tree, chat, interpolation, jaccard_join, licenses, packing, pieces, pii, quality, token_counts, trie, vocab, warc
 from pairloom.llm.words import shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -1056,3 +1056,97 @@ def test_ball_tree_bounds():
         score = q @ v[tree.order[tree.start[node] : tree.end[node]]].T
         low, high = tree.bounds(q, node)
         assert (score >= low[:, None]).all() and (score <= high[:, None]).all()
+
+
+def brute_interpolation(rows, order, rounds=30):
+    """rows: (doc_id, text). The same model with dictionaries, a token at a time."""
+    docs = []
+    for i, text in rows:
+        words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        docs.append((i, zlib.crc32(("" if i is None else str(i)).encode()) % 7, ["<"] * (order - 1) + words + ["\n"]))
+
+    def counted(chosen):
+        c = defaultdict(int)
+        for _, fold, t in docs:
+            if chosen(fold):
+                for i in range(order - 1, len(t)):
+                    for n in range(order + 1):
+                        c[tuple(t[i - n + 1 : i + 1]) if n else ()] += 1
+                    for n in range(1, order):
+                        c["context", tuple(t[i - n : i])] += 1
+        return c
+
+    def estimates(c, size, t, i):
+        p, bucket = [1 / (size + 1), c[(t[i],)] / max(1, c[()])], 0
+        for n in range(2, order + 1):
+            seen = c["context", tuple(t[i - n + 1 : i])]
+            p.append(c[tuple(t[i - n + 1 : i + 1])] / seen if seen else 0)
+            bucket = (n, seen.bit_length() - 1) if seen else bucket
+        return bucket, p
+
+    whole, kept = counted(lambda f: f != 2), counted(lambda f: f not in (2, 3))
+    size = sum(1 for k, n in whole.items() if len(k) == 1 and n)
+    deleted = [estimates(kept, size, t, i) for _, f, t in docs if f == 3 for i in range(order - 1, len(t))]
+    even = lambda b: [1 / ((b[0] if b else 1) + 1)] * ((b[0] if b else 1) + 1)
+    weights = {b: even(b) for b, _ in deleted}
+    for _ in range(rounds):
+        sums = {b: [0.0] * len(w) for b, w in weights.items()}
+        for b, p in deleted:
+            parts = [w * x for w, x in zip(weights[b], p)]
+            for n, x in enumerate(parts):
+                sums[b][n] += x / sum(parts)
+        new = {b: [max(x / sum(s), 1e-6) for x in s] for b, s in sums.items()}
+        new = {b: [x / sum(s) for x in s] for b, s in new.items()}
+        change = max((abs(x - y) for b in new for x, y in zip(new[b], weights[b])), default=0)
+        weights = new
+        if change < 1e-3:
+            break
+    out = []
+    for d, fold, t in docs:
+        base = score = known = 0
+        for i in range(order - 1, len(t)):
+            n = whole[(t[i],)]
+            known += n > 0
+            base += math.log10((n + 1) / (whole[()] + size + 1))
+            b, p = estimates(whole, size, t, i)
+            score += math.log10(sum(w * x for w, x in zip(weights.get(b, even(b)), p)))
+        out.append((d, fold == 2, len(t) - order + 1, known, whole[()], base, score))
+    return out
+
+
+def same_scores(got, want):
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[6])
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for a, b in zip(got, want):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-5, abs=1e-9), a
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_interpolation(spark, texts, order, monkeypatch):
+    """Every document's score as a plain program gives it, with many blocks and parts."""
+    for name, n in (("BLOCK", 5000), ("PART", 7000)):
+        monkeypatch.setattr(interpolation, name, n)
+    rows = sorted(texts.items())
+    got = interpolation.score_documents(documents(spark), order=order).collect()
+    same_scores(got, brute_interpolation(rows, order))
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # better than single words on texts that taught nothing
+
+
+def test_interpolation_on_odd_rows(spark, odd):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    same_scores(interpolation.score_documents(odd).collect(), brute_interpolation(rows, 2))
+    assert interpolation.score_documents(odd.limit(0)).collect() == []
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    only = spark.createDataFrame([(held, "A b", "", "", 1, "")], DOCS)
+    row = interpolation.score_documents(only).collect()[0]
+    assert row[:6] == (held, True, 3, 0, 0, 0.0) and row.score < 0
+
+
+def test_probabilities_sum_to_one():
+    """Over the words of training and one unknown word, in any context."""
+    weights = interpolation.even_weights(3)
+    assert np.allclose(weights.sum(1), 1)
+    a = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 1000).astype(np.uint64))
+    assert (interpolation._unpack(interpolation._pack(a), 1000, np.uint64) == a).all() and (np.diff(interpolation._part(a, 7).astype(int)) >= 0).all()
