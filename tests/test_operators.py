@@ -63,6 +63,11 @@ def test_fuzzy_against_plain_dynamic_programs():
         both = [(s, l), (l, s)] if len(a) == len(b) else [(s, l)]
         best = max(200 * slow_lcs(x, w) / (len(x) + len(w)) for x, y in both for e in range(1, len(y) + len(x)) if (w := y[max(0, e - len(x)) : e]))
         assert abs(fuzzy.partial_ratio(a, b) - best) < 1e-9
+    pairs = [tuple("".join(r.choices("ab é🙂", k=r.choice([0, 1, 5, 30, 90]))) for _ in range(2)) for _ in range(300)]
+    together = fuzzy.partial_ratios(pairs)
+    assert together == {p: fuzzy.partial_ratio(*p) for p in pairs} and fuzzy.partial_ratio("", "") == 100.0 and fuzzy.partial_ratio("a", "") == 0.0
+    long_ = "".join(r.choices("abcdefgh", k=33_000))
+    assert fuzzy.partial_ratio(long_[20_000:20_040] + "!", long_) == pytest.approx(100 * 80 / 82)  # more characters than 16 bits number
     assert fuzzy.token_set_ratio("new york mets", "mets york new new") == 100.0
     assert fuzzy.token_set_ratio("", "a") == 0.0 and fuzzy.weighted_ratio("", "") == 0.0
     assert fuzzy.weighted_ratio("same text", "same text") == 100.0
