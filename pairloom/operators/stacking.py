@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.tfidf import folds
+from pairloom.plans.abreast import abreast
 from pairloom.plans.lineage import Scratch
 from pairloom.plans.ship import ship
 
@@ -39,10 +40,12 @@ def weigh_pairs(pairs: DataFrame, scores: DataFrame, key: str = "id", score: str
     return pairs.join(scores.select(key, F.col(score).alias("weight")), key).where("weight is not null")
 
 
-def out_of_fold(pairs: DataFrame, fit: Callable[[DataFrame], Any], apply: Callable[[Any, DataFrame], DataFrame], k: int = 5, test: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """What `apply` makes of each pair with a model that `fit` made on the other folds, and for test pairs the means over the folds' models."""
+def out_of_fold(pairs: DataFrame, fit: Callable[[DataFrame], Any], apply: Callable[[Any, DataFrame], DataFrame], k: int = 5, test: DataFrame | None = None, threads: int = 5) -> tuple[DataFrame, DataFrame | None]:
+    """What `apply` makes of each pair with a model that `fit` made on the other folds, and for test pairs the means over the folds' models.
+
+    So many folds are fitted at once."""
     rows = Scratch(pairs.sparkSession, "folds").keep(folds(pairs, k))
-    models = [fit(rows.where(F.col("fold") != fold).select(*pairs.columns)) for fold in range(k)]
+    models = abreast(pairs.sparkSession, lambda fold: fit(rows.where(F.col("fold") != fold).select(*pairs.columns)), range(k), threads)
     held = [apply(model, rows.where(F.col("fold") == fold).select(*pairs.columns)) for fold, model in enumerate(models)]
     tested = None if test is None else fold_mean(reduce(DataFrame.union, (apply(model, test) for model in models)))
     return reduce(DataFrame.union, held), tested
@@ -73,8 +76,8 @@ def stack(features: DataFrame, labels: DataFrame, k: int = 5, test: DataFrame |
     table = Scratch(features.sparkSession, "stack").keep(folds(features.na.fill(0).join(labels, "id"), k))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(table)
     scored, tested = [], []
-    for fold in range(k):
-        model = make().setValidationIndicatorCol("held").fit(rows.withColumn("held", F.col("fold") == fold))
+    models = abreast(features.sparkSession, lambda fold: make().setValidationIndicatorCol("held").fit(rows.withColumn("held", F.col("fold") == fold)), range(k))
+    for fold, model in enumerate(models):
         prob = vector_to_array("probability")[1].alias("prob")
         scored.append(model.transform(rows.where(F.col("fold") == fold)).select("id", "fold", "is_duplicate", prob))
         if test is not None:

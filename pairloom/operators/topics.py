@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
@@ -17,6 +19,9 @@ from pairloom.functions.vectors import topic_pair
 from pairloom.operators.tfidf import fit, weights
 from pairloom.plans.lineage import Scratch
 
+#: MLlib's singular values go through code in the driver's JVM that keeps its state in one place: one at a time.
+_ONE_SVD = threading.Lock()
+
 
 def _side(pairs: DataFrame, column: str) -> DataFrame:
     return pairs.select("id", F.lit(column).alias("side"), word_tokens(F.col(column)).alias("words"))
@@ -61,7 +66,9 @@ def latent_model(pairs: DataFrame, k: int = 64, min_df: int = 3, max_df: float =
     counts = CountVectorizerModel.from_vocabulary([r.term for r in vocab], inputCol="words", outputCol="counts")
     stages = [counts, ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="x")]
     rows = Scratch(pairs.sparkSession, "latent").keep(PipelineModel(stages).transform(_common(pairs)).select("x"))
-    v = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "x")).computeSVD(min(k, len(vocab)), computeU=False).V.toArray()
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "x"))
+    with _ONE_SVD:
+        v = matrix.computeSVD(min(k, len(vocab)), computeU=False).V.toArray()
     v = v * [1.0 if c[abs(c).argmax()] >= 0 else -1.0 for c in v.T]
     return pairs.sparkSession.createDataFrame([(r.term, r.idf, x.tolist()) for r, x in zip(vocab, v)], "term string, idf double, v array<double>")
 

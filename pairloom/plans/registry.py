@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import vectors
 from pairloom.functions.pairs import look_up
-from pairloom.operators import clean, fuzzy, graph, iterative, stacking, tfidf, topics, vocabulary, walks
+from pairloom.operators import clean, encoders, fuzzy, graph, iterative, stacking, tfidf, topics, vocabulary, walks
 from pairloom.plans.fixtures import GRAPH_SQL, TEXT_GRAPH_SQL, TEXT_SQL, VECTOR_SQL, graph_pairs, label_rows, text_pairs, vector_pairs, weighted_graph_pairs
 from pairloom.plans.training import question_nodes
 from pairloom.plans.training import training_table as joined_families
@@ -439,6 +439,100 @@ def neural_combination(spark, sf_dir):
     return rows.select("id", vectors.total(F.col("x")).alias("total"), "prob", F.size("x").cast("long").alias("width"))
 
 
+# pair encoders, with drawn token vectors that both engines make alike
+
+_SIZE = 4
+_DRAWN = f"""tok as (select id, side, token, pos from (select id, 0 as side, unnest({_WORDS.format('question1')}) as token, generate_subscripts({_WORDS.format('question1')}, 1) as pos from text_pairs
+    union all select id, 1, unnest({_WORDS.format('question2')}), generate_subscripts({_WORDS.format('question2')}, 1) from text_pairs) where pos <= 40),
+  x as (select id, side, pos, d, cast('0x' || substr(md5(token || '#' || d), 1, 8) as bigint) / 4294967296.0 - 0.5 as v from tok, range({_SIZE}) as r(d))"""
+
+
+def _digest(df: DataFrame) -> DataFrame:
+    """id, the sum of the coordinates, their sum weighted by place, and how many there are."""
+    x = F.col("x")
+    places = F.transform(x, lambda v, i: (i + 1) * v)
+    return df.select("id", vectors.total(x).alias("total"), vectors.total(places).alias("weighted"), F.size(x).alias("width"))
+
+
+def _coded(spark, sf_dir, encoder: str, size: int = _SIZE) -> DataFrame:
+    return _digest(encoders.encode(text_pairs(spark, sf_dir), encoder, size, pattern=vocabulary.ASCII_TOKEN))
+
+
+@_query(
+    f"""with {TEXT_SQL}, {_DRAWN}, m as (select id, side, d, avg(v) as v from x group by all),
+    f as (select t.id, r.d, coalesce(a.v, 0) as u, coalesce(b.v, 0) as v from text_pairs t cross join range({_SIZE}) as r(d) left join m a on a.id = t.id and a.side = 0 and a.d = r.d left join m b on b.id = t.id and b.side = 1 and b.d = r.d),
+    s as (select id, sum(u + v + abs(u - v) + u * v) as t, sum((d + 1) * u + ({_SIZE} + d + 1) * v + ({2 * _SIZE} + d + 1) * abs(u - v) + ({3 * _SIZE} + d + 1) * u * v) as w, sum(u * v) / greatest(sqrt(sum(u * u) * sum(v * v)), 1e-8) as c from f group by id)
+    select id, {_r('t + c as total', f'w + {4 * _SIZE + 1} * c as weighted')}, cast({4 * _SIZE + 1} as bigint) as width from s"""
+)
+def encoder_pooled(spark, sf_dir):
+    return _coded(spark, sf_dir, "pooled")
+
+
+def _context_sql(name: str, source: str, size: int) -> str:
+    """Running averages forth, then back, of a table of coordinates."""
+    one = "select a.id, a.side, a.pos, a.d{} as d, sum(b.v * pow(0.5, abs(a.pos - b.pos) + 1)) as v from {} a join {} b on b.id = a.id and b.side = a.side and b.d = a.d and b.pos {} a.pos group by all"
+    return f"{name} as ({one.format('', source, source, '<=')} union all {one.format(f' + {size}', source, source, '>=')})"
+
+
+def _attended_sql(name: str, source: str, other: str, scale: float = 1.0) -> str:
+    """What each place attends to; other: the side that is attended to, as an expression over a.side."""
+    return f"""{name}_e as (select a.id, a.side, a.pos, b.pos as at, exp(sum(a.v * b.v) * {scale}) as e from {source} a join {source} b on b.id = a.id and b.side = {other} and b.d = a.d group by all),
+    {name} as (select e.id, e.side, e.pos, b.d, sum(e.e * b.v) / sum(e.e) as v from {name}_e e join {source} b on b.id = e.id and b.side = {other.replace('a.', 'e.')} and b.pos = e.at group by all)"""
+
+
+_WIDE = 16 * _SIZE
+
+
+@_query(
+    f"""with {TEXT_SQL}, {_DRAWN}, {_context_sql('c', 'x', _SIZE)}, {_attended_sql('met', 'c', '1 - a.side')},
+    p as (select c.id, c.side, c.pos, c.d, c.v, coalesce(met.v, 0) as m from c left join met on met.id = c.id and met.side = c.side and met.pos = c.pos and met.d = c.d),
+    enhanced as (select id, side, pos, d, v from p union all select id, side, pos, d + {2 * _SIZE}, m from p union all select id, side, pos, d + {4 * _SIZE}, v - m from p union all select id, side, pos, d + {6 * _SIZE}, v * m from p),
+    {_context_sql('f', 'enhanced', 8 * _SIZE)}, pool as (select id, side, d, avg(v) as mean, max(v) as top from f group by all),
+    s as (select id, sum(mean + top) as t, sum(({_WIDE} * side + d + 1) * mean + ({_WIDE} * (2 + side) + d + 1) * top) as w from pool group by id)
+    select t.id, {_r('coalesce(t, 0) as total', 'coalesce(w, 0) as weighted')}, cast({4 * _WIDE} as bigint) as width from text_pairs t left join s on s.id = t.id"""
+)
+def encoder_aligned(spark, sf_dir):
+    return _coded(spark, sf_dir, "aligned")
+
+
+_UNIT = "{0} as (select id, side, pos, d, v / greatest(sqrt(sum(v * v) over (partition by id, side, pos)), 1e-12) as v from {1})"
+_CELL = "select a.id, {} as channel, a.pos as i, b.pos as j, sum(a.v * b.v) as v from {} a join {} b on b.id = a.id and b.d = a.d where a.side = 0 and b.side = 1 group by all"
+
+
+@_query(
+    f"""with {TEXT_SQL}, {_DRAWN}, {_attended_sql('own', 'x', 'a.side', _SIZE ** -0.5)}, enc as (select x.id, x.side, x.pos, x.d, x.v + own.v as v from x join own on own.id = x.id and own.side = x.side and own.pos = x.pos and own.d = x.d),
+    {_attended_sql('met', 'enc', '1 - a.side', _SIZE ** -0.5)}, {_UNIT.format('u', 'enc')}, {_UNIT.format('um', 'met')},
+    maps as ({_CELL.format(0, 'u', 'u')} union all {_CELL.format(1, 'um', 'u')} union all {_CELL.format(2, 'u', 'um')}
+      union all select a.id, 3, a.pos, b.pos, case when a.token = b.token then 1.0 else 0.0 end from tok a join tok b on b.id = a.id where a.side = 0 and b.side = 1),
+    fields as (select id, channel * 16 + (i - 1) // 10 * 4 + (j - 1) // 10 as c, case when count(*) = 100 then max(v) else greatest(max(v), 0) end as top, sum(v) / 100 as mean from maps group by all),
+    s as (select id, sum(top + mean) as t, sum((c + 1) * top + (c + 65) * mean) as w from fields group by id)
+    select t.id, {_r('coalesce(t, 0) as total', 'coalesce(w, 0) as weighted')}, cast(128 as bigint) as width from text_pairs t left join s on s.id = t.id"""
+)
+def encoder_channels(spark, sf_dir):
+    return _coded(spark, sf_dir, "channels")
+
+
+@_query()
+def encoder_interaction(spark, sf_dir):
+    return _coded(spark, sf_dir, "interaction", 16)
+
+
+@_query()
+def encoder_matching(spark, sf_dir):
+    return _coded(spark, sf_dir, "matching", 16)
+
+
+@_query()
+def encoder_joint(spark, sf_dir):
+    return _coded(spark, sf_dir, "joint", 16)
+
+
+@_query()
+def encoder_heads(spark, sf_dir):
+    """Probabilities and representations by heads fitted out of fold over fitted token vectors."""
+    return encoders.pair_features(text_pairs(spark, sf_dir), "pooled", size=16, width=16, epochs=4, steps=20)[0]
+
+
 # folds, joins, stacking
 
 
