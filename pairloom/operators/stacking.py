@@ -7,7 +7,7 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -70,14 +70,45 @@ def boosted_trees(rounds: int = 2000, depth: int = 7, least: int = 150, rate: fl
     return GBTClassifier(featuresCol="features", labelCol="is_duplicate", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=least, validationTol=tolerance, seed=951)
 
 
-def stack(features: DataFrame, labels: DataFrame, k: int = 5, test: DataFrame | None = None, make: Callable[[], GBTClassifier] = boosted_trees) -> tuple[DataFrame, DataFrame | None]:
-    """Out-of-fold probabilities (id, fold, is_duplicate, prob) of the training rows, and fold means for the test rows. The held-out fold says when a model stops."""
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """The number of rounds with the least loss (the first such) before `patience` rounds bring no lower one, and whether that ended the search."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def patient_trees(train: DataFrame, held: DataFrame, rounds: int, patience: int, make: Callable[[int], GBTClassifier]) -> GBTClassificationModel:
+    """Boosted trees up to the round whose loss on the held rows no round of the next `patience` falls below, `rounds` at most.
+
+    MLlib's own validation ends at the first round without a gain, and it can't go on from a model. So `make(n)` is fitted for twice as many rounds each time until the
+    search ends within them, at about three times the work of the rounds that are needed; equal seeds make equal first trees, so the last fit is the start of the one before."""
+    n = min(rounds, 2 * patience)
+    while True:
+        model = make(n).fit(train)
+        best, ended = best_round(model.evaluateEachIteration(held), patience)
+        if ended or n == rounds:
+            return model if best == n else make(best).fit(train)
+        n = min(rounds, 2 * n)
+
+
+def stack(features: DataFrame, labels: DataFrame, k: int = 5, test: DataFrame | None = None, make: Callable[[], GBTClassifier] = boosted_trees, patience: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Out-of-fold probabilities (id, fold, is_duplicate, prob) of the training rows, and fold means for the test rows. The held-out fold says when a model stops:
+    at its first round without a gain, or, with `patience`, once so many rounds have brought none."""
     names = [c for c in features.columns if c != "id"]
     table = Scratch(features.sparkSession, "stack").keep(folds(features.na.fill(0).join(labels, "id"), k))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(table)
+
+    def fitted(fold: int) -> GBTClassificationModel:
+        if patience is None:
+            return make().setValidationIndicatorCol("held").fit(rows.withColumn("held", F.col("fold") == fold))
+        return patient_trees(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), make().getMaxIter(), patience, lambda n: make().setMaxIter(n))
+
     scored, tested = [], []
-    models = abreast(features.sparkSession, lambda fold: make().setValidationIndicatorCol("held").fit(rows.withColumn("held", F.col("fold") == fold)), range(k))
-    for fold, model in enumerate(models):
+    for fold, model in enumerate(abreast(features.sparkSession, fitted, range(k))):
         prob = vector_to_array("probability")[1].alias("prob")
         scored.append(model.transform(rows.where(F.col("fold") == fold)).select("id", "fold", "is_duplicate", prob))
         if test is not None:

@@ -512,6 +512,26 @@ def encoder_channels(spark, sf_dir):
     return _coded(spark, sf_dir, "channels")
 
 
+_FNV = """list_reduce(list_concat([2166136261], list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: cast('0x' || x as bigint))),
+      lambda h, b: (xor(h, case when b >= 128 then b | 4294967040 else b end) * 16777619) & 4294967295) % 2000"""
+
+
+@_query(
+    f"""with {TEXT_SQL}, w as (select distinct token from (select unnest({_WORDS.format('question1')}) as token from text_pairs)),
+    p as (select token, '<' || token || '>' as m, unnest(range(1, length(token) + 3)) as i from w), g as (select token, m, i, unnest(range(3, 7)) as n from p),
+    b as (select token, {_FNV.format('substr(m, i, n)')} as bucket from g where i + n - 1 <= length(m)),
+    v as (select token, d, avg(cast('0x' || substr(md5(bucket || '#' || d), 1, 8) as bigint) / 4294967296.0 - 0.5) as x from b, range({_SIZE}) as r(d) group by all)
+    select token, {_r('sum(x) as total', 'sum((d + 1) * x) as weighted')} from v group by token"""
+)
+def subword_vectors(spark, sf_dir):
+    """Vectors of all first texts' tokens from those of their n-grams' buckets, which are drawn."""
+    tokens = text_pairs(spark, sf_dir).select(F.explode(vocabulary.words(F.col("question1"), vocabulary.ASCII_TOKEN)).alias("token"))
+    part = lambda b, d: F.conv(F.substring(F.md5(F.concat_ws("#", b.cast("string"), d.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5
+    grams = spark.range(2000).select(F.col("id").alias("bucket"), F.array(*(part(F.col("id"), F.lit(d)) for d in range(_SIZE))).alias("vec"))
+    made = vocabulary.subword_vectors(tokens, grams, buckets=2000)
+    return made.select("token", vectors.total(F.col("vec")).alias("total"), vectors.total(F.transform("vec", lambda v, i: (i + 1) * v)).alias("weighted"))
+
+
 @_query()
 def encoder_interaction(spark, sf_dir):
     return _coded(spark, sf_dir, "interaction", 16)

@@ -362,3 +362,65 @@ def test_job_arguments():
     assert asked.queries == ["degree", "components"] and job.listed(int)("0,2") == [0, 2]
     with pytest.raises(SystemExit):
         job.parse(["--tables", "x", "--out", "y", "--queries", "nothing"])
+
+
+def test_tokens_of_english(spark):
+    """Tokens that part or stay whole by rule."""
+    cases = {
+        "I can't; they cannot, she's gonna!": ["i", "ca", "n't", ";", "they", "can", "not", ",", "she", "'s", "gon", "na", "!"],
+        "See https://a.org/x?y=1, or mail me.too@b.co.uk.": ["see", "https://a.org/x?y=1", ",", "or", "mail", "me.too@b.co.uk", "."],
+        "The U.S. has 1,234.5 km... at 10km, 3rd": ["the", "u.s.", "has", "1,234.5", "km", "...", "at", "10", "km", ",", "3rd"],
+        "Dr. No vs. well-known -- $5 :) (ok)": ["dr.", "no", "vs.", "well", "-", "known", "--", "$", "5", ":)", "(", "ok", ")"],
+        "don\u2019t we\u2019ll caf\u00e9": ["do", "n\u2019t", "we", "\u2019ll", "caf\u00e9"],
+        "canada wanna gotta notary": ["canada", "wan", "na", "got", "ta", "notary"],
+        "": [],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", vocabulary.words(F.col("t")).alias("w")).collect()
+    assert {r.t: r.w for r in rows} == cases
+
+
+def test_subword_vectors(spark):
+    def fnv(gram):
+        h = 2166136261
+        for b in gram.encode():
+            h = ((h ^ (b if b < 128 else b | 0xFFFFFF00)) * 16777619) & 0xFFFFFFFF
+        return h
+
+    def grams(w, a=3, b=6):
+        w = f"<{w}>"
+        return [w[i : i + n] for i in range(len(w)) for n in range(a, b + 1) if i + n <= len(w)]
+
+    words = ["a", "word", "na\u00efve", "\U0001f642x", "aaaaaa", "other"]
+    table = spark.createDataFrame([(w,) for w in [*words, "word", None]], "token string")
+    got = {r.token: r.g for r in table.select("token", vocabulary.character_ngrams(F.col("token")).alias("g")).where("token is not null").collect()}
+    assert {w: sorted(g) for w, g in got.items()} == {w: sorted(grams(w)) for w in words}
+    hashes = table.where("token is not null").select(F.explode(vocabulary.character_ngrams(F.col("token"))).alias("g")).select("g", vocabulary.ngram_bucket(F.col("g"), 1 << 40).alias("h")).collect()
+    assert all(r.h == fnv(r.g) for r in hashes)
+    r = random.Random(1)
+    vecs = {b: [r.random(), r.random()] for b in {fnv(g) % 50 for w in words[:5] for g in grams(w)}}
+    known = {"word": [1.0, 2.0], "unasked": [5.0, 5.0]}
+    made = vocabulary.subword_vectors(table, spark.createDataFrame(list(vecs.items()), "bucket long, vec array<double>"), spark.createDataFrame(list(known.items()), "token string, vec array<double>"), buckets=50)
+    found = {x.token: x.vec for x in made.collect()}
+    for w in words:
+        parts = [vecs[b] for g in grams(w) if (b := fnv(g) % 50) in vecs] + ([known[w]] if w in known else [])
+        assert found.get(w) == (pytest.approx([sum(c) / len(parts) for c in zip(*parts)]) if parts else None)
+    of_words = vocabulary.bucket_vectors(spark.createDataFrame([("abc", [1.0]), ("abd", [3.0])], "token string, vec array<double>"), 3, 3, 1 << 40)
+    assert {x.bucket: x.vec[0] for x in of_words.collect()} == {fnv("<ab"): 2.0, fnv("abc"): 1.0, fnv("bc>"): 1.0, fnv("abd"): 3.0, fnv("bd>"): 3.0}
+
+
+def test_boosting_is_patient(spark):
+    assert stacking.best_round([3.0, 2.0, 2.5, 2.4, 1.0], 2) == (2, True) and stacking.best_round([3.0, 2.0, 2.5, 1.0, 1.0], 3) == (4, False) and stacking.best_round([1.0], 5) == (1, False)
+    r = random.Random(8)
+    rows = [(i, x := r.random(), r.random(), int(x + r.gauss(0, 0.4) > 0.5)) for i in range(300)]
+    table = spark.createDataFrame(rows, "id long, x double, z double, is_duplicate int")
+    make = lambda: stacking.boosted_trees(24, 3, 3, 0.4)
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(table).coalesce(1).cache()
+    train, held = data.where("id >= 100"), data.where("id < 100")
+    model = stacking.patient_trees(train, held, 24, 3, lambda n: make().setMaxIter(n))
+    losses = make().fit(train).evaluateEachIteration(held)
+    best = stacking.best_round(losses, 3)[0]
+    assert model.getNumTrees == best and model.evaluateEachIteration(held) == pytest.approx(losses[:best])
+    scored, _ = stacking.stack(table.select("id", "x", "z"), table.select("id", "is_duplicate"), 2, make=lambda: stacking.boosted_trees(6, 2, 5, 0.3), patience=2)
+    assert scored.count() == 300
