@@ -91,6 +91,26 @@ def oof_features(pairs: DataFrame, k: int = 5, **bounds) -> DataFrame:
     return pair_distances(weights(terms, fit_folds(terms, sizes, **bounds), ["fold", "term"]), pairs)
 
 
+def _by_fold(test: DataFrame, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Test pairs and their terms once for each fold, under ids that hold the fold."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")
+    own = F.struct("id", "fold").alias("id")
+    return test.select("id", every).select(own, "fold"), terms.select("*", every).select(own, "fold", "side", "term", "tf")
+
+
+def _over_folds(made: DataFrame) -> DataFrame:
+    rows = made.withColumn("id", F.col("id.id"))
+    return rows.groupBy("id").agg(*(F.avg(c).alias(c) for c in rows.columns if c != "id"))
+
+
+def tested_features(pairs: DataFrame, test: DataFrame, k: int = 5, **bounds) -> DataFrame:
+    """The test pairs' features, each the mean over the vocabularies that leave out a fold of the pairs."""
+    rows, sizes = _folded(pairs, k)
+    vocab = fit_folds(term_counts(rows, tokens, "fold"), sizes, **bounds)
+    ids, terms = _by_fold(test, term_counts(test), k)
+    return _over_folds(pair_distances(weights(terms, vocab, ["fold", "term"]), ids))
+
+
 def _differences(pairs: DataFrame, *keep: str) -> DataFrame:
     """id, side, term, tf: the words that are in one text of a pair only, once each."""
     t1, t2 = tokens(F.col("question1")), tokens(F.col("question2"))
@@ -114,3 +134,11 @@ def oof_difference_norms(pairs: DataFrame, k: int = 5, min_df: int = 3, max_df:
     rows, sizes = _folded(pairs, k)
     terms = _differences(rows, "fold")
     return _norms(weights(terms, fit_folds(terms, sizes, min_df, max_df, size, sides=1), ["fold", "term"], sublinear=True, normed=False), pairs)
+
+
+def tested_difference_norms(pairs: DataFrame, test: DataFrame, k: int = 5, min_df: int = 3, max_df: float = 0.98, size: int = 80_000) -> DataFrame:
+    """As tested_features, for the norms of differences."""
+    rows, sizes = _folded(pairs, k)
+    vocab = fit_folds(_differences(rows, "fold"), sizes, min_df, max_df, size, sides=1)
+    ids, terms = _by_fold(test, _differences(test), k)
+    return _over_folds(_norms(weights(terms, vocab, ["fold", "term"], sublinear=True, normed=False), ids))

@@ -18,6 +18,13 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, on).select((F.col("a.conv_id") * 1_000_000 + F.col("a.turn")).alias("id"), F.col("a.text").alias("question1"), F.col("b.text").alias("question2"), (F.col("b.role") == "assistant").cast("int").alias("is_duplicate"))
 
 
+def split_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs as training and test pairs, the latter (a quarter, by a hash of the id) without their label."""
+    pairs = text_pairs(spark, sf_dir)
+    tested = F.substring(F.md5(F.col("id").cast("string")), 1, 1).isin("0", "1", "2", "3")
+    return pairs.where(~tested), pairs.where(tested).drop("is_duplicate")
+
+
 def weighted_graph_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that an order holds in equal quantity: u <= v, weight (the lower discount)."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_discount")
@@ -47,6 +54,8 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_SQL = """text_pairs as (select a.conv_id * 1000000 + a.turn as id, a.text as question1, b.text as question2,
     case when b.role = 'assistant' then 1 else 0 end as is_duplicate
     from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"""
+SPLIT_SQL = TEXT_SQL + """, train as (select * from text_pairs where left(md5(cast(id as varchar)), 1) not in ('0', '1', '2', '3')),
+    test as (select * from text_pairs where left(md5(cast(id as varchar)), 1) in ('0', '1', '2', '3'))"""
 _ADJACENT = """adj as (select u as src, v as dst from graph_pairs union select v, u from graph_pairs),
   nb as (select src as node, count(*) as d_nb, count(*) + sum(case when src = dst then 1 else 0 end) as d from adj group by src)"""
 GRAPH_SQL = """graph_pairs as (select distinct least(a.l_partkey, b.l_partkey) as u, greatest(a.l_partkey, b.l_partkey) as v

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pairloom.functions import vectors
 from pairloom.functions.pairs import look_up
 from pairloom.operators import clean, encoders, fuzzy, graph, iterative, stacking, tfidf, topics, vocabulary, walks
-from pairloom.plans.fixtures import GRAPH_SQL, TEXT_GRAPH_SQL, TEXT_SQL, VECTOR_SQL, graph_pairs, label_rows, text_pairs, vector_pairs, weighted_graph_pairs
-from pairloom.plans.training import question_nodes
+from pairloom.plans.fixtures import GRAPH_SQL, SPLIT_SQL, TEXT_GRAPH_SQL, TEXT_SQL, VECTOR_SQL, graph_pairs, label_rows, split_pairs, text_pairs, vector_pairs, weighted_graph_pairs
+from pairloom.plans.training import feature_tables, predict_pairs, question_nodes
 from pairloom.plans.training import training_table as joined_families
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,6 +346,24 @@ def tfidf_oof(spark, sf_dir):
     return tfidf.oof_features(text_pairs(spark, sf_dir))
 
 
+_OF_FOLDS = _tfidf_sql(fold=True).split("x as (select t.id")[0].replace(TEXT_SQL, SPLIT_SQL).replace("as fold from text_pairs)", "as fold from train)")
+_FEATURES = {"cos": "dot / (sqrt(q1) * sqrt(q2) + 1e-9)", "l2d": "sqrt(greatest(q1 + q2 - 2 * dot, 0))", "dot": "dot", "ov_ratio_1": "dot / (s1 + 1e-9)", "ov_ratio_2": "dot / (s2 + 1e-9)", "nnz_ratio": "least(sqrt(n1), sqrt(n2)) / (greatest(sqrt(n1), sqrt(n2)) + 1e-12)"}
+
+
+@_query(
+    f"""{_OF_FOLDS} tw as (select id, 1 as side, unnest({_TOKENS.format('question1')}) as term from test union all select id, 2, unnest({_TOKENS.format('question2')}) from test),
+    x as (select tt.id, v.fold, tt.side, tt.term, tt.tf * v.idf as w from (select id, side, term, count(*) as tf from tw group by all) tt join v on v.term = tt.term),
+    y as (select id, fold, side, term, w / sqrt(sum(w * w) over (partition by id, fold, side)) as w from x),
+    b as (select id, fold, term, coalesce(sum(w) filter (where side = 1), 0) as a, coalesce(sum(w) filter (where side = 2), 0) as b from y group by id, fold, term),
+    s as (select id, fold, sum(a * b) as dot, sum(a * a) as q1, sum(b * b) as q2, sum(a) as s1, sum(b) as s2, count(*) filter (where a <> 0) as n1, count(*) filter (where b <> 0) as n2 from b group by id, fold),
+    z as (select test.id, coalesce(dot, 0) as dot, coalesce(q1, 0) as q1, coalesce(q2, 0) as q2, coalesce(s1, 0) as s1, coalesce(s2, 0) as s2, coalesce(n1, 0) as n1, coalesce(n2, 0) as n2 from test cross join range(5) as f(fold) left join s on s.id = test.id and s.fold = f.fold)
+    select id, {_r(*(f'avg({x}) as {n}' for n, x in _FEATURES.items()))} from z group by id"""
+)
+def tfidf_test(spark, sf_dir):
+    """Test pairs' features, as means over the folds' vocabularies."""
+    return tfidf.tested_features(*split_pairs(spark, sf_dir))
+
+
 @_query(
     f"""with {TEXT_SQL}, ab as ({_AB}), d as (select id, unnest(list_concat(list_filter(a, lambda x: not list_contains(b, x)), list_filter(b, lambda x: not list_contains(a, x)))) as term from ab),
     st as (select term, count(*) as df, (select count(*) from ab) as n from d group by term),
@@ -605,6 +623,25 @@ def training_table(spark, sf_dir):
     return made.withColumns({c: 1000 * F.col(c) for c in ("graph_pagerank_min", "graph_pagerank_max", "graph_pagerank_diff")})
 
 
+@_query(
+    f"with {SPLIT_SQL}, graph as (" + _of_texts("avg_neighbor_degree_pairs") + "), linked as (" + _of_texts("link_features") + "), basic as (" + _SQL["token_similarity"] + f"), e as (with {TEXT_GRAPH_SQL} select id, u, v from ends)"
+    " select test.id, b.jaccard_distance as basic_jaccard_distance, b.dice as basic_dice, g.* exclude (u, v) rename (and_min as neighbor_and_min, and_max as neighbor_and_max, and_mean as neighbor_and_mean, and_diff as neighbor_and_diff), cast(l.cn as bigint) as cn"
+    " from test join basic b on b.id = test.id join e on e.id = test.id join graph g on g.u = e.u and g.v = e.v join linked l on l.u = e.u and l.v = e.v"
+)
+def test_table(spark, sf_dir):
+    """Test pairs in the graph of all pairs, with the common neighbours of their ends."""
+    train, test = split_pairs(spark, sf_dir)
+    made = feature_tables(train, test, ["basic", "neighbor", "graph"])[1]
+    return made.select("id", *(c for c in made.columns if c.startswith(("basic_", "neighbor_"))), F.col("graph_cn").alias("cn"))
+
+
+@_query()
+def stacked_submission(spark, sf_dir):
+    """From pairs to the submission: families of training and test pairs, patient trees out of fold, means for the test pairs."""
+    train, test = split_pairs(spark, sf_dir)
+    return predict_pairs(train, test, names=["basic", "double", "neighbor"], make=lambda: stacking.boosted_trees(rounds=24, depth=4, least=20, rate=0.1), patience=6)[1]
+
+
 def _stacked(spark, sf_dir) -> DataFrame:
     features, labels = _families(spark, sf_dir)
     return stacking.stack(features, labels, make=lambda: stacking.boosted_trees(rounds=60, depth=5, least=20, rate=0.1))[0]

@@ -424,3 +424,33 @@ def test_boosting_is_patient(spark):
     assert model.getNumTrees == best and model.evaluateEachIteration(held) == pytest.approx(losses[:best])
     scored, _ = stacking.stack(table.select("id", "x", "z"), table.select("id", "is_duplicate"), 2, make=lambda: stacking.boosted_trees(6, 2, 5, 0.3), patience=2)
     assert scored.count() == 300
+
+
+def test_tables_of_training_and_test_pairs(spark, monkeypatch):
+    """Equal ids in both tables stay apart; the graph holds both; the walks take the given probabilities as weights."""
+    r = random.Random(12)
+    words = ["a b", "b c", "c d", "d e", "e a", "f"]
+    rows = [(i, r.choice(words), r.choice(words), i % 2) for i in range(40)]
+    train = spark.createDataFrame(rows, "id long, question1 string, question2 string, is_duplicate int")
+    test = spark.createDataFrame([(i, r.choice(words), "new " + r.choice(words)) for i in range(15)], "id long, question1 string, question2 string")
+    seen = []
+    monkeypatch.setattr(training, "_walks", lambda edges: seen.append(edges) or spark.createDataFrame([], "node long, vec array<double>"))
+    scores = spark.createDataFrame([(i, 0.25 + i / 1000) for i in range(40)], "id long, prob double")
+    of_test = spark.createDataFrame([(i, 0.75) for i in range(15)], "id long, prob double")
+    own, tested = training.feature_tables(train, test, ["basic", "double", "neighbor", "n2v"], {"deberta": scores}, {"deberta": of_test})
+    assert own.count() == 40 and tested.count() == 15 and set(tested.columns) == set(own.columns) - {"is_duplicate"}
+    assert seen[0].where("u = v").count() == 0 and seen[0].agg(F.max("weight")).first()[0] == 0.75
+    degree = {}
+    for p in train.collect() + test.collect():
+        a, b = (" ".join(x.split()) for x in (p.question1, p.question2))
+        degree.setdefault(a, set()).add(b)
+        degree.setdefault(b, set()).add(a)
+    d = {n: len(s) + (n in s) for n, s in degree.items()}
+    near = {n: sum(d[x] for x in s) / d[n] for n, s in degree.items()}
+    got = {x.id: x for x in tested.collect()}
+    for p in test.collect():
+        assert got[p.id].neighbor_and_max == pytest.approx(max(near[p.question1], near[p.question2]))
+    assert {x.id: x.basic_dice for x in own.collect()} == {x.id: x.dice for x in clean.token_similarity(train).collect()}
+    scored, sent = training.predict_pairs(train, test, spark.range(20).select("id"), ["basic", "neighbor"], lambda: stacking.boosted_trees(4, 2, 2, 0.3), 2)
+    sent = {x.id: x.is_duplicate for x in sent.collect()}
+    assert len(sent) == 20 and all(sent[i] == 0 for i in range(15, 20)) and all(0 < sent[i] < 1 for i in range(15)) and scored.count() == 40
