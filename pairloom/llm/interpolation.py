@@ -30,7 +30,7 @@ from pairloom.plans.lineage import Scratch
 from pairloom.plans.ship import ship
 
 #: Tokens in a block and n-grams in a part, about.
-BLOCK, PART = 1 << 21, 1 << 21
+BLOCK, PART = 1 << 20, 1 << 21
 #: Rounds of expectation-maximisation at most, the change of a weight at which it ends, and the least weight.
 ROUNDS, CHANGE, LEAST = 30, 1e-3, 1e-6
 #: Buckets of a context's length: counts by powers of two.
