@@ -15,13 +15,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, Word2Vec
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -330,18 +331,17 @@ class Head:
 
 def fit_head(rows: DataFrame, width: int, epochs: int = 50, steps: int = 10, patience: int = 3, seed: int = 951, path: str | None = None, warm: bool = False) -> Head:
     """A head for rows (x, is_duplicate, held), trained where held is false. An epoch is `steps` steps of L-BFGS from the weights of the one before; the epoch with the least log loss
-    on the held rows is kept (and saved to `path`, if given), and training ends after `patience` epochs without a better one. `warm` goes on from what `path` holds."""
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "head")
+    on the held rows is kept (and saved with the scaling to `path`, if given), and training ends after `patience` epochs without a better one. `warm` goes on from what
+    `path` holds, under its scaling."""
+    scratch = Scratch(rows.sparkSession, "head")
     table = rows.select(array_to_vector("x").alias("x"), F.col("is_duplicate").cast("double").alias("label"), "held")
-    scaler = StandardScaler(inputCol="x", outputCol="features", withMean=True, withStd=True).fit(table.where("not held"))
+    scaler, best = PipelineModel.load(path).stages if warm else (StandardScaler(inputCol="x", outputCol="features", withMean=True, withStd=True).fit(table.where("not held")), None)
     table = scratch.keep(scaler.transform(table).select("features", "label", "held"))
     train, held = table.where("not held"), table.where("held")
     layers = [len(scaler.mean), width, 2]
     make = MultilayerPerceptronClassifier(layers=layers, maxIter=steps, seed=seed, tol=1e-9)
-    best, least, bad, done = None, math.inf, 0, 0
-    if warm:
-        best = MultilayerPerceptronClassificationModel.load(path)
+    least, bad, done = math.inf, 0, 0
+    if best is not None:
         least = _held_loss(best, held)
         make = make.setInitialWeights(best.weights)
     for _ in range(epochs):
@@ -351,13 +351,22 @@ def fit_head(rows: DataFrame, width: int, epochs: int = 50, steps: int = 10, pat
         if loss < least:
             best, least, bad = model, loss, 0
             if path is not None:
-                model.write().overwrite().save(path)
+                PipelineModel([scaler, model]).write().overwrite().save(path)
         else:
             bad += 1
             if bad >= patience:
                 break
         make = make.setInitialWeights(model.weights)
-    return Head(np.array(scaler.mean), np.array(scaler.std), layers, np.array((best or model).weights), least, done)
+    return _head(scaler, model if best is None else best, least, done)
+
+
+def _head(scaler: StandardScalerModel, model: MultilayerPerceptronClassificationModel, loss: float = math.inf, epochs: int = 0) -> Head:
+    return Head(np.array(scaler.mean), np.array(scaler.std), list(model.getLayers()), np.array(model.weights), loss, epochs)
+
+
+def load_head(path: str) -> Head:
+    """A head that `fit_head` saved."""
+    return _head(*PipelineModel.load(path).stages)
 
 
 def _held_loss(model: MultilayerPerceptronClassificationModel, held: DataFrame) -> float:
@@ -383,10 +392,10 @@ def apply_head(head: Head, rows: DataFrame) -> DataFrame:
     return rows.select("id", "x").mapInArrow(run, "id long, prob double, rep array<double>")
 
 
-def pair_features(pairs: DataFrame, encoder: str, k: int = 5, test: DataFrame | None = None, vectors: DataFrame | None = None, size: int = 32, width: int | None = None, epochs: int = 50, steps: int = 10, patience: int = 3, path: str | None = None, **options) -> tuple[DataFrame, DataFrame | None]:
+def pair_features(pairs: DataFrame, encoder: str, k: int = 5, test: DataFrame | None = None, vectors: DataFrame | None = None, size: int = 32, width: int | None = None, epochs: int = 50, steps: int = 10, patience: int = 3, path: str | None = None, warm: Collection[int] = (), done: Collection[int] = (), **options) -> tuple[DataFrame, DataFrame | None]:
     """id, prob, feature_0, ... of each pair by heads fitted on the other folds, and for test pairs the means over the folds' heads.
 
-    With `path`, fold i's head is saved to path/i. Without `vectors` skip-gram vectors are fitted on the pairs' and test pairs' texts, which needs no label."""
+    With `path`, fold i's head is saved to path/i; folds in `warm` go on from there, those in `done` are taken as they are there (with the vectors that they were fitted on). Without `vectors` skip-gram vectors are fitted on the pairs' and test pairs' texts, which needs no label."""
     scratch = Scratch(pairs.sparkSession, "encoded")
     texts = ["id", "question1", "question2"]
     if vectors is None:
@@ -399,7 +408,8 @@ def pair_features(pairs: DataFrame, encoder: str, k: int = 5, test: DataFrame |
     wide = lambda df: df.select("id", "prob", *(F.get("rep", F.lit(i)).alias(f"feature_{i}") for i in range(width)))
 
     def fitted(fold: int) -> Head:
-        return fit_head(rows.withColumn("held", F.col("fold") == fold), width, epochs, steps, patience, path=None if path is None else f"{path}/{fold}")
+        own = None if path is None else f"{path}/{fold}"
+        return load_head(own) if fold in done else fit_head(rows.withColumn("held", F.col("fold") == fold), width, epochs, steps, patience, path=own, warm=fold in warm)
 
     heads = abreast(pairs.sparkSession, fitted, range(k))
     made = functools.reduce(DataFrame.union, (apply_head(head, rows.where(F.col("fold") == fold)) for fold, head in enumerate(heads)))

@@ -56,7 +56,8 @@ TEXT: dict[str, Callable[[DataFrame, DataFrame | None], Tables]] = {
     "lda": lambda pairs, test: stacking.out_of_fold(pairs, topics.topic_model, topics.topic_pairs, test=test),
 }
 #: Families of trained heads over attention between the texts; made where they are named.
-NEURAL: dict[str, Callable[[DataFrame, DataFrame | None], Tables]] = {"sbert": _neural("pooled"), "deberta": _neural("joint"), "esim": _neural("aligned"), "diin": _neural("interaction"), "transformer": _neural("channels"), "bimpm": _neural("matching")}
+ENCODER_OF = {"sbert": "pooled", "deberta": "joint", "esim": "aligned", "diin": "interaction", "transformer": "channels", "bimpm": "matching"}
+NEURAL: dict[str, Callable[[DataFrame, DataFrame | None], Tables]] = {name: _neural(encoder) for name, encoder in ENCODER_OF.items()}
 #: Families made from the graph of which text is asked with which.
 GRAPH: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "graph": lambda pairs, edges: graph.graph_features(pairs, edges, iterative.pagerank(edges)),

@@ -11,12 +11,12 @@ TEST = "test_id string, question1 string, question2 string"
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_pairs(spark: SparkSession, path: str, schema: str = TRAIN) -> DataFrame:
-    """A CSV of pairs with quoted, multi-line texts and doubled quotes; missing-value strings become null, ids become long."""
+def read_pairs(spark: SparkSession, path: str, schema: str = TRAIN, texts: tuple[str, ...] = ("question1", "question2")) -> DataFrame:
+    """A CSV of pairs with quoted, multi-line texts and doubled quotes; missing-value strings become null in the named columns, ids become long."""
     rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
     key = rows.columns[0]
-    texts = {c: F.when(F.col(c).isin(MISSING), None).otherwise(F.col(c)) for c in ("question1", "question2")}
-    return rows.withColumns(texts).withColumn(key, F.expr(f"coalesce(try_cast({key} as long), try_cast(try_cast({key} as decimal(38, 6)) as long))"))
+    cleaned = {c: F.when(F.col(c).isin(MISSING), None).otherwise(F.col(c)) for c in texts}
+    return rows.withColumns(cleaned).withColumn(key, F.expr(f"coalesce(try_cast({key} as long), try_cast(try_cast({key} as decimal(38, 6)) as long))"))
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -145,7 +145,8 @@ def test_heads_are_those_of_mllib(spark, tmp_path):
     path = str(tmp_path / "head")
     head = encoders.fit_head(table, 6, epochs=12, steps=10, path=path)
     got = {r.id: r for r in encoders.apply_head(head, table).collect()}
-    model = MultilayerPerceptronClassificationModel.load(path)
+    model = PipelineModel.load(path).stages[1]
+    assert (encoders.load_head(path).weights == head.weights).all()
     scaled = F.transform("x", lambda v, i: (v - F.element_at(F.array(*map(F.lit, head.mean.tolist())), i + 1)) / F.element_at(F.array(*map(F.lit, head.scale.tolist())), i + 1))
     for r in model.transform(table.select("id", array_to_vector(scaled).alias("features"))).select("id", vector_to_array("probability")[1].alias("p")).collect():
         assert abs(got[r.id].prob - r.p) < 1e-9
@@ -154,7 +155,7 @@ def test_heads_are_those_of_mllib(spark, tmp_path):
     assert further.loss <= head.loss + 1e-9
 
 
-def test_features_out_of_fold_tell_copies_from_others(spark):
+def test_features_out_of_fold_tell_copies_from_others(spark, tmp_path):
     """Copies with other words in between against unrelated texts; the vectors are fitted, the labels of a fold are not seen by its head."""
     r = random.Random(7)
     topics = [["red", "blue", "green"], ["cat", "dog", "cow"], ["one", "two", "three"]]
@@ -165,8 +166,12 @@ def test_features_out_of_fold_tell_copies_from_others(spark):
         u = t if same else r.choice([x for x in topics if x is not t])
         rows.append((i, " ".join(r.choices(t, k=5)), " ".join(r.choices(u, k=5)), same))
     pairs = spark.createDataFrame(rows, PAIRS)
-    made, tested = encoders.pair_features(pairs, "pooled", k=2, test=pairs.where("id < 10").drop("is_duplicate"), size=4, width=5, epochs=3, steps=15)
+    made, tested = encoders.pair_features(pairs, "pooled", k=2, test=pairs.where("id < 10").drop("is_duplicate"), size=4, width=5, epochs=3, steps=15, path=str(tmp_path))
     got = {x.id: x.prob for x in made.collect()}
     assert sorted(got) == list(range(150)) and made.columns == ["id", "prob", *(f"feature_{i}" for i in range(5))]
     assert sum((got[i] > 0.5) == bool(i % 2) for i in got) > 135
     assert tested.count() == 10 and tested.columns == made.columns
+    vectors = spark.createDataFrame([("red", [1.0, 0.0, 0.0, 0.0])], "token string, vec array<double>")
+    for again in ({"done": (0, 1)}, {"done": (0,), "warm": (1,)}):
+        other, _ = encoders.pair_features(pairs, "pooled", k=2, vectors=vectors, size=4, width=5, epochs=1, steps=2, path=str(tmp_path), **again)
+        assert other.count() == 150
