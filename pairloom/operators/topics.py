@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import threading
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +17,7 @@ from pairloom.functions.text import tokens, word_tokens
 from pairloom.functions.vectors import topic_pair
 from pairloom.operators.tfidf import fit, weights
 from pairloom.plans.lineage import Scratch
-
-#: MLlib's singular values go through code in the driver's JVM that keeps its state in one place: one at a time.
-_ONE_SVD = threading.Lock()
+from pairloom.plans.ship import ship
 
 
 def _side(pairs: DataFrame, column: str) -> DataFrame:
@@ -56,21 +53,89 @@ def _terms(pairs: DataFrame) -> DataFrame:
     return _common(pairs).select("id", F.lit(1).alias("side"), F.explode("words").alias("term"), F.lit(1).alias("tf"))
 
 
+def _summed(width: int):
+    """Rows (idx, vec) to their sums by idx; a task holds its own share of the indices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            vecs = batch.column(1).flatten().to_numpy().reshape(-1, width)
+            for i, v in zip(batch.column(0).to_pylist(), vecs):
+                if i in sums:
+                    sums[i] += v
+                else:
+                    sums[i] = v.copy()
+        if sums:
+            yield _rows(np.fromiter(sums, np.int32, len(sums)), np.array(list(sums.values())))
+
+    return run
+
+
+def _rows(idx: np.ndarray, vecs: np.ndarray) -> pa.RecordBatch:
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * vecs.shape[1]), pa.array(vecs.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(idx, pa.int32()), flat], names=["idx", "vec"])
+
+
+def _add_rows(out: np.ndarray, idx: np.ndarray, values: np.ndarray) -> None:
+    """Adds each row of values to the row of out that idx names."""
+    if len(idx):
+        order = np.argsort(idx, kind="stable")
+        own, first = np.unique(idx[order], return_index=True)
+        out[own] += np.add.reduceat(values[order], first)
+
+
+def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """A'A times a basis, for sparse rows (idx array<int>, w array<double>) of A: one pass over the rows. Tasks hold a table as large as the basis."""
+    sent = rows.sparkSession.sparkContext.broadcast(basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = sent.value
+        out = np.zeros_like(b)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                idx, w = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+                row = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy())
+                product = np.zeros((batch.num_rows, b.shape[1]))
+                _add_rows(product, row, w[:, None] * b[idx])
+                _add_rows(out, idx, w[:, None] * product[row])
+        held = np.flatnonzero(out.any(1))
+        if len(held):
+            yield _rows(held, out[held])
+
+    schema = "idx int, vec array<double>"
+    sums = rows.mapInArrow(run, schema).repartition("idx").mapInArrow(_summed(basis.shape[1]), schema)
+    out = np.zeros_like(basis)
+    for r in sums.collect():
+        out[r["idx"]] = r["vec"]
+    return out
+
+
+def right_singular_vectors(rows: DataFrame, n: int, k: int, rounds: int = 5, spare: int = 10, seed: int = 951) -> np.ndarray:
+    """The first k right singular vectors (columns) of sparse rows over n places, by randomised subspace iteration (Halko, Martinsson and Tropp, 2011): rounds + 2 passes over the rows.
+
+    The driver and each task hold n times (k + spare) numbers, so n has to be bounded."""
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, k + spare))))[0]
+    for _ in range(rounds + 1):
+        basis = np.linalg.qr(_gram_times(rows, basis))[0]
+    values, vectors = np.linalg.eigh(basis.T @ _gram_times(rows, basis))
+    return basis @ vectors[:, np.argsort(-values)[:k]]
+
+
 def latent_model(pairs: DataFrame, k: int = 64, min_df: int = 3, max_df: float = 0.95, size: int = 120_000) -> DataFrame:
     """term, idf, v: the vocabulary of the pairs' common words and its loadings on the first k right singular vectors of the TF-IDF rows, largest loading positive.
 
-    The rows are vectors that the JVM makes, written once, as many products read them; `size` terms at most come to the driver, with k loadings each."""
+    `size` terms at most come to the driver, with k loadings each."""
+    session = pairs.sparkSession
     vocab = fit(_terms(pairs), pairs.count(), min_df, max_df, size).select("term", "idf").orderBy("term").collect()
     if not vocab:
-        return pairs.sparkSession.createDataFrame([], "term string, idf double, v array<double>")
-    counts = CountVectorizerModel.from_vocabulary([r.term for r in vocab], inputCol="words", outputCol="counts")
-    stages = [counts, ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="x")]
-    rows = Scratch(pairs.sparkSession, "latent").keep(PipelineModel(stages).transform(_common(pairs)).select("x"))
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "x"))
-    with _ONE_SVD:
-        v = matrix.computeSVD(min(k, len(vocab)), computeU=False).V.toArray()
+        return session.createDataFrame([], "term string, idf double, v array<double>")
+    numbers = session.createDataFrame([(r.term, r.idf, i) for i, r in enumerate(vocab)], "term string, idf double, idx int")
+    weighed = weights(_terms(pairs), numbers, ["term"], sublinear=True).join(numbers.select("term", "idx"), "term")
+    rows = Scratch(session, "latent").keep(ship(weighed.groupBy("id").agg(F.collect_list(F.struct("idx", "w")).alias("x")).select(F.col("x.idx").alias("idx"), F.col("x.w").alias("w"))))
+    v = right_singular_vectors(rows, len(vocab), min(k, len(vocab)))
     v = v * [1.0 if c[abs(c).argmax()] >= 0 else -1.0 for c in v.T]
-    return pairs.sparkSession.createDataFrame([(r.term, r.idf, x.tolist()) for r, x in zip(vocab, v)], "term string, idf double, v array<double>")
+    return session.createDataFrame([(r.term, r.idf, x.tolist()) for r, x in zip(vocab, v)], "term string, idf double, v array<double>")
 
 
 def latent_rows(model: DataFrame, pairs: DataFrame, k: int = 64) -> DataFrame:

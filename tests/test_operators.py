@@ -326,6 +326,18 @@ def test_latent_vectors_against_numpy(spark):
     assert got[99] == [0.0] * 3 and np.abs(np.array([got[i] for i in range(40)]) - x @ v).max() < 1e-6
 
 
+def test_singular_vectors_of_sparse_rows(spark):
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    a = (g.normal(size=(300, 40)) * 0.8 ** np.arange(40)) * (g.random((300, 40)) < 0.4)
+    rows = spark.createDataFrame([([int(i) for i in np.flatnonzero(x)], [float(v) for v in x[np.flatnonzero(x)]]) for x in a], "idx array<int>, w array<double>")
+    got = topics.right_singular_vectors(rows.repartition(5), 40, 6)
+    want = np.linalg.svd(a, full_matrices=False)[2][:6].T
+    assert got.shape == (40, 6) and np.allclose(abs((got * want).sum(0)), 1, atol=1e-4)
+    assert np.allclose(got.T @ got, np.eye(6), atol=1e-9)
+
+
 def test_stacker_stops_by_the_held_out_fold(spark):
     r = random.Random(3)
     rows = [(i, x := r.random(), int(x + r.gauss(0, 0.2) > 0.5)) for i in range(200)]
