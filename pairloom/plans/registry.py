@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions import vectors
+from pairloom.functions import session, vectors
 from pairloom.functions.pairs import look_up
 from pairloom.operators import clean, encoders, fuzzy, graph, iterative, stacking, tfidf, topics, vocabulary, walks
 from pairloom.plans.fixtures import GRAPH_SQL, SPLIT_SQL, TEXT_GRAPH_SQL, TEXT_SQL, VECTOR_SQL, graph_pairs, label_rows, split_pairs, text_pairs, vector_pairs, weighted_graph_pairs
@@ -88,6 +88,18 @@ def common_diff_words(spark, sf_dir):
     return clean.word_differences(text_pairs(spark, sf_dir))
 
 
+@_query(
+    f"with {TEXT_SQL}, t as ({_AB}), s as (select id, len(list_intersect(a, b)) as i, len(a) as na, len(b) as nb from t) select s.id, md5({_NORM.format('question1')}) as hash, " + _r("1 - i / (na + nb - i + 1e-9) as distance", "2 * i / (na + nb + 1e-9) as dice", "i / (na + 1e-9) as share")
+    + " from s join text_pairs on text_pairs.id = s.id"
+)
+def sql_text_functions(spark, sf_dir):
+    """The text functions as SQL knows them."""
+    session.register(spark)
+    shared = "cast(size(array_intersect(text_tokens(question1), text_tokens(question2))) as double)"
+    whole = "cast(size(array_distinct(text_tokens(question1))) as double)"
+    return spark.sql(f"select id, text_hash(question1) as hash, pair_jaccard_distance(question1, question2) as distance, pair_dice(question1, question2) as dice, safe_ratio({shared}, {whole}) as share from {{t}}", t=text_pairs(spark, sf_dir))
+
+
 @_query()
 def fuzzy_ratios(spark, sf_dir):
     return fuzzy.fuzzy_ratios(text_pairs(spark, sf_dir))
@@ -451,6 +463,19 @@ def mixture_pair_features(spark, sf_dir):
     return rows.select("id", vectors.entropy(p).alias("entropy_u"), vectors.entropy(q).alias("entropy_v"), vectors.jensen_shannon(p, q).alias("jsd"), vectors.total(vectors.difference(p, q)).alias("l1"), (vectors.argmax(p) == vectors.argmax(q)).cast("long").alias("argmax_equal"))
 
 
+@_query(
+    f"""with {VECTOR_SQL}, s as (select id, a, b, {_SOFT.format('a')} as p, {_SOFT.format('b')} as q from vector_pairs)
+    select id, {_r(f'{_DOT} as dot', f'{_DOT} / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-12) as cos', 'list_distance(a, b) as l2', f'list_sum({_DIFF}) as l1', f'-list_sum(list_transform(p, lambda x: {_CLIP.format("x")} * ln({_CLIP.format("x")}))) as entropy')},
+    {_r(f'list_sum(list_transform(list_zip(p, q), lambda x: ({_P} * ln({_P} / (({_P} + {_Q}) / 2)) + {_Q} * ln({_Q} / (({_P} + {_Q}) / 2))) / 2)) as jsd', f'1 / (1 + exp(-{_DOT})) as prob')}, cast(list_position(a, list_max(a)) - 1 as bigint) as top from s"""
+)
+def sql_vector_functions(spark, sf_dir):
+    """The vector functions as SQL knows them; mixtures are the embeddings' softmax."""
+    session.register(spark)
+    soft = "transform({0}, x -> exp(x) / aggregate(transform({0}, z -> exp(z)), 0D, (s, y) -> s + y))"
+    columns = f"vec_dot(a, b) as dot, vec_cosine(a, b) as cos, vec_l2(a, b) as l2, vec_l1(a, b) as l1, vec_entropy({soft.format('a')}) as entropy, vec_jsd({soft.format('a')}, {soft.format('b')}) as jsd, sigmoid(vec_dot(a, b)) as prob, vec_argmax(a) as top"
+    return spark.sql(f"select id, {columns} from {{t}}", t=vector_pairs(spark, sf_dir))
+
+
 @_query(f"with {VECTOR_SQL} select id, {_r(f'list_sum(a) + list_sum(b) + list_sum({_DIFF}) + list_sum({_HAD}) + {_DOT} / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) + 1e-12) as total', f'1 / (1 + exp(-{_DOT})) as prob')}, cast(4 * len(a) + 1 as bigint) as width from vector_pairs")
 def neural_combination(spark, sf_dir):
     rows = vector_pairs(spark, sf_dir).select("id", vectors.combination(F.col("a"), F.col("b")).alias("x"), vectors.sigmoid(vectors.dot(F.col("a"), F.col("b"))).alias("prob"))

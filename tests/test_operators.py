@@ -7,7 +7,7 @@ from pairloom.functions import text, vectors
 from pairloom.operators import clean, fuzzy, graph, iterative, stacking, tfidf, topics, vocabulary, walks
 from pairloom.operators.components import connected_components
 from pairloom.operators.numbering import numbered
-from pairloom.plans import job, training
+from pairloom.plans import job, training, views
 from pairloom.sources import tables
 from pairloom.streaming import rowlocal
 
@@ -466,3 +466,22 @@ def test_tables_of_training_and_test_pairs(spark, monkeypatch):
     scored, sent = training.predict_pairs(train, test, spark.range(20).select("id"), ["basic", "neighbor"], lambda: stacking.boosted_trees(4, 2, 2, 0.3), 2)
     sent = {x.id: x.is_duplicate for x in sent.collect()}
     assert len(sent) == 20 and all(sent[i] == 0 for i in range(15, 20)) and all(0 < sent[i] < 1 for i in range(15)) and scored.count() == 40
+
+
+def test_functions_and_views_in_sql(spark):
+    """SQL's functions are the DataFrame functions, nulls and accents included, and run no Python."""
+    names = views.create(spark, "/root/testdata/sf0.001", ["degree"])
+    assert "degree" in names and spark.sql("select count(*) from degree join graph_pairs on node = u").first()[0] > 0
+    pairs = spark.createDataFrame([(1, " Caf\u00e9\u00a0 x a1", "x A1 b"), (2, None, "x"), (3, "", None)], "id long, question1 string, question2 string")
+    made = spark.sql("select id, normalize_text(question1) n, text_hash(question1) h, pair_jaccard_distance(question1, question2) j, pair_dice(question1, question2) d, common_words(question1, question2) c, diff_words(question1, question2) w from {p}", p=pairs)
+    assert "Python" not in made._jdf.queryExecution().toString() and "Arrow" not in made._jdf.queryExecution().toString()
+    like = {r.id: r for r in clean.token_similarity(pairs).join(clean.word_differences(pairs), "id").join(clean.hash_pairs(pairs), "id").collect()}
+    for r in made.collect():
+        q = like[r.id]
+        assert (r.h, r.j, r.d, r.c, r.w) == (q.h1, q.jaccard_distance, q.dice, q.common_words, q.diff_words)
+    rows = spark.createDataFrame([([0.2, 0.8], [0.5, 0.5]), ([0.0, 1.0], [1.0, 0.0])], "a array<double>, b array<double>")
+    a, b = F.col("a"), F.col("b")
+    want = rows.select(vectors.cosine(a, b), vectors.jensen_shannon(a, b), vectors.entropy(a), vectors.argmax(a).cast("long"), vectors.norm(a)).collect()
+    got = spark.sql("select vec_cosine(a, b), vec_jsd(a, b), vec_entropy(a), vec_argmax(a), vec_norm(a) from {r}", r=rows).collect()
+    assert all(tuple(x) == pytest.approx(tuple(y)) for x, y in zip(got, want))
+    assert spark.sql("select logit_loss(800D, 0D), logit_loss(0D, 1D)").first()[0] == 800.0
