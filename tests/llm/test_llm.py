@@ -630,7 +630,7 @@ def test_queries_with_sql(spark):
     from pairloom.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         mine, other = queries.queries()[name](spark, SF).toPandas(), con.sql(sql).df()
