@@ -84,10 +84,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_nearest, op3_packing, op4_pseudonyms, op5_licenses, op6_warc, op7_chat, op8_sentencepiece, op9_jaccard_join, op10_quality, op11_lm_scores, op12_hard_negatives, op13_prefix_trie)}
 
 
-#: Conversations, their trie and pages have results that SQL can express; the other operators are tested against brute force.
+_PHRASES = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for label, phrase in licenses.PHRASES.items())
+_TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(licenses.TEMPLATES))
+
+#: Pages, conversations, their trie, links between documents, license labels and hard negatives have results that SQL can express; the other operators are tested against brute force.
+#: Links in SQL: texts meet by the rarest shingles that two sets of such similarity must share one of, and are compared whole.
+#: Licenses in SQL: of all passages of a template's width that open with a word of it, those that hold enough of its words.
 #: The trie in SQL: each node's sequence is a list, and it adds to all its prefixes; crc32 is folded bit by bit over the digits.
 #: Windows in SQL: what a window would repeat if it opened at a turn hangs on prefix sums alone; whether it opens there is a recursion over turns.
 SQL = {
+    "op5_licenses": rf"""
+        with said as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+        phrases(label, phrase) as (values {_PHRASES}),
+        templates(t, label, wording) as (values {_TEMPLATES}),
+        sized as (select *, len(list_distinct(wording)) as n, cast(ceil(1.5 * len(wording)) as bigint) as width, cast(ceil(0.9 * len(list_distinct(wording)) - 1e-9) as bigint) as need from templates),
+        own as (select t, unnest(list_distinct(wording)) as word from templates),
+        w as (select r, unnest(words) as word, unnest(range(len(words))) as i from said),
+        bases as (select s.r, p.label, unnest(list_filter(range(len(s.words)), lambda i: s.words[i + 1 : i + len(p.phrase)] = p.phrase)) as i from said s, phrases p where list_contains(s.words, p.phrase[-1])),
+        b as (select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from bases group by r),
+        hits as (select w.r, own.t, w.i, w.word from w join own using (word)),
+        able as (select h.r, h.t from hits h join sized using (t) group by h.r, h.t having count(distinct h.word) >= any_value(need)),
+        few as (select h.* from hits h join able using (r, t)),
+        around as (select a.r, a.t, a.i, count(distinct z.word) as held, list(z.word order by z.i) as said from few a join sized s using (t) join few z on z.r = a.r and z.t = a.t and z.i >= a.i and z.i < a.i + s.width group by a.r, a.t, a.i),
+        found as (select a.r, s.label, a.held / s.n as share from around a join sized s using (t) where a.held >= s.need and (len(s.wording) > {licenses.SHORT}
+            or len(s.wording) = list_reduce(list_concat([0], list_transform(a.said, lambda x: 0)), lambda k, x, p: case when s.wording[k + 1] = a.said[p - 1] then k + 1 else k end))),
+        every as (select r, label, share from found union all select r, label, 0 from bases),
+        l as (select r, string_agg(distinct label, ',' order by label) as labels, max(share) as score from every group by r)
+        select s.doc_id, cast(len(s.words) as bigint) as n_words, coalesce(b.n_base, 0) as n_base, b.first_word, b.last_word, coalesce(b.base_labels, '') as base_labels, coalesce(l.labels, '') as labels, cast(coalesce(l.score, 0) as double) as score
+        from said s left join b on b.r = s.r left join l on l.r = s.r""",
+    "op9_jaccard_join": r"""
+        with recursive said as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+        sets as (select doc_id, list_sort(list_distinct(case when len(words) = 0 then cast([] as varchar[]) when len(words) < 3 then [array_to_string(words, ' ')]
+            else list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) end)) as shingles from said),
+        classes as (select min(doc_id) as first, shingles, len(shingles) as n from sets where len(shingles) > 0 group by shingles),
+        held as (select first, n, unnest(shingles) as shingle from classes),
+        known as (select shingle, count(*) as df from held group by shingle),
+        placed as (select h.first, h.n, h.shingle, row_number() over (partition by h.first order by k.df, h.shingle) as place from held h join known k using (shingle)),
+        heads as (select first, n, shingle from placed where place <= n - (90 * n + 99) // 100 + 1),
+        met as (select distinct a.first as a, b.first as b from heads a join heads b on a.shingle = b.shingle and a.first < b.first and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+        shared as (select m.a, m.b, x.n + y.n as total, len(list_intersect(x.shingles, y.shingles)) as hits from met m join classes x on x.first = m.a join classes y on y.first = m.b),
+        links as (select a, b from shared where 100 * hits >= 90 * (total - hits)),
+        ways as (select a, b from links union all select b, a from links),
+        reach(a, b) as (select first, first from classes union select r.a, w.b from reach r join ways w on w.a = r.b),
+        found as (select a as first, min(b) as component_id from reach group by a)
+        select s.doc_id, cast(len(s.shingles) as bigint) as n_shingles, coalesce(f.component_id, s.doc_id) as component_id
+        from sets s left join classes c on c.shingles = s.shingles left join found f on f.first = c.first""",
     "op7_chat": """
         with recursive said as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
             union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
