@@ -633,11 +633,32 @@ def test_queries_with_sql(spark):
     for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
-        mine, other = queries.queries()[name](spark, SF).toPandas(), con.sql(sql).df()
-        columns = sorted(mine.columns)
-        assert columns == sorted(other.columns), name
-        a, b = (sorted(map(repr, x[columns].astype(object).where(x[columns].notna(), None).itertuples(index=False, name=None))) for x in (mine, other))
-        assert [x.replace(".0,", ",") for x in a] == [x.replace(".0,", ",") for x in b], name
+        same_rows(queries.queries()[name](spark, SF).toPandas(), con.sql(sql).df(), name)
+
+
+def same_rows(mine, other, name):
+    columns = sorted(mine.columns)
+    assert columns == sorted(other.columns), name
+    a, b = (sorted(map(repr, x[columns].astype(object).where(x[columns].notna(), None).itertuples(index=False, name=None))) for x in (mine, other))
+    assert [x.replace(".0,", ",") for x in a] == [x.replace(".0,", ",") for x in b], name
+
+
+def test_links_and_licenses_with_sql_on_odd_texts(spark, tmp_path):
+    """Null, empty, short and very long texts, wrapped and shouted notices, words put in, other white space, near copies on both sides of the limit."""
+    import duckdb
+
+    from pairloom.llm import queries
+
+    grant = licenses.TEMPLATES[1][1].split(" ")
+    line = [f"w{i}" for i in range(200)]
+    odd_texts = [None, "", " \t\n", "one", "One", "one two", "ONE\ttwo", "one\u00a0two", "one two three", "a a a a a", "word " * 20000, "MIT License, mit\nlicense", "All rights. Reserved!", "rights all reserved", "all the rights reserved"]
+    odd_texts += ["\n".join(grant).upper(), " ".join(grant[2:]), " ".join(grant[5:]), " ".join(w + " so" * (i % 3 == 0) for i, w in enumerate(grant)), " ".join(w + " so very" for w in grant)]
+    odd_texts += [" ".join(line), " ".join(line), " ".join(line[:-5]), " ".join(line[10:]), " ".join(line[25:]), " ".join([*line[:-40], *map(str.upper, line[-40:])]), " ".join(["É", *line[1:]])]
+    spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op5_licenses", "op9_jaccard_join"):
+        same_rows(queries.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(queries.oracle_sql()[name]).df(), name)
 
 
 def test_pieces(spark, texts, odd, tmp_path):
