@@ -9,7 +9,8 @@ Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of k-
    1 + drop shared digests. Every class leaves out its `drop` most held digests (of those in its scheme; common
    passages, that is), in one order for all, so the least held digest that a pair shares is kept by both.
    Classes that still share a digest meet with their count vectors (equal meetings once): those whose bound reaches
-   the overlap needed are tied; over a heavy digest all are. Ties make candidate groups (connected components).
+   the overlap needed are tied. The holders of a heavy digest are dealt into blocks first, and every two blocks meet, so
+   no unit is larger than two blocks. Ties make candidate groups (connected components).
    Digests that hold more than a quarter of a partition are found in a sample of the classes first; there are at most four a
    partition. They are summed where they lie and what they sum to is broadcast, so no task gets all holders of a digest.
 3. Each candidate group is one unit of work: group counts of the shingles are points in an R-tree; a node or point is
@@ -44,11 +45,12 @@ DIMS, FINE, FANOUT = 64, 1024, 16
 #: Bounds that are computed at once; points of a leaf where whole meetings are compared; ones that a point may take in a product.
 CHUNK, LEAF, ONES = 16_384, 128, 6_144
 #: Coordinates of the points that meet at a digest, by the most shingles of a set. A longer point folds into a shorter one.
-POINTS = {192: 64, 400: 128, 1 << 62: 256}
-SHORT_POINT, MIDDLE_POINT = 64, 128
+POINTS = {192: 64, 400: 128, 1600: 256, 5000: 512, 1 << 62: 2048}
+#: Coordinates in which whole meetings are compared first.
+FIRST_POINT = 256
 #: A scheme's slack is the most that may differ by this, and 1.
 SLACK = 3
-#: Over a digest that more classes hold, all are tied.
+#: A digest that more classes hold has its holders dealt into blocks of so many, which meet two by two.
 HEAVY = 4096
 #: A unit of work: members, and shingles in all their sets.
 UNIT_MEMBERS, UNIT_SHINGLES = 4096, 6_000_000
@@ -219,14 +221,23 @@ def _bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum(b, row).sum(1, dtype=np.int32) for row in a]) if len(a) else np.zeros((0, len(b)), np.int32)
 
 
+def _reaches(counts: np.ndarray, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether the summed coordinate minima of rows a and b reach the overlap needed, pair by pair."""
+    step = max(1, CHUNK * 64 // counts.shape[1])
+    parts = [np.minimum(counts[a[i : i + step]], counts[b[i : i + step]]).sum(1) >= need[i : i + step] for i in range(0, len(a), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 def tie_unit(ids: np.ndarray, n: np.ndarray, points: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Edges that connect what the pairs whose bound reaches the overlap needed connect.
 
     The tree's leaves meet: two of them are left out by their maxima and sizes, or where all their points are connected already. Leaves nearest the
     middle come first, as what is alike is mostly there."""
-    counts, n = counts_of(points, min(len(p) for p in points) - 4), n.astype(np.int64)
+    dims = min(len(p) for p in points) - 4
+    counts, n = counts_of(points, min(dims, FIRST_POINT)), n.astype(np.int64)
     order = np.lexsort((counts[:, 2], counts[:, 1], counts[:, 0], n))
     ids, n, counts = ids[order], n[order], counts[order]
+    fine = counts_of(points, dims)[order] if dims > FIRST_POINT else None
     starts = np.arange(0, len(ids), LEAF)
     leaves = [slice(i, i + LEAF) for i in starts]
     high, low, top = np.maximum.reduceat(counts, starts), np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
@@ -241,8 +252,12 @@ def tie_unit(ids: np.ndarray, n: np.ndarray, points: list[bytes], percent: int)
                     continue
                 own, other = n[x][:, None], n[y][None, :]
                 reached = (_bounds(counts[x], counts[y]) >= needed(own, other, percent)) & (100 * np.minimum(own, other) >= percent * np.maximum(own, other))
-                for u, v in zip(*np.nonzero(reached & (group[x][:, None] != group[y][None, :]))):
-                    u, v = u + starts[i], v + starts[j]
+                u, v = np.nonzero(reached & (group[x][:, None] != group[y][None, :]))
+                u, v = u + starts[i], v + starts[j]
+                if fine is not None:
+                    closer = _reaches(fine, u, v, needed(n[u], n[v], percent))
+                    u, v = u[closer], v[closer]
+                for u, v in zip(u, v):
                     if group[u] != group[v]:
                         edges.append((int(ids[u]), int(ids[v])))
                         group[group == group[v]] = group[u]
@@ -253,8 +268,13 @@ def small_ties(starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, n: np.ndar
     """As tie_unit for many small groups at once (a leaf of the tree each): edges that connect what their pairs connect."""
     if not len(starts):
         return []
-    counts, long_ = counts_of(points, SHORT_POINT), np.fromiter(map(len, points), np.int64, len(points)) > SHORT_POINT + 4
-    fine = counts_of(points, MIDDLE_POINT) if long_.any() else None
+    length = np.fromiter(map(len, points), np.int64, len(points)) - 4
+    tables = []
+    for dims in POINTS.values():
+        own = np.flatnonzero(length >= dims)
+        place = np.full(len(points), -1)
+        place[own] = np.arange(len(own))
+        tables.append((place, counts_of([points[i] for i in own], dims)))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -271,12 +291,10 @@ def small_ties(starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, n: np.ndar
         for at in range(0, len(likely), CHUNK):
             x, y = a[likely[at : at + CHUNK]], b[likely[at : at + CHUNK]]
             need = needed(n[x], n[y], percent)
-            sure = np.minimum(counts[x], counts[y]).sum(1) >= need
-            x, y, need = x[sure], y[sure], need[sure]
-            if fine is not None:
-                both = np.flatnonzero(long_[x] & long_[y])
-                short = both[np.minimum(fine[x[both]], fine[y[both]]).sum(1) < need[both]]
-                x, y = np.delete(x, short), np.delete(y, short)
+            for place, counts in tables:
+                both = np.flatnonzero((place[x] >= 0) & (place[y] >= 0))
+                short = both[~_reaches(counts, place[x[both]], place[y[both]], need[both])]
+                x, y, need = np.delete(x, short), np.delete(y, short), np.delete(need, short)
             for u, v in zip(ids[x].tolist(), ids[y].tolist()):
                 if (p := root(u)) != (q := root(v)):
                     parent[p] = q
@@ -364,6 +382,15 @@ def _hot_keys(offered: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(counted.where(F.col("count") > max(1.0, share)).select("key").limit(4 * partitions))
 
 
+def _in_blocks(shared: DataFrame, heavy: int) -> DataFrame:
+    """Meetings (node, held, head, mark) of at most about two times `heavy` classes: a larger one's holders are dealt into blocks, and each block meets every
+    other one under a mark of the two, so every two holders meet."""
+    many = shared.where(F.col("held") > heavy).withColumn("_blocks", F.ceil(F.col("held") / heavy).cast("int"))
+    dealt = many.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)"))).where("_own <> _other")
+    parted = dealt.withColumn("mark", F.xxhash64("mark", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    return shared.where(F.col("held") <= heavy).unionByName(parted.select(*shared.columns))
+
+
 def _classified(docs: DataFrame, k: int, percent: int, heavy: int, unit_members: int, unit_shingles: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k1, k2, n, f1, f2, row of every row; n, f1, f2, class_id, node, comp of every class)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -389,9 +416,9 @@ def _classified(docs: DataFrame, k: int, percent: int, heavy: int, unit_members:
     meeting = ["held", "head", "mark"]
     points = scratch.keep(firsts.select("node", "n", "point").join(shared.select("node").distinct(), "node", "left_semi"))
     scratch.drop(wide)
-    meetings = shared.where(F.col("held") <= heavy).join(points, "node")
+    meetings = _in_blocks(shared, heavy).join(points, "node")
     near = meetings.select(*meeting, "node", "n", "point").repartition(*meeting).sortWithinPartitions(*meeting).mapInArrow(_tie(percent), "a long, b long")
-    ties = scratch.keep(near.union(shared.where(F.col("held") > heavy).select("node", "head")))
+    ties = scratch.keep(near)
     for table in (shared, points):
         scratch.drop(table)
     candidates = scratch.keep(connected_components(ties, "a", "b").select("node", F.col("component").alias("comp")))

@@ -732,6 +732,31 @@ def test_jaccard_join(spark, texts, k, percent, limits):
     assert got == brute_components(all_texts, k, percent)
 
 
+def test_holders_of_a_heavy_digest_meet_in_blocks(spark):
+    """Every two holders meet, in units of bounded size, and what is alike only in the digest stays apart."""
+    shared = spark.range(90).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("head"), F.lit(90).cast("long").alias("held"), F.lit(5).cast("long").alias("mark"))
+    units = defaultdict(list)
+    for r in jaccard_join._in_blocks(shared, 16).collect():
+        units[r.held, r.head, r.mark].append(r.node)
+    assert len({(a, b) for u in units.values() for a in u for b in u if a < b}) == 90 * 89 // 2 and max(map(len, units.values())) < 60
+    # thirty texts of their own words around one passage, of which two are near copies: seventeen words each meet over the passage's digests
+    texts = [" ".join([*"the same few words for all of them".split(), *(f"w{i}x{j}" for j in range(4))]) for i in range(30)] + [" ".join([*"the same few words for all of them".split(), *(f"w0x{j}" for j in range(4)), "more"])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame, 3, 80, heavy=3).collect()}
+    assert got == {d: c for d, (_, c) in brute_components(dict(enumerate(texts)), 3, 80).items()}
+
+
+def test_points_of_long_sets_tell_them_apart():
+    """Sets of random shingles are not tied, in a small meeting or a large one, however long; near copies are."""
+    r = np.random.default_rng(3)
+    for n in (1000, 4000, 12_000):
+        sets = [r.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(8)]
+        sets.append(np.concatenate([sets[0][: n - n // 50], sets[1][: n // 50]]))
+        ids, sizes, points = np.arange(9), np.full(9, n), [jaccard_join.point(s) for s in sets]
+        assert jaccard_join.small_ties(np.array([0]), np.array([9]), ids, sizes, points, 80) == [(0, 8)]
+        assert [set(e) for e in jaccard_join.tie_unit(ids, sizes, points, 80)] == [{0, 8}]
+
+
 def test_jaccard_join_on_odd_rows(spark, odd):
     got = jaccard_join.jaccard_components(odd, 3, 90).collect()
     assert len(got) == 7 and [r.component_id for r in got if r.doc_id is None] == [None]
