@@ -280,6 +280,21 @@ def test_numbers_in_groups_and_ranges(spark):
     assert numbered(rows.limit(0), [], [F.col("x")], "n").count() == 0
 
 
+def test_walkers_take_along_few_nodes(spark, monkeypatch):
+    """What is written for a walker holds the nodes of a few steps, and the walks don't depend on how many."""
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(0, 3), (2, 5)], "u long, v long")
+    keep, most = walks.Scratch.keep, []
+
+    def kept(self, df):
+        if "nodes" in df.columns:
+            most.append(df.agg(F.max(F.size("nodes"))).first()[0])
+        return keep(self, df)
+
+    monkeypatch.setattr(walks.Scratch, "keep", kept)
+    short, whole = ({r.walk: r.nodes for r in walks.random_walks(e, walks=2, length=9, every=every).collect()} for every in (2, 20))
+    assert short == whole and len(short) == 14 and all(len(x) == 9 for x in short.values()) and max(most) <= 3
+
+
 def test_walks_draw_by_weight_in_buckets(spark):
     """A hub whose neighbours lie in many buckets: each is met in proportion to its weight."""
     e = spark.createDataFrame([(0, i, 3.0 if i <= 20 else 1.0) for i in range(1, 41)], "u long, v long, weight double")
