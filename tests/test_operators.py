@@ -295,6 +295,13 @@ def test_walkers_take_along_few_nodes(spark, monkeypatch):
     assert short == whole and len(short) == 14 and all(len(x) == 9 for x in short.values()) and max(most) <= 3
 
 
+def test_vectors_train_in_few_partitions(spark, monkeypatch):
+    made, real = [], walks.Word2Vec
+    monkeypatch.setattr(walks, "Word2Vec", lambda **options: made.append(options) or real(**options))
+    frame = spark.createDataFrame([([1, 2, 3],)] * 40, "nodes array<long>")
+    assert walks.node_vectors(frame, size=4, sentences=1).count() == 3 and made[0]["numPartitions"] == 16
+
+
 def test_walks_draw_by_weight_in_buckets(spark):
     """A hub whose neighbours lie in many buckets: each is met in proportion to its weight."""
     e = spark.createDataFrame([(0, i, 3.0 if i <= 20 else 1.0) for i in range(1, 41)], "u long, v long, weight double")
