@@ -332,6 +332,13 @@ def test_out_of_fold_models_never_see_their_rows(spark):
     assert {(r.id, r.n) for r in tested.collect()} == {(100, 40.0), (101, 40.0), (102, 40.0)}
 
 
+def test_latent_models_are_written(spark):
+    """The loadings lie in files, not in the plan of what reads them."""
+    pairs = spark.createDataFrame([(i, f"red apple tree{i % 3}", f"red apple tree{i % 2}") for i in range(12)], "id long, question1 string, question2 string")
+    model = topics.latent_model(pairs, k=2, min_df=1, max_df=1.0)
+    assert model.inputFiles() and {len(r.v) for r in model.collect()} == {2}
+
+
 def test_latent_vectors_against_numpy(spark):
     import numpy as np
 
