@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,17 @@ def test_folds_balance_and_cover(spark):
         assert len(counts) == 5 and max(counts) - min(counts) <= 1
 
 
+def test_terms_meet_idfs_in_their_own_task(spark, monkeypatch):
+    """Terms are neither shuffled by term nor once for each fold; more pairs are more partitions, not larger ones."""
+    pairs = spark.createDataFrame([(i, f"red apple tree{i % 3}", f"red apple tree{i % 2}", i % 2) for i in range(60)], "id long, question1 string, question2 string, is_duplicate int")
+    for made in (tfidf.oof_features(pairs, min_df=1), tfidf.tested_features(pairs, pairs, min_df=1), tfidf.tested_difference_norms(pairs, pairs, min_df=1)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not re.search(r"hashpartitioning\((fold|term)", plan)
+        assert made.count() == 60
+    monkeypatch.setattr(tfidf, "PAIRS", 3)
+    assert tfidf.dealt(pairs, 60).rdd.getNumPartitions() == 20
+
+
 def test_vocabulary_and_encoding(spark):
     pairs = spark.createDataFrame([(1, "b a b", "c"), (2, "", "a d")], "id long, question1 string, question2 string")
     vocab = vocabulary.vocabulary(pairs)
