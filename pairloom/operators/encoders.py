@@ -38,14 +38,16 @@ from pairloom.plans.ship import ship
 MAX_LEN = 40
 #: Sentences for each partition of a vector model's training.
 SENTENCES = 10_000
-#: Pairs that are encoded at once.
-ROWS = 128
+#: Pairs that are encoded at once; attention between all their places is held for so many.
+ROWS = 32
+#: Drawn vectors that a Python worker keeps, some 700 bytes each with 16 numbers.
+DRAWN = 20_000
 
 
 # token vectors
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(DRAWN)
 def drawn_vector(token: str, size: int) -> tuple[float, ...]:
     """Numbers from -0.5 to 0.5, fixed by hashes of token and place."""
     return tuple(int(hashlib.md5(f"{token}#{d}".encode()).hexdigest()[:8], 16) / 4294967296.0 - 0.5 for d in range(size))

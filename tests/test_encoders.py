@@ -175,3 +175,16 @@ def test_features_out_of_fold_tell_copies_from_others(spark, tmp_path):
     for again in ({"done": (0, 1)}, {"done": (0,), "warm": (1,)}):
         other, _ = encoders.pair_features(pairs, "pooled", k=2, vectors=vectors, size=4, width=5, epochs=1, steps=2, path=str(tmp_path), **again)
         assert other.count() == 150
+
+
+def test_memory_of_matching_is_bounded():
+    """Batches as large as tables are encoded in hold little, and drawn vectors don't pile up with the vocabulary."""
+    import tracemalloc
+
+    words = [[f"w{i}-{t}" for t in range(40)] for i in range(encoders.ROWS)]
+    batch = encoders.batch_of(words, words, lambda w: np.full(16, len(w) / 8), 16, 40)
+    tracemalloc.start()
+    encoders.matching(batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6 and encoders.drawn_vector.cache_info().maxsize <= 20_000
