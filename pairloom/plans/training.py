@@ -69,6 +69,8 @@ GRAPH: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "twohop": graph.two_hop_features,
     "n2v": lambda pairs, edges: walks.vector_features(pairs, _walks(edges)),
 }
+#: Parts of the family `graph` that go without its ranks, components and paths; made where they are named.
+LINKS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"links": graph.link_features}
 
 
 def _keyed(train: DataFrame, test: DataFrame, *columns: str) -> DataFrame:
@@ -92,7 +94,7 @@ def feature_tables(train: DataFrame, test: DataFrame | None = None, names: list[
     made = {name: (TEXT | NEURAL)[name](train, test) for name in names if name in TEXT or name in NEURAL}
     made = {name: tuple(None if t is None else scratch.keep(t) for t in tables) if name in NEURAL else tables for name, tables in made.items()}
     made |= {name: (table, (given_test or {}).get(name)) for name, table in (given or {}).items()}
-    if on_graph := [name for name in names if name in GRAPH]:
+    if on_graph := [name for name in names if name in GRAPH or name in LINKS]:
         if nodes is None:
             nodes = question_nodes(train if test is None else _keyed(train, test, "question1", "question2"))
         nodes = scratch.keep(nodes)
@@ -104,7 +106,7 @@ def feature_tables(train: DataFrame, test: DataFrame | None = None, names: list[
             scores = own.select("id", "prob") if test is None or of_test is None else _keyed(own, of_test, "prob")
             walked = scratch.keep(graph.weighted_edges(stacking.weigh_pairs(nodes, scores)))
         for name in on_graph:
-            wide = nodes.join(GRAPH[name](ends, walked if name == "n2v" else edges), ["u", "v"]).drop("u", "v")
+            wide = nodes.join((GRAPH | LINKS)[name](ends, walked if name == "n2v" else edges), ["u", "v"]).drop("u", "v")
             made[name] = (wide, None) if test is None else tuple(_side(scratch.keep(wide), side) for side in (0, 1))
     joined = stacking.join_features({name: tables[0] for name, tables in made.items()})
     if "is_duplicate" in train.columns:

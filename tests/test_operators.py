@@ -165,6 +165,18 @@ def test_terms_meet_idfs_in_their_own_task(spark, monkeypatch):
     assert tfidf.dealt(pairs, 60).rdd.getNumPartitions() == 20
 
 
+def test_common_neighbours_of_test_pairs_need_no_ranks(spark, monkeypatch):
+    """The test table asks for common neighbours alone; ranks, components and paths of the whole graph are not made for it."""
+    from pairloom.plans import registry
+
+    def made(*_, **__):
+        raise AssertionError("not needed")
+
+    for module, name in ((iterative, "pagerank"), (graph, "component_table"), (graph, "bounded_shortest_path")):
+        monkeypatch.setattr(module, name, made)
+    assert "cn" in registry.queries()["test_table"](spark, "/root/testdata/sf0.001").columns
+
+
 def test_vocabulary_and_encoding(spark):
     pairs = spark.createDataFrame([(1, "b a b", "c"), (2, "", "a d")], "id long, question1 string, question2 string")
     vocab = vocabulary.vocabulary(pairs)
