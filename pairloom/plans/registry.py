@@ -11,6 +11,7 @@ from pairloom.functions import session, vectors
 from pairloom.functions.pairs import look_up
 from pairloom.operators import clean, encoders, fuzzy, graph, iterative, stacking, tfidf, topics, vocabulary, walks
 from pairloom.plans.fixtures import GRAPH_SQL, SPLIT_SQL, TEXT_GRAPH_SQL, TEXT_SQL, VECTOR_SQL, graph_pairs, label_rows, split_pairs, text_pairs, vector_pairs, weighted_graph_pairs
+from pairloom.plans.lineage import Scratch
 from pairloom.plans.training import feature_tables, predict_pairs, question_nodes
 from pairloom.plans.training import training_table as joined_families
 
@@ -41,6 +42,11 @@ def _query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def _written_pairs(spark, sf_dir) -> DataFrame:
+    """The graph's pairs as a written table, for queries that read them more than once; making them joins all order lines with each other."""
+    return Scratch(spark, "pairs").keep(graph_pairs(spark, sf_dir))
+
+
 def _r(*expressions: str) -> str:
     """round(x, 6) + 0.0 as name, for 'x as name'."""
     out = []
@@ -180,7 +186,7 @@ def degree(spark, sf_dir):
     from graph_pairs p join nb x on x.node = p.u join nb y on y.node = p.v left join cn on cn.u = p.u and cn.v = p.v"""
 )
 def link_features(spark, sf_dir):
-    pairs = graph_pairs(spark, sf_dir)
+    pairs = _written_pairs(spark, sf_dir)
     return graph.link_features(pairs, graph.edges_of(pairs))
 
 
@@ -213,7 +219,7 @@ _COMP_STATS = ("size", "density", "mean_deg", "max_deg", "avg_clust")
     select p.u, p.v, {', '.join(_pair_stats(x, x, '1e-12') for x in _COMP_STATS)} from graph_pairs p join f mu on mu.node = p.u join f mv on mv.node = p.v"""
 )
 def component_pair_features(spark, sf_dir):
-    pairs = graph_pairs(spark, sf_dir)
+    pairs = _written_pairs(spark, sf_dir)
     return graph.pair_features(pairs, graph.component_features(pairs), {x: 1.0 if x == "size" else 0.0 for x in _COMP_STATS}, 1e-12)
 
 
@@ -227,7 +233,7 @@ def component_pair_features(spark, sf_dir):
 )
 def pagerank_pairs(spark, sf_dir):
     """Ranks count a thousandfold, so that six places say something."""
-    pairs = graph_pairs(spark, sf_dir)
+    pairs = _written_pairs(spark, sf_dir)
     wide = look_up(pairs, iterative.pagerank(pairs), {"rank": 0.0})
     a, b = F.col("rank_u"), F.col("rank_v")
     return wide.select("u", "v", (1000 * F.least(a, b)).alias("pagerank_min"), (1000 * F.greatest(a, b)).alias("pagerank_max"), (1000 * F.abs(a - b)).alias("pagerank_diff"), (a / (b + F.lit(1e-9))).alias("pagerank_ratio"))
@@ -240,7 +246,7 @@ def pagerank_pairs(spark, sf_dir):
 )
 def graph_features(spark, sf_dir):
     """All columns of a pair in one table; ranks count a thousandfold, their ratio as it is."""
-    pairs = graph_pairs(spark, sf_dir)
+    pairs = _written_pairs(spark, sf_dir)
     made = graph.graph_features(pairs, graph.edges_of(pairs), iterative.pagerank(pairs))
     return made.withColumns({c: 1000 * F.col(c) for c in ("pagerank_min", "pagerank_max", "pagerank_diff")})
 
@@ -258,7 +264,7 @@ def graph_features(spark, sf_dir):
     select p.u, p.v, {_pair_stats('k', 'katz', '1e-9')} from graph_pairs p join m mu on mu.node = p.u join m mv on mv.node = p.v"""
 )
 def katz_pairs(spark, sf_dir):
-    pairs = graph_pairs(spark, sf_dir)
+    pairs = _written_pairs(spark, sf_dir)
     return graph.pair_features(pairs, iterative.katz(pairs), {"katz": 0.0}, 1e-9)
 
 
@@ -272,13 +278,13 @@ def katz_pairs(spark, sf_dir):
 )
 def kcore_pairs(spark, sf_dir):
     """The SQL takes sixty rounds, six times what the given graphs need to settle."""
-    pairs = graph_pairs(spark, sf_dir)
+    pairs = _written_pairs(spark, sf_dir)
     return graph.pair_features(pairs, iterative.core_numbers(pairs), {"core": 0})
 
 
 @_query(f"with {GRAPH_SQL}, m as (select a.src as node, sum(z.d) * 1.0 / max(x.d) as a from adj a join nb z on z.node = a.dst join nb x on x.node = a.src group by a.src) select p.u, p.v, {_pair_stats('a', 'and')} from graph_pairs p join m mu on mu.node = p.u join m mv on mv.node = p.v")
 def avg_neighbor_degree_pairs(spark, sf_dir):
-    pairs = graph_pairs(spark, sf_dir)
+    pairs = _written_pairs(spark, sf_dir)
     return graph.pair_features(pairs, graph.average_neighbour_degree(pairs), {"and": 0.0})
 
 
@@ -287,7 +293,7 @@ def avg_neighbor_degree_pairs(spark, sf_dir):
     from graph_pairs p join clu mu on mu.node = p.u join clu mv on mv.node = p.v"""
 )
 def triangle_clustering_pairs(spark, sf_dir):
-    pairs = graph_pairs(spark, sf_dir)
+    pairs = _written_pairs(spark, sf_dir)
     return graph.triangle_features(pairs, graph.edges_of(pairs))
 
 
@@ -301,7 +307,7 @@ def triangle_clustering_pairs(spark, sf_dir):
 )
 def two_hop_pairs(spark, sf_dir):
     """Without caps, as its SQL; the caps of `graph.two_hop` are the reference's."""
-    pairs = graph_pairs(spark, sf_dir)
+    pairs = _written_pairs(spark, sf_dir)
     return graph.two_hop_features(pairs, graph.edges_of(pairs), deg_cap=None, size_cap=None)
 
 

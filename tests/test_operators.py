@@ -177,6 +177,17 @@ def test_common_neighbours_of_test_pairs_need_no_ranks(spark, monkeypatch):
     assert "cn" in registry.queries()["test_table"](spark, "/root/testdata/sf0.001").columns
 
 
+@pytest.mark.parametrize("name", ["katz_pairs", "graph_features"])
+def test_order_lines_are_joined_once(spark, monkeypatch, name):
+    """What a query of the graph returns reads the written pairs, not the order lines again."""
+    from pairloom.plans import registry
+
+    asked, make = [], registry.graph_pairs
+    monkeypatch.setattr(registry, "graph_pairs", lambda *x: asked.append(x) or make(*x))
+    files = registry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "lineitem" in f] and len(asked) == 1
+
+
 def test_vocabulary_and_encoding(spark):
     pairs = spark.createDataFrame([(1, "b a b", "c"), (2, "", "a d")], "id long, question1 string, question2 string")
     vocab = vocabulary.vocabulary(pairs)
