@@ -365,10 +365,12 @@ def _units(members: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
 
 
 def _by_key(rows: DataFrame, hot: DataFrame, **sums: Column) -> DataFrame:
-    """rows with sums over their key. Keys in `hot` are summed before anything is shuffled, and their sums broadcast."""
+    """rows with sums over their key. Keys in `hot` are summed before anything is shuffled, and their sums broadcast; without such keys the rows are read once, not three times."""
+    over = Window.partitionBy("key")
+    if hot.isEmpty():
+        return rows.withColumns({name: c.over(over) for name, c in sums.items()})
     many = rows.join(F.broadcast(hot), "key", "left_semi")
     found = many.groupBy("key").agg(*(c.alias(name) for name, c in sums.items()))
-    over = Window.partitionBy("key")
     few = rows.join(F.broadcast(hot), "key", "left_anti").withColumns({name: c.over(over) for name, c in sums.items()})
     return few.unionByName(many.join(F.broadcast(found), "key"))
 
@@ -400,7 +402,7 @@ def _classified(docs: DataFrame, k: int, percent: int, heavy: int, unit_members:
     profiles, same = scratch.keep(wide.select("doc_id", "k1", "k2", "n", "f1", "f2", "row")), ["n", "f1", "f2"]
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "k1", "k2")).alias("x")
     classes = scratch.keep(profiles.where("n > 0").groupBy(*same).agg(least).select(*same, F.col("x.doc_id").alias("class_id"), F.col("x.row").alias("node"), "x.k1", "x.k2"))
-    others = profiles.where("n > 0").join(classes.select(*same, "node"), same).where("row <> node").select("row")
+    others = scratch.keep(profiles.where("n > 0").join(classes.select(*same, "node"), same).where("row <> node").select("row"))
     offering = wide.where("n > 0").withColumn("at", F.xxhash64("row"))
     sure, perhaps = sieve(offering, "at", others.select(F.xxhash64("row").alias("at")))
     firsts = sure.unionByName(perhaps.join(others, "row", "left_anti")).withColumnRenamed("row", "node")

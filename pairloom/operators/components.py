@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairloom.plans.lineage import Scratch
@@ -25,15 +25,16 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """(node, component): the smallest node reachable over the undirected edges; nodes without an edge to another are left out.
 
     Null ends and self-loops are ignored, repeated edges count once. Every round is two aggregations and two joins on
-    rows of two values, written to the shared folder; only a count and a checksum come to the driver.
+    rows of two values, written to the shared folder; only a count and a checksum of what was written come to the driver, with the writing.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
     now = scratch.keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     seen = None
     for _ in range(max_rounds):
-        after = scratch.keep(_small_star(_large_star(now)))
-        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        written = Observation()
+        after = scratch.keep(_small_star(_large_star(now)).observe(written, F.count("*").alias("rows"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hashes")))
+        mark = written.get
         scratch.drop(now)
         now = after
         if mark == seen:

@@ -1196,3 +1196,12 @@ def test_probabilities_sum_to_one():
     assert np.allclose(weights.sum(1), 1)
     a = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 1000).astype(np.uint64))
     assert (interpolation._unpack(interpolation._pack(a), 1000, np.uint64) == a).all() and (np.diff(interpolation._part(a, 7).astype(int)) >= 0).all()
+
+
+def test_sums_by_key_read_rows_once_without_hot_keys(spark):
+    """The driver plans one reading of the rows where no key is hot, not three."""
+    rows, none = spark.range(20).selectExpr("id as node", "id % 3 as key"), spark.createDataFrame([], "key long")
+    got = jaccard_join._by_key(rows, none, held=F.count("*"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    hot = jaccard_join._by_key(rows, spark.createDataFrame([(0,)], "key long"), held=F.count("*"))
+    assert sorted(got.collect()) == sorted(hot.select(*got.columns).collect())

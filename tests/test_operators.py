@@ -549,3 +549,18 @@ def test_functions_and_views_in_sql(spark):
     got = spark.sql("select vec_cosine(a, b), vec_jsd(a, b), vec_entropy(a), vec_argmax(a), vec_norm(a) from {r}", r=rows).collect()
     assert all(tuple(x) == pytest.approx(tuple(y)) for x, y in zip(got, want))
     assert spark.sql("select logit_loss(800D, 0D), logit_loss(0D, 1D)").first()[0] == 800.0
+
+
+def test_components_round_is_one_query(spark, monkeypatch):
+    """A round's count and checksum come with its writing; nothing is read again for them."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7)], "a long, b long")
+
+    def refuse(self):
+        raise AssertionError("read again")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(edges), "first", refuse)
+        found = connected_components(edges, "a", "b")
+        none = connected_components(edges.where("a = b"), "a", "b")
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(31)} | {(100, 100), (101, 100)}
+    assert none.collect() == []
