@@ -1,42 +1,76 @@
-"""Topic mixtures and latent vectors of texts by MLlib."""
+"""Topic mixtures and latent vectors of texts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.sums import sums
 from pairloom.functions.text import tokens, word_tokens
 from pairloom.functions.vectors import topic_pair
+from pairloom.operators import mixtures
 from pairloom.operators.tfidf import fit, weights
 from pairloom.plans.lineage import Scratch
 from pairloom.plans.ship import ship
 
 
-def _side(pairs: DataFrame, column: str) -> DataFrame:
-    return pairs.select("id", F.lit(column).alias("side"), word_tokens(F.col(column)).alias("words"))
+@dataclass(frozen=True)
+class TopicModel:
+    """What turns `words` into `counts` of the vocabulary's terms, the topics' weights by term, and the concentration of mixtures."""
 
+    words: PipelineModel
+    weights: np.ndarray
+    alpha: np.ndarray
+    seed: int
 
-def topic_model(pairs: DataFrame, topics: int = 10, size: int = 20_000, rounds: int = 10, seed: int = 951) -> PipelineModel:
-    """Topics fitted on both texts of the pairs."""
-    texts = _side(pairs, "question1").union(_side(pairs, "question2"))
-    stages = [StopWordsRemover(inputCol="words", outputCol="kept"), CountVectorizer(inputCol="kept", outputCol="counts", minDF=2, maxDF=0.95, vocabSize=size), LDA(k=topics, optimizer="online", subsamplingRate=1.0, maxIter=rounds, seed=seed, featuresCol="counts")]
-    return Pipeline(stages=stages).fit(texts)
+    def counts(self, pairs: DataFrame, column: str) -> DataFrame:
+        made = self.words.transform(pairs.withColumn("words", word_tokens(F.col(column))))
+        return made.drop("words", "kept", column).withColumnRenamed("counts", column)
 
 
-def topic_pairs(model: PipelineModel, pairs: DataFrame) -> DataFrame:
+def _held(pairs: DataFrame) -> DataFrame:
+    """copies, kept: each text of the pairs once, with the number of times that it occurs, and its words without stop words."""
+    texts = pairs.select(F.explode(F.array("question1", "question2")).alias("text")).groupBy("text").agg(F.count("*").alias("copies"))
+    return StopWordsRemover(inputCol="words", outputCol="kept").transform(texts.select("copies", word_tokens(F.col("text")).alias("words"))).drop("words")
+
+
+def _terms_of(held: DataFrame, least: int, share: float, size: int) -> list[str]:
+    """The most frequent words, `size` at most, of those that `least` texts hold and no more than the share of all; copies count."""
+    one, none = F.col("copies"), F.lit(0)
+    seen = F.concat(F.transform("kept", lambda w: F.struct(w.alias("term"), one.alias("tf"), none.cast("long").alias("df"))), F.transform(F.array_distinct("kept"), lambda w: F.struct(w.alias("term"), none.cast("long").alias("tf"), one.alias("df"))))
+    most = share * (held.agg(F.sum("copies")).first()[0] or 0)
+    counts = held.select(F.explode(seen).alias("x")).groupBy("x.term").agg(F.sum("x.tf").alias("tf"), F.sum("x.df").alias("df"))
+    return [r.term for r in counts.where((F.col("df") >= least) & (F.col("df") <= most)).orderBy(F.desc("tf"), "term").limit(size).select("term").collect()]
+
+
+def topic_model(pairs: DataFrame, topics: int = 10, size: int = 20_000, rounds: int = 10, seed: int = 951) -> TopicModel:
+    """Topics fitted on both texts of the pairs. Equal texts are inferred once and count as often as they occur."""
+    scratch = Scratch(pairs.sparkSession, "topics")
+    held = scratch.keep(_held(pairs))
+    terms = _terms_of(held, 2, 0.95, size)
+    # no word is empty, so without terms all texts are
+    counts = CountVectorizerModel.from_vocabulary(terms or [""], "kept", "counts")
+    texts = scratch.keep(counts.transform(held).select("copies", "counts"))
+    scratch.drop(held)
+    weights, alpha = mixtures.fit(texts, max(1, len(terms)), topics, rounds, seed)
+    scratch.drop(texts)
+    return TopicModel(PipelineModel([StopWordsRemover(inputCol="words", outputCol="kept"), counts]), weights, alpha, seed)
+
+
+def topic_pairs(model: TopicModel, pairs: DataFrame) -> DataFrame:
     """id and the pair features of the two texts' topic mixtures."""
-    texts = _side(pairs, "question1").union(_side(pairs, "question2"))
-    made = model.transform(texts).select("id", "side", vector_to_array("topicDistribution").alias("p"))
-    both = made.groupBy("id").agg(*(F.first(F.when(F.col("side") == c, F.col("p")), ignorenulls=True).alias(c) for c in ("question1", "question2")))
-    return both.select("id", *(c.alias(n) for n, c in topic_pair(F.col("question1"), F.col("question2"), model.stages[-1].getOrDefault("k")).items()))
+    sides = ["question1", "question2"]
+    counted = reduce(model.counts, sides, pairs.select("id", *sides))
+    both = mixtures.shares(counted, sides, model.weights, model.alpha, model.seed)
+    return both.select("id", *(c.alias(n) for n, c in topic_pair(F.col("question1"), F.col("question2"), len(model.alpha)).items()))
 
 
 def topic_features(pairs: DataFrame, **options) -> DataFrame:
@@ -53,29 +87,6 @@ def _terms(pairs: DataFrame) -> DataFrame:
     return _common(pairs).select("id", F.lit(1).alias("side"), F.explode("words").alias("term"), F.lit(1).alias("tf"))
 
 
-def _summed(width: int):
-    """Rows (idx, vec) to their sums by idx; a task holds its own share of the indices."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            vecs = batch.column(1).flatten().to_numpy().reshape(-1, width)
-            for i, v in zip(batch.column(0).to_pylist(), vecs):
-                if i in sums:
-                    sums[i] += v
-                else:
-                    sums[i] = v.copy()
-        if sums:
-            yield _rows(np.fromiter(sums, np.int32, len(sums)), np.array(list(sums.values())))
-
-    return run
-
-
-def _rows(idx: np.ndarray, vecs: np.ndarray) -> pa.RecordBatch:
-    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * vecs.shape[1]), pa.array(vecs.ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(idx, pa.int32()), flat], names=["idx", "vec"])
-
-
 def _add_rows(out: np.ndarray, idx: np.ndarray, values: np.ndarray) -> None:
     """Adds each row of values to the row of out that idx names."""
     if len(idx):
@@ -88,7 +99,7 @@ def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     """A'A times a basis, for sparse rows (idx array<int>, w array<double>) of A: one pass over the rows. Tasks hold a table as large as the basis."""
     sent = rows.sparkSession.sparkContext.broadcast(basis)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         b = sent.value
         out = np.zeros_like(b)
         for whole in batches:
@@ -99,15 +110,9 @@ def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
                 product = np.zeros((batch.num_rows, b.shape[1]))
                 _add_rows(product, row, w[:, None] * b[idx])
                 _add_rows(out, idx, w[:, None] * product[row])
-        held = np.flatnonzero(out.any(1))
-        if len(held):
-            yield _rows(held, out[held])
-
-    schema = "idx int, vec array<double>"
-    sums = rows.mapInArrow(run, schema).repartition("idx").mapInArrow(_summed(basis.shape[1]), schema)
-    out = np.zeros_like(basis)
-    for batch in sums.toArrow().to_batches():
-        out[batch.column(0).to_numpy()] = batch.column(1).flatten().to_numpy().reshape(-1, basis.shape[1])
+        yield out
+
+    out = sums(rows, run, basis.shape)
     sent.destroy()
     return out
 
