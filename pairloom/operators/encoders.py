@@ -255,20 +255,22 @@ ENCODERS: dict[str, tuple[Callable[[Batch], np.ndarray], int]] = {"pooled": (poo
 # encoding tables of pairs
 
 
-def _side(texts: list[list[str]], vector: Callable[[str], np.ndarray], size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    x, mask = np.zeros((len(texts), length, size)), np.zeros((len(texts), length), bool)
+def _places(texts: list[list[str]], known: dict[str, int], length: int) -> np.ndarray:
+    """The tokens' numbers by place, -1 for padding; new tokens get the next number."""
+    out = np.full((len(texts), length), -1)
     for i, tokens in enumerate(texts):
-        for t, token in enumerate(tokens):
-            x[i, t], mask[i, t] = vector(token), True
-    return x, mask
+        out[i, : len(tokens)] = [known.setdefault(t, len(known)) for t in tokens]
+    return out
 
 
 def batch_of(a: list[list[str]], b: list[list[str]], vector: Callable[[str], np.ndarray], size: int, length: int) -> Batch:
-    (x, of_x), (y, of_y) = _side(a, vector, size, length), _side(b, vector, size, length)
-    equal = np.zeros((len(a), length, length), bool)
-    for i, (s, t) in enumerate(zip(a, b)):
-        equal[i, : len(s), : len(t)] = np.array(s, dtype=object)[:, None] == np.array(t, dtype=object)[None, :]
-    return Batch(x, y, of_x, of_y, equal)
+    """The vector of each distinct token is asked for once."""
+    known: dict[str, int] = {}
+    x, y = _places(a, known, length), _places(b, known, length)
+    table = np.zeros((len(known) + 1, size))
+    for i, token in enumerate(known):
+        table[i] = vector(token)
+    return Batch(table[x], table[y], x >= 0, y >= 0, (x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None])
 
 
 def _own_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -284,21 +286,23 @@ def encode(pairs: DataFrame, encoder: str, size: int = 32, vectors: DataFrame |
     drawn ones. With `characters`, so many coordinates from the token's characters follow."""
     tokens = (F.slice(words(F.col(c), pattern), 1, max_len).alias(c) for c in ("question1", "question2"))
     rows = ship(pairs).select(F.col("id").cast("long").alias("id"), *tokens)
-    found = [] if vectors is None else vectors.select("token", "vec").limit(terms + 1).collect()
-    sent = pairs.sparkSession.sparkContext.broadcast({r["token"]: np.array(r["vec"]) for r in found} if len(found) <= terms else {})
-    if len(found) > terms:
+    found = pa.table({"token": pa.array([], pa.string()), "vec": pa.array([], pa.list_(pa.float64()))}) if vectors is None else vectors.select("token", F.col("vec").cast("array<double>").alias("vec")).limit(terms + 1).toArrow()
+    few = found.slice(0, found.num_rows if found.num_rows <= terms else 0).combine_chunks()
+    table = few["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(few.num_rows, -1) if few.num_rows else np.zeros((0, size))
+    sent = pairs.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(few["token"].to_pylist())}, table))
+    if found.num_rows > terms:
         rows = rows.join(_own_vectors(rows, vectors.select("token", "vec")), "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = ENCODERS[encoder][0]
+        number, table = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 own = {x["token"]: np.array(x["vec"]) for r in (batch.column(3).to_pylist() if batch.num_columns > 3 else ()) for x in r or ()}
 
-                @functools.cache
                 def vector(token: str, own: dict = own) -> np.ndarray:
-                    known = own.get(token, sent.value.get(token))
+                    known = own[token] if token in own else table[number[token]] if token in number else None
                     known = np.array(drawn_vector(token, size)) if known is None else known
                     return np.concatenate([known, character_vector(token, characters)]) if characters else known
 
@@ -400,6 +404,7 @@ def pair_features(pairs: DataFrame, encoder: str, k: int = 5, test: DataFrame |
     With `path`, fold i's head is saved to path/i; folds in `warm` go on from there, those in `done` are taken as they are there (with the vectors that they were fitted on). Without `vectors` skip-gram vectors are fitted on the pairs' and test pairs' texts, which needs no label."""
     scratch = Scratch(pairs.sparkSession, "encoded")
     texts = ["id", "question1", "question2"]
+    pairs = scratch.keep(pairs.select(*texts, "is_duplicate"))
     if vectors is None:
         vectors = word_vectors(pairs.select(*texts) if test is None else pairs.select(*texts).union(test.select(*texts)), size, pattern=options.get("pattern", TOKEN))
     vectors = scratch.keep(vectors)

@@ -188,3 +188,32 @@ def test_memory_of_matching_is_bounded():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 40e6 and encoders.drawn_vector.cache_info().maxsize <= 20_000
+
+
+def test_a_batch_asks_for_each_token_once():
+    """Vectors, masks and equal places of texts of all lengths."""
+    asked = []
+    vector = lambda w: asked.append(w) or np.array([len(w), ord(w[0])], float)
+    a, b = [["x", "yy", "x"], [], ["zzz"]], [["yy", "x"], ["x"], []]
+    got = encoders.batch_of(a, b, vector, 2, 4)
+    assert sorted(asked) == ["x", "yy", "zzz"]
+    for texts, x, mask in ((a, got.a, got.of_a), (b, got.b, got.of_b)):
+        for i, tokens in enumerate(texts):
+            assert mask[i].tolist() == [t < len(tokens) for t in range(4)]
+            assert x[i].tolist() == [[float(len(w)), float(ord(w[0]))] for w in tokens] + [[0.0, 0.0]] * (4 - len(tokens))
+    assert np.argwhere(got.equal).tolist() == [[0, 0, 1], [0, 1, 0], [0, 2, 1]]
+
+
+def test_pairs_are_made_once(spark):
+    """Features read a written table, not the pairs' own plan, however often they need them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, "red blue" if i % 3 else None, "blue green", i % 2) for i in range(40)]
+    pairs = spark.createDataFrame(rows, PAIRS).mapInArrow(mark, PAIRS)
+    got, _ = encoders.pair_features(pairs, "pooled", k=2, size=4, width=3, epochs=1, steps=2)
+    assert got.count() == 40 and made.value == 40
