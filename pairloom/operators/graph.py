@@ -146,11 +146,11 @@ def graph_features(pairs: DataFrame, edges: DataFrame, ranks: DataFrame, cutoff:
     )
 
 
-def two_hop(nodes: DataFrame, adj: DataFrame, deg_cap: int | None = 200, sample_k: int = 80, size_cap: int | None = 5000) -> DataFrame:
+def two_hop(nodes: DataFrame, adj: DataFrame, deg_cap: int | None = None, sample_k: int = 80, size_cap: int | None = None) -> DataFrame:
     """(node, x): nodes two hops away, without the node and its neighbours.
 
-    A node over deg_cap uses its sample_k smallest neighbours; they are followed in order of id until the set is over size_cap.
-    None for a cap leaves it out; without both the result is whole.
+    Caps are for who asks for them (the reference has 200, 80 and 5,000): a node over deg_cap uses its sample_k smallest neighbours; they are followed in order of id
+    until the set is over size_cap. Without both the result is whole.
     """
     if deg_cap is None and size_cap is None:
         used = adj.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("w"))
@@ -168,11 +168,12 @@ def two_hop(nodes: DataFrame, adj: DataFrame, deg_cap: int | None = 200, sample_
     return kept.join(adj.select(F.col("src").alias("node"), F.col("dst").alias("x")), ["node", "x"], "left_anti")
 
 
-def two_hop_features(pairs: DataFrame, edges: DataFrame, **caps: int | None) -> DataFrame:
+def two_hop_features(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Sizes and overlaps of the ends' whole two-hop sets. A node's neighbours are all in each other's sets, so a hub's degree counts squared."""
     adj = adjacency(edges)
     deg = degrees(adj).select(F.col("node").alias("x"), F.col("d_nb").alias("d"))
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    far = two_hop(ends, adj, **caps)
+    far = two_hop(ends, adj)
     sizes = far.groupBy("node").agg(F.count("*").alias("size"))
     both = pairs.select("u", "v").join(far.withColumnRenamed("node", "u"), "u").join(far.withColumnRenamed("node", "v"), ["v", "x"]).join(deg, "x", "left")
     big = F.col("d") > 1

@@ -424,6 +424,13 @@ def test_word_vectors_and_models_means(spark):
     assert stacking.predict_mean(spark.createDataFrame([(1, 2.0)], "id long, x double"), loads, "id long, x double, prob double").first().prob == 4.0
 
 
+def test_training_table_counts_whole_two_hop_sets(spark):
+    """A hub of 250 neighbours with one more each: no cap of degree or size drops any."""
+    pairs = spark.createDataFrame([(i, "hub", f"near {i}") for i in range(250)] + [(250 + i, f"near {i}", f"far {i}") for i in range(250)], "id long, question1 string, question2 string")
+    got = {r.id: {r.twohop_size_u, r.twohop_size_v} for r in training.training_table(pairs, ["twohop"]).collect()}
+    assert all(got[i] == {249, 250} and got[250 + i] == {1, 249} for i in range(250)) and len(got) == 500
+
+
 def test_training_table_takes_given_families(spark):
     pairs = spark.createDataFrame([(1, "a b", "b c", 1), (2, "B  c", "a b", 0), (3, "x", "x", 0)], "id long, question1 string, question2 string, is_duplicate int")
     nodes = {r.id: (r.u, r.v) for r in training.question_nodes(pairs).collect()}
