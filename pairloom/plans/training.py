@@ -52,7 +52,7 @@ TEXT: dict[str, Callable[[DataFrame, DataFrame | None], Tables]] = {
     "fuzzy": _local(fuzzy.fuzzy_ratios),
     "double": _counted(tfidf.oof_features, tfidf.tested_features),
     "diff": _counted(tfidf.oof_difference_norms, tfidf.tested_difference_norms),
-    "svd": lambda pairs, test: stacking.out_of_fold(pairs, topics.latent_model, _latent, test=test),
+    "svd": lambda pairs, test: stacking.out_of_fold(topics.common_words(pairs), topics.latent_model, _latent, test=None if test is None else topics.common_words(test)),
     "lda": lambda pairs, test: stacking.out_of_fold(pairs, topics.topic_model, topics.topic_pairs, test=test),
 }
 #: Families of trained heads over attention between the texts; made where they are named.

@@ -374,6 +374,16 @@ def test_latent_models_are_written(spark):
     assert model.inputFiles() and {len(r.v) for r in model.collect()} == {2}
 
 
+def test_latent_rows_shuffle_nothing(spark):
+    """Pairs meet the loadings in their own task, with texts or with their common words; a pair without terms gets zeros."""
+    pairs = spark.createDataFrame([(i, f"red apple tree{i % 3}", f"red apple tree{i % 2}") for i in range(12)] + [(12, None, "red"), (13, "x", "x")], "id long, question1 string, question2 string")
+    model = topics.latent_model(pairs, k=2, min_df=2, max_df=1.0)
+    made = topics.latent_rows(model, pairs, 3)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got, same = ({r.id: r.svd for r in rows.collect()} for rows in (made, topics.latent_rows(model, topics.common_words(pairs), 3)))
+    assert got == same and len(got) == 14 and got[12] == got[13] == [0.0] * 3 and 0.5 < got[0][0] <= 1 and got[0][2] == 0
+
+
 def test_latent_vectors_against_numpy(spark):
     import numpy as np
 
