@@ -337,6 +337,12 @@ def test_vectors_train_in_few_partitions(spark, monkeypatch):
     assert walks.node_vectors(frame, size=4, sentences=1).count() == 3 and made[0]["numPartitions"] == 16
 
 
+def test_vectors_train_in_whole_waves():
+    """Sixteen partitions on twelve cores would take two waves, the second with four."""
+    assert [walks.training_partitions(10**7, cores) for cores in (1, 6, 8, 12, 16, 100)] == [16, 12, 16, 12, 16, 16]
+    assert walks.training_partitions(0, 12) == 1 and walks.training_partitions(30_000, 12) == 3
+
+
 def test_walks_draw_by_weight_in_buckets(spark):
     """A hub whose neighbours lie in many buckets: each is met in proportion to its weight."""
     e = spark.createDataFrame([(0, i, 3.0 if i <= 20 else 1.0) for i in range(1, 41)], "u long, v long, weight double")
