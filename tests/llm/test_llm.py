@@ -191,6 +191,27 @@ def feistel(x, a, b, key, tweak):
     return left * b + right
 
 
+def test_parts_of_a_pseudonym_are_computed_once(spark):
+    """What a lambda over places uses comes before it, as a lambda computes what it names for each place."""
+    x = F.sha2(F.lit("x"), 256)
+    for made in (pii._put_back(F.lit("ab"), x, "a-z"), pii._shift(F.lit("12"), x, "0123456789"), pii.luhn_sum(x, 0)):
+        text = str(made)
+        assert text.count("sha2") == 1 and text.index("sha2") < text.index("sequence")
+
+
+def test_number_candidates_begin_as_their_patterns_do():
+    """The one look at a candidate's first character loses none of what the patterns find."""
+    import random
+    import re
+
+    r, plain = random.Random(5), re.compile("|".join(pii.PATTERNS.values()))
+    for _ in range(3000):
+        text = "".join(r.choice(["a", " ", "-", ".", "/", "(", ")", "+", "@", "12", "2001", "415", "555-0199", "10.0.0.1", "4111 1111 1111 1111", "01/02/2003", "x@y.org"]) for _ in range(14))
+        found = [m.group() for m in plain.finditer(text)]
+        assert [m.group() for m in re.finditer(pii.ANY, text)] == found
+        assert "@" in text or [m.group() for m in re.finditer(pii.NUMBERS, text)] == found
+
+
 def test_permutations(spark):
     n = 17 * 43
     new = spark.range(n).select(pii.permute_number(F.col("id"), 17, 43, "k", "t").alias("x"), "id").collect()
